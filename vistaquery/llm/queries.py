@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import packing, substring, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -36,9 +36,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_lengths(digests, SEQUENCE).drop("piece_key")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_token_store": op3_token_store,
     "op9_packing": op9_packing,
+    "op10_substring": op10_substring,
 }
 
 #: DuckDB SQL for those that SQL can express.
