@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring, token_store
+from . import ctw, packing, substring, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -30,6 +30,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(token_store.crc32_of_lists, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE)
     digests = pieces.mapInArrow(token_store.crc32_of_lists, "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -43,6 +47,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_token_store": op3_token_store,
+    "op7_ctw": op7_ctw,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
 }

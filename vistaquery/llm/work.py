@@ -170,7 +170,3 @@ def read_segment(path: str, bucket: int, kinds: list[str], with_head: bool = Fal
         at += 8 + size
     return (*out, head) if with_head else out
 
-
-def buckets_for(n_parts: int) -> int:
-    """Buckets grow with the parts, so that a bucket's share of all parts stays about a part."""
-    return max(16, 2 * n_parts)
