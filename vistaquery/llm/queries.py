@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, packing, substring, token_store
+from . import ctw, jaccard_join, packing, substring, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -30,6 +30,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(token_store.crc32_of_lists, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85).meta.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_token_store": op3_token_store,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_ctw": op7_ctw,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
