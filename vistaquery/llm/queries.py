@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, jaccard_join, packing, substring, token_store
+from . import cascade, ctw, html_text, jaccard_join, packing, substring, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.payload_table(spark, warc.write_archives(table(spark, sf_dir, "pages"))).drop("error")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     rows = store.read(spark, "doc_id", "start", "n_tokens", "tokens")
@@ -38,6 +46,11 @@ def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cascade.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), measures=True)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE)
     digests = pieces.mapInArrow(token_store.crc32_of_lists, "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -49,13 +62,45 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: The counts and the verdict of the quality rules, of every row of documents.
+QUALITY_SQL = r"""
+    WITH w AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    g AS (SELECT *, CASE WHEN len(words) < 3 THEN [] ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END AS grams FROM w),
+    h AS (SELECT *, list_histogram(grams) AS often FROM g),
+    r AS (SELECT *, list_transform(grams, lambda x: often[x] > 1) AS rep FROM h),
+    c AS (SELECT *, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        CASE WHEN len(words) < 3 THEN 0 ELSE coalesce(list_sum(list_transform(range(1, len(words) + 1), lambda i:
+            CASE WHEN coalesce(rep[i], false) OR (i > 1 AND coalesce(rep[i - 1], false)) OR (i > 2 AND coalesce(rep[i - 2], false)) THEN 1 ELSE 0 END)), 0) END::BIGINT AS n_repeat_words,
+        coalesce(list_sum(list_transform(words, lambda x: CASE WHEN regexp_matches(x, '\pL') THEN 1 ELSE 0 END)), 0) AS n_letter_words,
+        length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_upper FROM r),
+    q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        10 * n_symbols > n_words OR 2 * n_dup_lines > len(lines) OR 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words
+            OR 10 * n_letter_words < 8 * n_words OR 10 * n_upper > 3 * word_chars AS others_failed FROM c)
+    SELECT {columns} FROM (SELECT *, NOT base_failed AND NOT others_failed AS kept FROM q)"""
+
 QUERIES: dict[str, Query] = {
+    "op1_html_text": op1_html_text,
+    "op2_warc": op2_warc,
     "op3_token_store": op3_token_store,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_ctw": op7_ctw,
+    "op8_quality_cascade": op8_quality_cascade,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM f""",
+    "op8_quality_cascade": QUALITY_SQL.format(columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"),
+}
