@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, ctw, html_text, jaccard_join, packing, substring, token_store, warc
+from . import bpe_dp, cascade, ctw, html_text, jaccard_join, packing, substring, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -42,6 +42,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85).meta.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    rows = bpe_dp.decode_ids(bpe_dp.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_token_store": op3_token_store,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_bpe": op6_bpe,
     "op7_ctw": op7_ctw,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_packing": op9_packing,
