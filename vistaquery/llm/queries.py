@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, cascade, ctw, html_text, jaccard_join, packing, substring, token_store, warc
+from . import bpe_dp, cascade, ctw, html_text, jaccard_join, packing, rp_forest, substring, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -38,6 +38,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(token_store.crc32_of_lists, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85).meta.select("doc_id", "n_shingles", "component_id")
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
     "op3_token_store": op3_token_store,
+    "op4_rp_forest": op4_rp_forest,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
     "op7_ctw": op7_ctw,
