@@ -1,0 +1,19 @@
+"""Schemas of the catalog: nested entries, collection rows, ranked hits, results, history."""
+
+from pyspark.sql import types as T
+
+S, L, D, I, B = T.StringType(), T.LongType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
+
+
+def struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+DATES = struct(master_date=S, true_creation_date=S, true_modification_date=S, index_date=S, creation_date=S, modification_date=S, date_reliability=S, flags=T.ArrayType(S), chroma_indexed_at=S)
+METADATA = struct(file_hash=S, file_path=S, file_name=S, media_type=S, ext=S, mime_type=S, is_compat=B, dates=DATES, embedded_metadata=T.MapType(S, S), model_hash=S, api_name=S, model_name=S, uploaded_at=S)
+CONTENT = struct(summary=S, objects=T.ArrayType(S), text=S, vibe=T.ArrayType(S), background=S, detailed_description=S, miscellaneous=S)
+CONTEXT = struct(primary_category=S, intent=S, composition=S, estimated_date=S, event=S, analysis=S, metadata_relevance=S, other_details=S)
+DESCRIPTION = struct(content=CONTENT, context=CONTEXT, generation=struct(rigor=S))
+ENTRY = struct(entry_id=S, metadata=METADATA, description=DESCRIPTION, indexing=struct(chroma_indexed_at=S))
+COLLECTION_ROW = struct(collection=S, entry_id=S, document=S, tokens=T.ArrayType(S), token_string=S, token_count=I, embedding=T.ArrayType(T.FloatType()))
+HISTORY = struct(history_user=S, created_at=T.TimestampType(), query=S, top_n=I, ids=T.ArrayType(S), scores=T.ArrayType(D), search_key=S)
