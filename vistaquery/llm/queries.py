@@ -105,6 +105,13 @@ QUERIES: dict[str, Query] = {
     "op10_substring": op10_substring,
 }
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: From links (a, b) and nodes (id): the smallest node that each reaches.
+_REACH = """sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, x.b FROM reach r JOIN sides x ON x.a = r.b),
+    root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -115,5 +122,30 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
         FROM f""",
+    "op4_rp_forest": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        nodes AS (SELECT id FROM v),
+        links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+        {_REACH},
+        n AS (SELECT a AS id, count(*) AS n FROM sides GROUP BY a)
+        SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM root LEFT JOIN n USING (id)""",
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, {_WORDS.format(_ASCII_LOWER)} AS words FROM documents),
+        s AS (SELECT id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w),
+        nodes AS (SELECT id FROM s),
+        u AS (SELECT id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+        p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
+        links AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (n + m - c)),
+        {_REACH}
+        SELECT id AS doc_id, len(shingles)::BIGINT AS n_shingles, component_id FROM s JOIN root USING (id)""",
+    "op10_substring": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+        i AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+        k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(words[i:i + 19], ' ')) ORDER BY doc_id, i) > 1 AS again FROM i),
+        gone AS (SELECT DISTINCT doc_id, i + x.j AS i FROM k, range(20) x(j) WHERE again),
+        o AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM w),
+        kept AS (SELECT o.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY o.i) AS text FROM o LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY o.doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
     "op8_quality_cascade": QUALITY_SQL.format(columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"),
 }
