@@ -44,9 +44,11 @@ def gallery(entries: DataFrame, order: str = "upload_desc", limit: int = GALLERY
 
 
 def pending(entries: DataFrame) -> DataFrame:
-    """Entries that are not fully indexed, with their place by upload date within their status."""
-    rows = entries.where(~fully_indexed())
-    return records(rows).withColumn("position", F.row_number().over(Window.partitionBy("status").orderBy("uploaded_at", "entry_id")))
+    """Entries that are not fully indexed, by upload date, with their place among those of their status and day.
+
+    Sort by uploaded_at and entry_id to list them; a place among all would need one task for all."""
+    rows = records(entries.where(~fully_indexed())).withColumn("day", F.substring("uploaded_at", 1, 10))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("status", "day").orderBy("uploaded_at", "entry_id")))
 
 
 def pending_table(entries: DataFrame) -> DataFrame:

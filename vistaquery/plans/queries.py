@@ -644,7 +644,7 @@ def _(spark, d):
     return gallery.records(_unique(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("pending_uploads", f", g AS (SELECT {_RECORD} FROM u WHERE NOT (described AND is_indexed)) SELECT *, row_number() OVER (PARTITION BY status ORDER BY uploaded_at, entry_id)::INT AS position FROM g")
+@query("pending_uploads", f", g AS (SELECT {_RECORD} FROM u WHERE NOT (described AND is_indexed)) SELECT *, substr(uploaded_at, 1, 10) AS day, row_number() OVER (PARTITION BY status, substr(uploaded_at, 1, 10) ORDER BY uploaded_at, entry_id)::INT AS position FROM g")
 def _(spark, d):
     return gallery.pending(_unique(spark, d))
 
