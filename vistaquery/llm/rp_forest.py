@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .work import work_dir
 
-TREES, LEAF, TOP, BLOCK, SAMPLE = 10, 256, 8192, 16384, 20000
+TREES, LEAF, TOP, BLOCK, SAMPLE = 8, 256, 8192, 16384, 20000
 #: The margin in standard deviations of the projected difference of two vectors at the threshold.
 SPILL = 0.5
 #: Levels whose thresholds differ by node; deeper ones have one each.
