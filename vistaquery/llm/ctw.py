@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import over, read_parquet, read_segment, stage, work_dir, write_segments
+from .work import give_back, over, read_parquet, read_segment, stage, work_dir, write_segments
 from .words import LOWER, Hasher, blocks
 
 DEPTH = 5
@@ -39,7 +39,7 @@ DEPTH = 5
 BUCKET_DOCS = 4096
 _WORD = Hasher(21)
 _END = 0x0A
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _HALF = math.log(0.5)
 _U8 = np.uint64(8)
 
@@ -342,6 +342,7 @@ def score(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     paths = [p.path for p in parts]
 
     def scored(t: pa.Table) -> pa.Table:
+        give_back(forget=True)
         part = t["part"][0].as_py()
         keys, log_p, words, counts = [], [], [], []
         for b, p, w in zip(t["bucket"].to_pylist(), t["log_p"].to_pylist(), t["words"].to_pylist()):

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .work import REMEMBERED
+
 #: Distinct chunks that a worker remembers; beyond it those seen least are forgotten.
 REMEMBER = 600_000
 #: New chunks that are encoded as one text.
@@ -55,6 +57,9 @@ class ChunkEncoder:
             self.size[i] = len(token)
         for i, added in self.tokenizer.get_added_tokens_decoder().items():
             self.size[i] = len(added.content.encode())
+        self.forget_all()
+
+    def forget_all(self) -> None:
         self.known = _Known()
         self.ids, self.at, self.used = np.zeros(1 << 16, dtype=np.int32), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
@@ -162,6 +167,7 @@ def gather(values: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+REMEMBERED.append(lambda: [x.forget_all() for x in _ENCODERS.values()])
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import Part, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
+from .work import Part, give_back, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
 from .words import Hasher, blocks, mix, split_words, text_lengths
 
 WINDOW, MAX_RUNS, BATCHES = 20, 2, 4
 #: Documents for each bucket of the index.
 BUCKET_DOCS = 4096
 _KEY, _CHECK = Hasher(11), Hasher(12)
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -46,7 +46,7 @@ def copies(texts: list) -> np.ndarray:
 
 
 def fingerprints(column: pa.Array, skip: np.ndarray, size: int, with_check: bool = True) -> Iterator[tuple]:
-    """By block of texts: (first text, words, keys, checks, text of each window, word at which it starts)."""
+    """By block of texts: (first text, words before each text, keys, checks, text of each window, word at which it starts)."""
     for i, j in blocks(text_lengths(column), _BLOCK):
         w = split_words(column.slice(i, j - i))
         count = np.maximum(np.diff(w.offsets) - size + 1, 0)
@@ -56,24 +56,29 @@ def fingerprints(column: pa.Array, skip: np.ndarray, size: int, with_check: bool
         h = _KEY.words(w.data, w.start, w.end)
         keys = _KEY.windows(h, size)[at] if len(at) else np.zeros(0, dtype=np.uint64)
         checks = (_CHECK.windows(mix(h + np.uint64(1)), size)[at] >> np.uint64(48)).astype(np.uint16) if with_check and len(at) else np.zeros(0, dtype=np.uint16)
-        yield i, w, keys, checks, doc, at
+        yield i, w.offsets, keys, checks, doc, at
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
 
 
-def _segment(n_buckets: int, size: int):
+def _segment(n_buckets: int, size: int, order_column: str):
     def also(t: pa.Table, folder: str) -> str:
         text = t["text"].combine_chunks()
-        found = list(fingerprints(text, copies(text.to_pylist()), size))
-        keys, checks, doc = (np.concatenate([f[k] + (f[0] if k == 4 else 0) for f in found] or [np.zeros(0, d)]) for k, d in ((2, np.uint64), (3, np.uint16), (4, np.int64)))
+        found = [(keys, checks, (doc + i).astype(np.uint32)) for i, _, keys, checks, doc, _ in fingerprints(text, copies(text.to_pylist()), size)]
+        keys, checks, doc = (np.concatenate([f[k] for f in found] or [np.zeros(0, d)]) for k, d in enumerate((np.uint64, np.uint16, np.uint32)))
+        del found
         bucket = bucket_of(keys, n_buckets)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        keys, checks, doc = keys[order], checks[order], doc[order].astype(np.uint32 if t.num_rows > 1 << 16 else np.uint16)
-        ids = t["_order"].fill_null(_NULL_ID).to_numpy()
-        return write_segments(folder, "windows", [[keys[a:b], checks[a:b], doc[a:b].astype(np.uint32) if doc.dtype == np.uint32 else doc[a:b]] for a, b in zip(cut[:-1], cut[1:])], ids.tobytes())
+        keys, checks, doc = keys[order], checks[order], doc[order]
+        ids = t[order_column].fill_null(_NULL_ID).to_numpy()
+        out = []
+        for a, b in zip(cut[:-1], cut[1:]):  # the documents in a bucket, in order, and how many windows each has there
+            begin = np.flatnonzero(np.diff(doc[a:b].astype(np.int64), prepend=-1))
+            out.append([keys[a:b], checks[a:b], ids[doc[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32)])
+        return write_segments(folder, "windows", out)
 
     return also
 
@@ -111,13 +116,14 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, keep_run: bool = True) -> tuple[list[Part], str]:
         """Stages a batch, marks its repeated windows and adds a run; (parts, folder of the marks)."""
         n, size, runs, folder = self.n_buckets, self.size, list(self.runs), self.folder
-        parts = stage(docs.withColumn("_order", F.col("doc_id").cast("long")), folder, "_order", _segment(n, size))
-        segments = [(p.extra, p.rows) for p in parts]
+        order = max([*docs.columns, "a"], key=len) + "_order"  # a name that no column has
+        parts = stage(docs.withColumn(order, F.col("doc_id").cast("long")), folder, order, _segment(n, size, order))
+        segments = [p.extra for p in parts]
 
         def bucket(b: int) -> Iterator[pa.RecordBatch]:
-            got = [read_segment(path, b, ["u8", "u2", "u4" if rows > 1 << 16 else "u2"], True) for path, rows in segments]
+            got = [read_segment(path, b, ["u8", "u2", "i8", "u4"]) for path in segments]
             keys, checks = (np.concatenate([g[k] for g in got] or [np.zeros(0, d)]) for k, d in ((0, np.uint64), (1, np.uint16)))
-            ids = np.concatenate([np.frombuffer(g[3], dtype=np.int64)[g[2]] for g in got] or [np.zeros(0, np.int64)])
+            ids = np.concatenate([np.repeat(g[2], g[3]) for g in got] or [np.zeros(0, np.int64)])
             order = np.lexsort((ids, checks, keys))
             keys, checks = keys[order], checks[order]
             first = np.ones(len(keys), dtype=bool)
@@ -144,7 +150,7 @@ class FingerprintIndex:
 
         marks = f"{folder}/marks{parts[0].path[-12:] if parts else '0'}"
         over(self.spark, n, bucket, MARKS).write.parquet(marks)
-        for path, _ in segments:
+        for path in segments:
             remove(path)
         if keep_run:
             made = self.spark.read.schema(MARKS).parquet(marks).where("part = -1").select("bucket", "run", "size").collect()  # a row per bucket
@@ -186,6 +192,7 @@ def cleaned(spark: SparkSession, schema: T.StructType, parts: list[Part], marks:
     paths = [p.path for p in parts]
 
     def part(t: pa.Table) -> pa.Table:
+        give_back(forget=True)
         staged = read_parquet(paths[t["part"][0].as_py()])
         text = staged["text"].combine_chunks()
         same = copies(text.to_pylist())
@@ -195,15 +202,15 @@ def cleaned(spark: SparkSession, schema: T.StructType, parts: list[Part], marks:
         t = t.sort_by("bucket")
         repeated[np.argsort(bucket, kind="stable")] = np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=n).astype(bool) for m, n in zip(t["marks"].to_pylist(), t["n"].to_pylist())])
         texts, n_words, n_removed, at = [], [], [], 0
-        for i, w, keys, _, doc, start in found:
+        for i, offsets, keys, _, _, start in found:
             hit = start[repeated[at : at + len(keys)]]
             at += len(keys)
-            edge = np.zeros(len(w.start) + 1, dtype=np.int64)
+            edge = np.zeros(int(offsets[-1]) + 1, dtype=np.int64)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + size, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            for k in range(len(w.offsets) - 1):
-                a, b = int(w.offsets[k]), int(w.offsets[k + 1])
+            for k in range(len(offsets) - 1):
+                a, b = int(offsets[k]), int(offsets[k + 1])
                 lost = b - a if same[i + k] and b - a >= size else int(gone[a:b].sum())
                 n_words.append(b - a)
                 n_removed.append(lost)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 NON_SPACE = np.ones(256, dtype=bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -121,4 +122,4 @@ def blocks(lengths: np.ndarray, limit: int):
 
 
 def text_lengths(column: pa.Array) -> np.ndarray:
-    return pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -9,20 +9,25 @@ files of its own name; only names that a finished task reported are used.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 #: Raw bytes of Arrow data that one staged part holds before the next one is begun.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
+#: Rows of long texts that Spark and a Python worker exchange at a time.
+BATCH_ROWS = 1000
 _MADE: list[str] = []
 
 
@@ -31,11 +36,10 @@ def shared_root(spark: SparkSession) -> str:
 
     Only where that is unset, and Spark runs in one machine (as in tests), a temporary
     folder is made and set."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="work-")
     atexit.register(shutil.rmtree, made, True)
@@ -85,6 +89,23 @@ def read_parquet(uri: str, columns: list[str] | None = None) -> pa.Table:
         return pq.read_table(f, columns=columns)
 
 
+#: What a worker may drop that it remembers between tasks; modules with such a memory add to it.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def give_back(forget: bool = False) -> None:
+    """Hands memory that is free back to the system, as Python workers live on between tasks;
+    forget: and what was remembered for speed."""
+    if forget:
+        for drop in REMEMBERED:
+            drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @dataclass(frozen=True)
 class Part:
     path: str
@@ -107,6 +128,18 @@ def part_tables(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> I
         yield pa.Table.from_batches(held)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Within it, Arrow batches have n rows at most; the session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(n, int(old)) if int(old) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def stage(df: DataFrame, folder: str, order: str | None = None, also: Callable[[pa.Table, str], str] | None = None, limit: int = PART_BYTES) -> list[Part]:
     """Writes df as part files in folder and returns them (paths and counts only).
 
@@ -114,16 +147,19 @@ def stage(df: DataFrame, folder: str, order: str | None = None, also: Callable[[
     also(table, folder): makes a further file from the part's rows; its name is kept."""
 
     def run(batches):
+        give_back(forget=True)
         for t in part_tables(batches, limit):
             if order:
                 keys = [(order, "ascending")] + ([("text", "ascending")] if "text" in t.column_names and order != "text" else [])
-                t = t.take(pa.compute.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+                t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
             t = t.combine_chunks()
             path = new_name(folder, "part")
             write_parquet(path, t)
             yield pa.RecordBatch.from_pydict({"path": [path], "rows": [t.num_rows], "extra": [also(t, folder) if also else ""]})
+            give_back()
 
-    found = df.mapInArrow(run, "path string, rows long, extra string").collect()
+    with batch_rows(df.sparkSession, BATCH_ROWS):
+        found = df.mapInArrow(run, "path string, rows long, extra string").collect()
     return [Part(r.path, r.rows, r.extra) for r in sorted(found, key=lambda r: r.path)]
 
 
@@ -131,9 +167,11 @@ def over(spark: SparkSession, n: int, run: Callable[[int], Iterator[pa.RecordBat
     """run(k) for every k below n, each k in a task of its own."""
 
     def each(batches):
+        give_back(forget=True)
         for b in batches:
             for k in b.column(0).to_pylist():
                 yield from run(k)
+                give_back()
 
     return spark.range(0, n, 1, max(n, 1)).mapInArrow(each, schema)
 
@@ -143,15 +181,16 @@ def write_segments(folder: str, kind: str, per_bucket: list[list[np.ndarray]], h
 
     Returns its name.  Each array goes in behind its length in bytes, so that a reader
     needs the offsets and one range of the file."""
-    blobs = [b"".join(len(x).to_bytes(8, "little") + x for x in map(np.ndarray.tobytes, arrays)) for arrays in per_bucket]
-    at = 8 * (len(blobs) + 3) + len(head)
-    offsets = np.cumsum([at, *map(len, blobs)], dtype=np.int64)
+    sizes = [sum(8 + x.nbytes for x in arrays) for arrays in per_bucket]
+    at = 8 * (len(sizes) + 3) + len(head)
+    offsets = np.cumsum([at, *sizes], dtype=np.int64)
     path = new_name(folder, kind)
     fs, p = locate(path)
     with fs.open_output_stream(p) as out:
-        out.write(np.array([len(blobs), len(head)], dtype=np.int64).tobytes() + offsets.tobytes() + head)
-        for b in blobs:
-            out.write(b)
+        out.write(np.array([len(sizes), len(head)], dtype=np.int64).tobytes() + offsets.tobytes() + head)
+        for x in (x for arrays in per_bucket for x in arrays):
+            out.write(x.nbytes.to_bytes(8, "little"))
+            out.write(np.ascontiguousarray(x).data)
     return path
 
 
