@@ -22,7 +22,6 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 2000
