@@ -141,3 +141,42 @@ def test_scan_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest_stream(spark, str(tmp_path / "in"), lambda df, k: df.write.mode("append").parquet(out), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_config_and_helpers():
+    from vistaquery.plans import config
+
+    c = config.IngestConfig.from_env("X_", {"X_RIGOR": " High ", "X_DUMMY": "yes", "X_MAX_WIDTH": "10"})
+    assert (c.batch_size, c.dummy_descriptions, c.max_width, c.update_mode) == (5, True, 10, False)
+    assert config.IngestConfig(rigor="?").batch_size == 50 and not config.IngestConfig().can_describe(None)
+    with pytest.raises(ValueError):
+        config.required({}, "X")
+    assert config.render("a __x__ __y__", {"x": "1"}) == "a 1 __y__"
+    assert config.merge({"a": {"b": 1}, "l": [1], "s": 1}, {"a": {"c": 2}, "l": [2], "s": 3}) == {"a": {"b": 1, "c": 2}, "l": [1, 2], "s": 3}
+    assert config.decode("é".encode()) == "é" and config.decode("ab".encode("utf-16")) == "ab" and config.decode(b"\xe9\x00") == "é"
+    assert config.embedding_chunk(100, 4) == 13 and config.embedding_chunk(100, 4, 32) == 32
+    t = config.Timings()
+    with t.step("a"):
+        pass
+    assert set(t.seconds) == {"a"}
+
+
+def test_files(spark, tmp_path):
+    from vistaquery.sources.files import delete_entries, delete_files, store_upload
+
+    root, now = str(tmp_path / "up"), datetime(2024, 3, 5)
+    path = store_upload(root, b"x", "a\\B.JPG", now)
+    assert "/20240305/" in path and path.endswith(".jpg") and store_upload(root, b"x", "other.png", datetime(2025, 1, 1)) == path
+    other = store_upload(root, b"y", "n", now)
+    (tmp_path / "outside").write_bytes(b"")
+    assert delete_files([path, str(tmp_path / "outside"), path + "?"], root) == 1 and (tmp_path / "outside").exists()
+    assert delete_entries(spark.createDataFrame([([other],)], "paths array<string>"), root) == 1
+    assert not list((tmp_path / "up").iterdir())
+
+
+def test_embed(spark):
+    from vistaquery.operators.embed import embed
+
+    docs = spark.createDataFrame([("content_narrative", "abc"), ("other_data", "de"), ("else", "f")], "collection string, document string")
+    models = {"sentence": lambda xs: [[len(x), 1] for x in xs], "word": lambda xs: [[len(x), 2] for x in xs]}
+    assert {r.document: r.embedding for r in embed(docs, models).collect()} == {"abc": [3.0, 1.0], "de": [2.0, 2.0], "f": None}
