@@ -34,8 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .encoder import gather
+from .work import REMEMBERED, give_back, part_tables
 
-REMEMBER = 400_000
+#: Chunks, and words, that a worker remembers; beyond it those seen least are forgotten.
+REMEMBER = 200_000
+#: Texts that are encoded at a time, in bytes.
+STEP_BYTES = 2 << 20
 _END = "\x00"
 _NEVER = 1 << 60
 
@@ -81,6 +85,22 @@ class PrefixBPE:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.at, self.new = np.zeros(1 << 16, dtype=np.int32), np.zeros(1, dtype=np.int64), []
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def _prune(self) -> None:
+        """Keeps the chunks seen more than once, or of those the more frequent half."""
+        often = self.used > 1
+        if often.sum() > self.remember // 2:
+            often &= self.used > np.median(self.used[often])
+        names, rows, counts = [k for k, keep in zip(self.known, often) if keep], np.flatnonzero(often), np.diff(self.at)[often]
+        flat = gather(self.ids, self.at[rows], counts)
+        self._reset()
+        self.ids, self.at = np.concatenate([flat, self.ids]), np.concatenate([[0], np.cumsum(counts)])
+        self.known, self.used = dict(zip(names, range(len(names)))), np.zeros(len(names), dtype=np.int64)
+        if len(self.words) >= self.remember:
+            self.words.clear()
+        if len(self.fits) > 2 * self.remember:
+            self.fits.clear()
 
     def _edge(self, token: int, right: bool) -> tuple[list[int], list[int]]:
         """The symbols on that edge from the base symbol to the token, and when each is taken up."""
@@ -174,11 +194,7 @@ class PrefixBPE:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         if len(self.known) > self.remember:
-            self._reset()
-            if len(self.words) >= self.remember:
-                self.words.clear()
-            if len(self.fits) > 4 * self.remember:
-                self.fits.clear()
+            self._prune()
         chunks: list[str] = []
         size = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
@@ -194,7 +210,8 @@ class PrefixBPE:
             if end[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(int(end[-1]), dtype=np.int32)])
             self.ids[self.at[-1] : end[-1]] = np.frombuffer(b"".join(map(array.tobytes, found)), dtype=np.int32)
-            self.at, self.new = np.concatenate([self.at, end]), []
+            self.at, self.used, self.new = np.concatenate([self.at, end]), np.concatenate([self.used, np.zeros(len(found), dtype=np.int64)]), []
+        self.used += np.bincount(rows, minlength=len(self.used))
         counts = np.diff(self.at)[rows]
         total = np.concatenate([[0], np.cumsum(counts)])
         return gather(self.ids, self.at[rows], counts), np.diff(total[np.concatenate([[0], np.cumsum(size)])])
@@ -204,6 +221,7 @@ class PrefixBPE:
 
 
 _TOOLS: dict[str, PrefixBPE] = {}
+REMEMBERED.append(_TOOLS.clear)
 
 
 def tool(path: str) -> PrefixBPE:
@@ -212,19 +230,21 @@ def tool(path: str) -> PrefixBPE:
     return _TOOLS[path]
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, step: int = 1000) -> DataFrame:
-    """docs with ids in place of text."""
+def encode_texts(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
+    """docs with ids in place of text; decoded: and with the text that the ids decode to, in the same pass."""
     own = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
-    schema = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("text", T.StringType())] if decoded else [])])
 
     def run(batches):
         encoder = tool(tokenizer)
-        for whole in batches:
-            for k in range(0, whole.num_rows, step):
-                b = whole.slice(k, step)
-                flat, counts = encoder.encode(b.column(b.schema.get_field_index("text")).to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=schema.names)
+        for table in part_tables(batches, STEP_BYTES):
+            flat, counts = encoder.encode(table["text"].to_pylist())
+            at = np.concatenate([[0], np.cumsum(counts)])
+            extra = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
+            if decoded:
+                extra.append(pa.array([encoder.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(table[f.name].combine_chunks() for f in own), *extra], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -48,7 +48,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    rows = bpe_dp.decode_ids(bpe_dp.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    rows = bpe_dp.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
