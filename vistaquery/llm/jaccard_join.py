@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import Part, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
+from .work import Part, give_back, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
 from .words import Hasher, blocks, mix, split_words, text_lengths
 
 SLOT_BITS, SLICES, RANGES, BUCKET_DOCS = 21, 16, 64, 4096
 _HASH = Hasher(31)
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def ngrams(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -237,6 +237,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(per_set, "sig").select("part", "ord", "sig")
 
         def elements(t: pa.Table) -> pa.Table:
+            give_back()
             level = np.frombuffer(levels.value, dtype=np.uint8)
             text = read_parquet(paths[t["part"][0].as_py()], ["text"])["text"].combine_chunks().take(t["ord"].combine_chunks())
             sig, out = t["sig"].combine_chunks(), []
@@ -263,25 +264,43 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
     mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     rest = named.join(mixed, "token", "left_semi")
 
-    def across(t: pa.Table) -> pa.Table:
-        """All pairs of a list between different components that pass the filters, block by block."""
-        order = np.argsort(t["n"].to_numpy(), kind="stable")
-        sig, n, pos, c = (t[x].to_numpy()[order] for x in ("sig", "n", "pos", "c"))
-        # partners of i that are no smaller: up to the last n that passes the length filter
-        end = np.searchsorted(n, 100 * n // percent, side="right")
-        out_a, out_b = [], []
-        step = max(1, (1 << 20) // max(1, int((end - np.arange(len(n))).max(initial=1))))
-        for i in range(0, len(n), step):
-            j = min(i + step, len(n))
-            count = np.maximum(end[i:j] - np.arange(i, j) - 1, 0)
-            left = np.repeat(np.arange(i, j), count)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+    def across(token: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole lists, by token and n: all pairs between different components that pass the filters, block by block."""
+        begin, count = _runs(token)
+        number = np.repeat(np.arange(len(begin)), count)
+        # partners of i that are no smaller: up to the last n of its list that passes the length filter
+        wide = np.int64(1) << 40
+        end = np.searchsorted(number * wide + n, number * wide + 100 * n // percent, side="right")
+        total = np.concatenate([[0], np.cumsum(np.maximum(end - np.arange(len(n)) - 1, 0))])
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), side="right")) - 1)
+            partners = np.diff(total[i : j + 1])
+            left = np.repeat(np.arange(i, j), partners)
+            right = left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - total[i], partners)
             ok = (c[left] != c[right]) & may_link(n[left], n[right], pos[left], pos[right], percent)
-            out_a.append(np.minimum(sig[left[ok]], sig[right[ok]]))
-            out_b.append(np.maximum(sig[left[ok]], sig[right[ok]]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    pairs = rest.select("token", "sig", "n", "pos", "c").groupBy("token").applyInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+            low, high = np.minimum(sig[left[ok]], sig[right[ok]]), np.maximum(sig[left[ok]], sig[right[ok]])
+            order = np.lexsort((high, low))  # a pair shares many elements: those met in this block go once
+            low, high = low[order], high[order]
+            own = np.ones(len(low), dtype=bool)
+            own[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(low[own]), pa.array(high[own])], names=["a", "b"])
+            i = j
+
+    def lists_of(batches):
+        held = None
+        for t in batches:
+            x = [t.column(k).to_numpy() for k in range(5)]
+            held = x if held is None else [np.concatenate(y) for y in zip(held, x)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if last:
+                yield from across(*(y[:last] for y in held))
+                held = [y[last:] for y in held]
+        if held is not None:
+            yield from across(*held)
+
+    whole = rest.select("token", "sig", "n", "pos", "c").repartition("token").sortWithinPartitions("token", "n")
+    pairs = whole.mapInArrow(lists_of, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = compared(pairs, "across")
     ends = more.join(found.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
     merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
