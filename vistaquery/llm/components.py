@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import work_dir
+from .work import remove, work_dir
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,8 @@ def components(edges: DataFrame, limit: int = 1 << 21) -> DataFrame:
         e.write.parquet(f"{folder}/round{k}")
         e = spark.read.schema("u long, v long").parquet(f"{folder}/round{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if k:
+            remove(f"{folder}/round{k - 1}")
         if now == before or not now[0]:
             break
         before, k = now, k + 1

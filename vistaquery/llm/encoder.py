@@ -15,7 +15,7 @@ import numpy as np
 from .work import REMEMBERED
 
 #: Distinct chunks that a worker remembers; beyond it those seen least are forgotten.
-REMEMBER = 600_000
+REMEMBER = 300_000
 #: New chunks that are encoded as one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -311,4 +311,6 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
     filled = meta.where("n_shingles > 0").join(of_set, "sig").select("part", "ord", "doc_id", "n_shingles", "component_id")
     bare = meta.where("n_shingles = 0").select("part", "ord", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     filled.unionByName(bare).write.parquet(f"{folder}/result")
+    for step in ("meta", "lists", "sets", "first", "found", *(f"{k}-{x}" for k in ("leaders", "across") for x in ("pairs", "elements", "links"))):
+        remove(f"{folder}/{step}")
     return Join(spark, parts, spark.read.parquet(f"{folder}/result"), docs.schema)

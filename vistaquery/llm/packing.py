@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .encoder import encoder
 from .token_store import BATCH_BYTES, list_column, with_end
-from .work import part_tables, work_dir
+from .work import BATCH_ROWS, batch_rows, give_back, part_tables, work_dir
 
 #: Pieces in a shard.
 SHARD = 1 << 17
@@ -114,10 +114,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, fo
             keys = key + np.arange(len(doc))
             key += len(doc)
             yield pa.RecordBatch.from_arrays([pa.array(keys), t["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), list_column(flat, length)], names=["piece_key", "doc_id", "piece", "start", "length", "tokens"])
+        give_back()
 
     folder = f"{folder or work_dir(spark, 'pieces')}/pieces"
     schema = "piece_key long, doc_id long, piece int, start long, length long, tokens array<int>"
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    with batch_rows(spark, BATCH_ROWS):
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .work import locate, new_name, part_tables, work_dir
+from .work import BATCH_ROWS, batch_rows, give_back, locate, new_name, part_tables, work_dir
 
 #: Ids in a row group, and bytes in a data page.
 GROUP_IDS, PAGE_BYTES = 1 << 20, 1 << 17
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("file_no", pa.int32()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 #: Texts that are encoded at a time, in bytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +118,14 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             flush()
             out.close()
             sink.close()
+            give_back()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([file_no], pa.int32()), "path": [uri], "docs": [docs_here], "ids": [ids_here]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # equal doc_ids may go apart, by their texts' hash, so that no id's rows need one task
     ranged = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
-    made = sorted(ranged.mapInArrow(run, "file_no int, path string, docs long, ids long").collect(), key=lambda r: r.file_no)  # a row per file
+    with batch_rows(spark, BATCH_ROWS):
+        made = sorted(ranged.mapInArrow(run, "file_no int, path string, docs long, ids long").collect(), key=lambda r: r.file_no)  # a row per file
     base = np.cumsum([0, *(r.ids for r in made)]).tolist()
     keep = {r.path for r in made}
     fs, path = locate(f"{folder}/files")
