@@ -36,11 +36,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of SEQUENCE tokens: doc_id, piece, start, length, sequence_id, offset and the ids' crc32."""
-    pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE)
+    pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE, remember=REMEMBER)
     digests = pieces.select("piece_key", "tokens").mapInArrow(token_store.crc32_of_lists, "piece_key long, ids_crc32 long")
     return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE).join(digests, "piece_key").drop("piece_key")
 
 
+#: Words that a worker's encoder remembers here, fewer than alone, as other stages' memory is still there.
+REMEMBER = 300_000
 #: Words of a passage that the third stage takes for repeated.
 PASSAGE = 50
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("best-fit packing", sequences)]

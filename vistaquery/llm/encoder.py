@@ -15,7 +15,7 @@ import numpy as np
 from .work import REMEMBERED
 
 #: Distinct chunks that a worker remembers; beyond it those seen least are forgotten.
-REMEMBER = 300_000
+REMEMBER = 600_000
 #: New chunks that are encoded as one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -170,8 +170,9 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 REMEMBERED.append(lambda: [x.forget_all() for x in _ENCODERS.values()])
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
     """The worker's own encoder for that file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].remember = remember
     return _ENCODERS[path]

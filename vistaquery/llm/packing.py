@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoder import encoder
+from .encoder import REMEMBER, encoder
 from .token_store import BATCH_BYTES, list_column, with_end
 from .work import BATCH_ROWS, batch_rows, give_back, part_tables, work_dir
 
@@ -97,12 +97,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
     return bins, offsets, np.concatenate([np.zeros(n, dtype=np.int64), gaps2])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, folder: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, folder: str | None = None, remember: int = REMEMBER) -> DataFrame:
     """Per piece: piece_key (unique), doc_id, piece, start, length, tokens; written to the shared folder and read from it."""
     spark = docs.sparkSession
 
     def run(batches):
-        tool, key = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        tool, key = encoder(tokenizer, remember), TaskContext.get().partitionId() << 36
         for t in part_tables(batches, BATCH_BYTES):
             flat, counts = with_end(*tool.encode(t["text"].to_pylist()), end_id)
             n = -(-counts // capacity)
