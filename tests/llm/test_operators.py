@@ -301,6 +301,19 @@ def test_jaccard_join(spark, size, percent):
     assert jaccard_join.jaccard_join(frame(spark, EMPTY)).meta.count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    """Texts that are not linked are apart, whatever their doc_ids; linked ones are one, whatever theirs."""
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in "abcde"]
+    near = texts[0] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (None, near), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[4]), (None, texts[4]), (None, None), (7, "")]
+    join = jaccard_join.jaccard_join(frame(spark, rows))
+    same(join.meta.select("doc_id", "n_shingles", "component_id").collect(), jaccard_truth(rows, 4, 85)[0])
+    kept = [(r.doc_id, r.text) for r in join.representatives().collect()]
+    first = [x for x in kept if x in ((None, texts[0]), (None, near))]  # equal rank: either
+    assert len(first) == 1
+    same([x for x in kept if x not in first], [(None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, None), (7, "")])
+
+
 @pytest.mark.parametrize("percent", [80, 85, 100])
 def test_prefix_and_bounds(percent):
     for n in range(1, 200):

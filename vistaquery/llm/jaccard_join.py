@@ -101,7 +101,9 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Join:
-    """The result: meta has a row per document (part, ord, doc_id, n_shingles, component_id)."""
+    """The result: meta has a row per document (part, ord, doc_id, n_shingles, component_id, component).
+
+    component is a component's own key; component_id, its smallest doc_id, may be null or another's too."""
 
     spark: SparkSession
     parts: list[Part]
@@ -111,7 +113,7 @@ class Join:
     def representatives(self) -> DataFrame:
         """The columns of the documents, of one row of each component (and of each document without words)."""
         paths, names = [p.path for p in self.parts], [f.name for f in self.schema.fields]
-        first = self.meta.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "ord")).alias("x")).select("x.part", "x.ord")
+        first = self.meta.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "ord")).alias("x")).select("x.part", "x.ord")
         kept = first.unionByName(self.meta.where("n_shingles = 0").select("part", "ord"))
 
         def part(t: pa.Table) -> pa.Table:
@@ -307,9 +309,9 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
     label = per_set.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
     label = label.join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c"))
     smallest = label.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_set = label.select("sig", "c").join(smallest, "c").select("sig", "component_id")
-    filled = meta.where("n_shingles > 0").join(of_set, "sig").select("part", "ord", "doc_id", "n_shingles", "component_id")
-    bare = meta.where("n_shingles = 0").select("part", "ord", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_set = label.select("sig", "c").join(smallest, "c").select("sig", "component_id", F.col("c").alias("component"))
+    filled = meta.where("n_shingles > 0").join(of_set, "sig").select("part", "ord", "doc_id", "n_shingles", "component_id", "component")
+    bare = meta.where("n_shingles = 0").select("part", "ord", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     filled.unionByName(bare).write.parquet(f"{folder}/result")
     for step in ("meta", "lists", "sets", "first", "found", *(f"{k}-{x}" for k in ("leaders", "across") for x in ("pairs", "elements", "links"))):
         remove(f"{folder}/{step}")
