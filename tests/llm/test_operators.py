@@ -76,6 +76,25 @@ def test_html(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "So x=1 holds"),
+        ("<math><semantics><mi>y</mi><annotation encoding='application/x-tex'>tex</annotation></semantics></math>z", "yz"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>", "1 2\n3 4"),
+        ("a<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>u</text></defs><text>label</text><text x='1'>two</text></svg>b", "a\nlabel\ntwo\nb"),
+        ("<svg><title/><defs/><path d='x'/><text>shown</text></svg>b", "shown\nb"),
+        ("<svg><text><![CDATA[1 &lt; > 2]]></text></svg>", "1 &lt; > 2"),
+        ("<svg><text display='none'>a</text><text visibility=hidden>b</text><text>c</text></svg>", "c"),
+        ("<svg><foreignObject><p>html<p>text</foreignObject></svg>", "html\n\ntext"),
+        ("<svg><defs><p>after", "after"), ("<desc>d</desc><text>e</text><annotation>f", "def"), ("<svg><style>s</style><script>s</script></svg>x", "x"),
+    ],
+)
+def test_html_shows_svg_and_math(html, text):
+    assert html_text.html_to_text(html) == text
+    assert html_text.html_to_text("<svg>" + "<g>" * 50_000 + "<text>x") == "x"
+
+
 def test_html_is_deep_and_long():
     assert html_text.html_to_text("<div>" * 50_000 + "x") == "x"
     assert html_text.html_to_text("<table><tr><td>" * 300 + "x") == "x"

@@ -3,7 +3,9 @@
 The builder knows void and raw-text elements, end tags that others imply (p, li, dt, dd, tr,
 td, ...) and end tags without a start.  Not shown: what browsers do not show (head, script,
 style, template, noscript, ..., [hidden], display: none, visibility: hidden but where a
-descendant is visible again, inputs, closed details and dialogs).  Everything else is: blocks
+descendant is visible again, inputs, closed details and dialogs; of SVG and MathML titles,
+descriptions, metadata, defs, even where use draws them, and annotations).  Everything else is:
+formulas as the text of their elements, SVG labels and matrix rows on lines of their own, blocks
 on lines of their own, paragraphs, headings, lists and tables set apart by an empty line,
 line breaks, pre as it is, list items with bullets or numbers by depth, table rows with cells
 in columns of equal width.  A cell wider than CELL characters does not widen its column, so
@@ -27,9 +29,9 @@ CELL = 60
 #: Fixed values of HTML: element names by the role that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas svg math datalist input link meta base param source track area map".split())
+UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist input link meta base param source track area map #unseen".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu dir fieldset".split())
-BLOCK = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav option optgroup section summary search tr caption".split())
+BLOCK = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav option optgroup section summary search tr caption #label".split())
 CLOSES_P = BLOCK - frozenset("body html tr caption option optgroup legend".split())
 #: Start tag -> the open elements that it ends, and the elements beyond which it does not look.
 IMPLIED = {
@@ -46,6 +48,11 @@ IMPLIED = {
     "tfoot": ({"caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Within svg and math: elements that are not drawn, lines of their own, HTML again, and HTML start tags that end them.
+FOREIGN_UNSEEN = frozenset("title desc metadata defs annotation annotation-xml".split())
+FOREIGN_LINES = frozenset("text mtr mlabeledtr".split())
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _P_LIMIT = frozenset("button td th caption table object html".split())
 _P = frozenset(["p"])
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
@@ -61,33 +68,36 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def _attributes(html: str, at: int) -> tuple[dict, int]:
-    """The attributes from there on, and the place behind the tag (-1: it does not end)."""
+def _attributes(html: str, at: int) -> tuple[dict, int, bool]:
+    """The attributes from there on, the place behind the tag (-1: it does not end), and whether it ends in />."""
     out: dict[str, str] = {}
+    last = -1
     while at < len(html):
         m = _ATTRIBUTE.match(html, at)
         if m and m.end() > at:
             if m[1]:
                 out.setdefault(m[1].lower(), unescape(next((x for x in m.groups()[1:] if x is not None), "")))
-            at = m.end()
+            at = last = m.end()
         elif html[at] == ">":
-            return out, at + 1
+            return out, at + 1, html[at - 1] == "/" and last < at
         elif html[at] in "\"'" and html.find(html[at], at + 1) < 0:
-            return out, -1
+            return out, -1, False
         else:
             at += 1
-    return out, -1
+    return out, -1, False
 
 
 def parse(html: str) -> Node:
     root = Node("#root", {})
     stack = [root]
+    foreign = [False]  # whether children of the open elements are SVG or MathML
+    renamed: list[tuple[Node, str]] = []
     depth: dict[str, int] = {}  # open elements by name
 
     def pop_to(k: int) -> None:
         for x in stack[k:]:
             depth[x.tag] -= 1
-        del stack[k:]
+        del stack[k:], foreign[k:]
 
     def close(tags, limit) -> None:
         """Ends an open element of tags within the nearest of limit: of rows and cells the outermost, else the nearest."""
@@ -116,6 +126,11 @@ def parse(html: str) -> Node:
             end = html.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
+        if foreign[-1] and html.startswith("<![CDATA[", lt):
+            end = html.find("]]>", lt + 9)
+            stack[-1].children.append(html[lt + 9 : n if end < 0 else end].replace("&", "&amp;"))
+            at = n if end < 0 else end + 3
+            continue
         ahead = html[lt + 1 : lt + 2]
         closing = ahead == "/"
         name = _NAME.match(html, lt + 1 + closing)
@@ -129,9 +144,9 @@ def parse(html: str) -> Node:
             continue
         tag, at = name[0].lower(), name.end()
         if html[at : at + 1] == ">":
-            attributes, at = {}, at + 1
+            attributes, at, alone = {}, at + 1, False
         else:
-            attributes, at = _attributes(html, at)
+            attributes, at, alone = _attributes(html, at)
             if at < 0:
                 break
         if closing:
@@ -145,12 +160,30 @@ def parse(html: str) -> Node:
             elif tag in ("br", "p"):
                 stack[-1].children.append(Node(tag, {}))
             continue
+        if foreign[-1] and tag in BREAKOUT:
+            k = len(stack) - 1
+            while foreign[k]:
+                k -= 1
+            pop_to(k + 1)
         if tag in CLOSES_P and depth.get("p"):
             close(_P, _P_LIMIT)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        inside = foreign[-1]
+        if inside or tag in ("svg", "math"):
+            for k in ("display", "visibility"):  # as style, which goes before them
+                if k in attributes:
+                    attributes["style"] = f"{k}:{attributes[k]};{attributes.get('style', '')}"
+            if inside and tag in FOREIGN_UNSEEN:
+                renamed.append((node, "#unseen"))
+            elif inside and tag in FOREIGN_LINES:
+                renamed.append((node, "#label"))
+            elif inside and tag == "mtd":
+                node.children.append(" ")
+            if alone:
+                continue
         if tag in VOID:
             continue
         if tag in RAW:
@@ -162,7 +195,11 @@ def parse(html: str) -> Node:
             at = n if gt < 0 else gt + 1
             continue
         stack.append(node)
+        again = tag in HTML_AGAIN or tag == "annotation-xml" and attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+        foreign.append(tag in ("svg", "math") or inside and not again)
         depth[tag] = depth.get(tag, 0) + 1
+    for node, name in renamed:
+        node.tag = name
     return root
 
 
