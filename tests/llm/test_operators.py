@@ -212,6 +212,14 @@ def test_packing(spark, byte_tokenizer):
     assert packing.pack_documents(frame(spark, EMPTY), BYTE, 2).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[60] * 50, [51, 49] * 10 + [60] * 30])
+def test_packing_places_pieces_of_bins_that_never_fill(spark, lengths):
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "piece_key long, length long")
+    got = packing.pack_lengths(pieces, 100, shard_size=10).collect()
+    same([(r.piece_key, r.length) for r in got], list(enumerate(lengths)))
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and all(r.offset + r.length <= 100 for r in got)
+
+
 def test_sum_of_squares_is_the_rule():
     rnd, capacity = random.Random(3), 30
     lengths = [rnd.randint(1, 30) for _ in range(300)]

@@ -135,7 +135,7 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack_lengths(pieces: DataFrame, capacity: int, shard_size: int = SHARD, folder: str | None = None, rounds: int = 2) -> DataFrame:
+def pack_lengths(pieces: DataFrame, capacity: int, shard_size: int = SHARD, folder: str | None = None, rounds: int = 62) -> DataFrame:
     """pieces (piece_key unique, length 1 to capacity, and any other columns) with sequence_id and offset."""
     spark = pieces.sparkSession
     folder = folder or work_dir(spark, "packing")
@@ -146,13 +146,12 @@ def pack_lengths(pieces: DataFrame, capacity: int, shard_size: int = SHARD, fold
     for k in range(rounds):
         n = items.count()
         shards = max(1, -(-n // shard_size))
-        if k and n == last:
-            break
+        final = shards == 1 or n == last or k == rounds - 1  # places all that is left
         last = n
         packed = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(k)), F.lit(shards))).groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
         packed.write.mode("overwrite").parquet(f"{folder}/round{k}")
         packed = spark.read.schema(schema).parquet(f"{folder}/round{k}")
-        if shards == 1 or k == rounds - 1:
+        if final:
             done, items = packed, None
         else:  # bins with a gap are taken apart and packed together with those of the other shards
             done = packed.where(F.col("used") == capacity)
