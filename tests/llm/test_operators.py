@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from vistaquery.llm import bpe_dp, cascade, ctw, html_text, jaccard_join, packing, rp_forest, substring, token_store, warc, work
 from vistaquery.llm.components import components, forest
+from vistaquery.llm import words as words_module
 from vistaquery.llm.encoder import ChunkEncoder
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -129,14 +130,15 @@ def test_warc_round_trip(spark):
     same(warc.payload_table(spark, files).drop("error").collect(), want)
     read = warc.read_archives(spark, files).where("record_type = 'response'").collect()
     assert all(r.error is None for r in read) and {bytes(r.payload).decode() for r in read} == {"small", "", big, "q" * 200}
-    assert warc.write_archives(pages.where("false")) == []
+    assert warc.write_archives(pages.where("false")).count() == 0
+    assert warc.payload_table(spark, warc.write_archives(pages.where("false"))).count() == 0
 
 
 def test_warc_reports_broken_segments(spark, tmp_path):
     records = list(warc.page_records(1, "u", b"x" * 3000, None, "<id>", 1000))
     for name, kept in (("gap", records[:1] + records[2:]), ("cut", records[:-1]), ("whole", records[::-1])):
         (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(kept))
-    got = {n: warc.read_archives(spark, [str(tmp_path / f"{n}.warc.gz")]).first() for n in ("gap", "cut", "whole")}
+    got = {n: warc.read_archives(spark, spark.createDataFrame([(str(tmp_path / f"{n}.warc.gz"),)], "path string")).first() for n in ("gap", "cut", "whole")}
     assert got["gap"].error == "a segment is missing" and got["cut"].error == "another total length"
     assert got["whole"].error is None and bytes(got["whole"].payload) == b"x" * 3000
 
@@ -341,6 +343,37 @@ def test_representatives_of_null_and_repeated_ids(spark):
     same([x for x in kept if x not in first], [(None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, None), (7, "")])
 
 
+def thue_morse(n=10):
+    """Two words of 2**n letters that collide under every polynomial modulo 2**64 with an odd base."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [64, 9, 2])
+def test_jaccard_join_under_colliding_hashes(spark, monkeypatch, bits):
+    """Results don't depend on the hash: cut to few bits, it only makes more candidates."""
+    of_lanes = words_module.Hasher.of_lanes
+    monkeypatch.setattr(words_module.Hasher, "of_lanes", lambda self, *x: of_lanes(self, *x) >> np.uint64(64 - bits))
+    monkeypatch.setattr(words_module.Hasher, "windows", lambda self, h, size: sum(h[k : len(h) - size + 1 + k] for k in range(size)) << np.uint64(50) if len(h) >= size else h[:0])
+    one, other = thue_morse()
+    rows = [(1, f"one two {one} four five six"), (2, f"one two {other} four five six"), *corpus(8, 15)]
+    for block in (8192, 3):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        join = jaccard_join.jaccard_join(frame(spark, rows), 3, 50)
+        same(join.meta.select("doc_id", "n_shingles", "component_id").collect(), jaccard_truth(rows, 3, 50)[0])
+
+
+def test_suffix_filter():
+    rnd = random.Random(3)
+    for _ in range(500):
+        x, y = (np.array(sorted(rnd.sample(range(40), rnd.randint(1, 30)))) for _ in range(2))
+        assert jaccard_join.differing(x, y) <= len(set(x.tolist()) ^ set(y.tolist()))
+        both, either = len({*x.tolist()} & {*y.tolist()}), len({*x.tolist()} | {*y.tolist()})
+        assert jaccard_join.linked(x, y, 60) == (100 * both >= 60 * either)
+
+
 @pytest.mark.parametrize("percent", [80, 85, 100])
 def test_prefix_and_bounds(percent):
     for n in range(1, 200):
@@ -518,9 +551,30 @@ def test_index_compacts_and_goes_on(spark):
     seen = set()
     for k in range(5):
         batch = rows[k::5]
-        parts, marks = index.add(frame(spark, batch))
-        got = substring.cleaned(spark, frame(spark, batch).schema, parts, marks, 4, 6, True)
+        got = index.add(frame(spark, batch)).cleaned()
         same(got.select("doc_id", "n_words", "n_removed", "text").collect(), removed(batch, 6, seen))
         assert len(index.runs) <= 2
-    keys = np.concatenate([work.read_segment(run[b], 0, ["u8", "u2"])[0] for run in index.runs for b in range(4)])
+    keys = np.concatenate([work.read_parquet(f"{run}/{b:07}")["key"].to_numpy() for run in index.runs for b in range(4)])
     assert len(keys) == len(seen)
+
+
+@pytest.mark.parametrize("bits", [64, 8, 2])
+def test_substring_under_colliding_hashes(spark, monkeypatch, bits):
+    """Two windows of one fingerprint are told apart by their words, in one batch and over batches."""
+    windows = words_module.Hasher.windows
+    monkeypatch.setattr(words_module.Hasher, "windows", lambda self, h, size: windows(self, h, size) & np.uint64(2**64 - 2 ** (64 - bits) if bits < 64 else 2**64 - 1))
+    one, other = thue_morse()
+    head = " ".join(f"w{k}" for k in range(12))
+    rows = [(-2, f"{head} {one} {head}"), (-1, f"{head} {other} {head}"), *corpus(9, 12)]
+    for batches in (1, 3):
+        got = substring.dedup_substrings(frame(spark, rows), 20, batches, n_buckets=3)
+        same(got.select("doc_id", "n_words", "n_removed", "text").collect(), removed(rows, 20))
+    got = {r.doc_id: r.n_removed for r in got.collect()}
+    assert got[-1] == 0
+
+
+def test_substring_orders_equal_ids_alike_in_all_parts(spark):
+    w = " ".join(f"w{k}" for k in range(25))
+    rows = [(5, w + " alpha"), (5, w + " beta"), (5, w + " gamma")]
+    found = {tuple(sorted((r.text, r.n_removed) for r in substring.dedup_substrings(spark.createDataFrame(rows[k % 3 :] + rows[: k % 3], "doc_id long, text string").repartition(1 + k % 3)).collect())) for k in range(8)}
+    assert len(found) == 1

@@ -9,15 +9,19 @@ and half the product of its children's weighted probabilities (at full depth its
 decision's probability mixes, along its path of contexts, the nodes' estimates by their
 posterior weights; its base-2 logarithm is the code length.
 
-Corpus counts: each part file of documents gets a segment file of its distinct (context, byte)
-pairs with their training counts, dealt to buckets by the two last bytes of the context, so a
-bucket holds whole subtrees.  Bucket tasks build them; what stands above (contexts of no and of
-one byte, at most 257 * 255 nodes) is summed by Spark and small for any corpus.  Then each
-bucket returns, to every part, the log probability of that part's pairs, and each part scores
-its own texts.  Word counts for the base score go the same way, by the hash of the word.
+Corpus counts: each part sends its distinct (context, byte) pairs with their training counts to
+buckets by the two last bytes of the context, so a bucket holds whole subtrees, and its distinct
+words with theirs to buckets by hash, where the words themselves are compared.  Counts are added
+up in two steps, over a set number of parts (a salt) and then over the salts, so no task holds
+what all parts say of a frequent context.  Bucket tasks build the subtrees; what stands above
+(contexts of no and of one byte, at most 257 * 255 nodes) is summed by Spark and small for any
+corpus.  Then each bucket's distinct log probabilities go to every salt, where the parts' pairs
+look theirs up, and each part scores its own texts.
 
 Null text: empty (its end alone).  Null doc_id: crc32 of the empty string is 0, so held out.
-Equal doc_ids are scored row by row.  Empty table: no rows.  Further columns are ignored.
+Equal doc_ids are scored row by row.  Repeated rows: each is
+scored.  Empty table: no rows.  A text of any length is one row of one part.  Further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +29,19 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import give_back, over, read_parquet, read_segment, stage, work_dir, write_segments
-from .words import LOWER, Hasher, blocks
+from .work import bucket_count, free_shuffles, give_back, pack, stage, unpack, work_dir
+from .words import LOWER, blocks
 
 DEPTH = 5
-#: Documents for each bucket of the counts.
-BUCKET_DOCS = 4096
-_WORD = Hasher(21)
+#: Bytes of text for each bucket of the counts, and parts whose counts meet in one task.
+BUCKET_BYTES, SALT_PARTS = 8 << 20, 64
 _END = 0x0A
 _BLOCK = 1 << 20
 _HALF = math.log(0.5)
@@ -48,9 +52,9 @@ def held_out(ids: list) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids), dtype=bool, count=len(ids))
 
 
-def symbols(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbols(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """For a block of canonical texts: key of each symbol (the DEPTH bytes before it, the last one
-    highest, then the byte), symbols of each text, then word hashes and words of each text."""
+    highest, then the byte), and symbols of each text."""
     raw = np.frombuffer(b"".join(b"\n" * DEPTH + t for t in texts) + b"\n", dtype=np.uint8)
     size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begin = np.cumsum(size + DEPTH) - size
@@ -63,14 +67,14 @@ def symbols(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         key[k:] |= wide[:-k]
     key = (key << _U8) | wide
     # a text's end is the first line feed of the next text's padding
-    space = (raw == 0x20) | (raw == _END)
-    first = ~space
-    first[1:] &= space[:-1]
-    last = ~space
-    last[:-1] &= space[1:]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    words = np.diff(np.searchsorted(start, np.concatenate([begin, [len(raw)]])))
-    return key[at], count, _WORD.words(raw, start, end), words
+    return key[at], count
+
+
+def vocabulary(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word among them, words of each text."""
+    split = [t.split() for t in texts]
+    coded = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.fromiter(map(len, split), dtype=np.int64, count=len(split))
 
 
 def canonical(texts: list) -> list[bytes]:
@@ -88,27 +92,34 @@ def context_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
 
 
-def word_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (hashes >> np.uint64(33)) % np.uint64(n)
+def word_bucket(words: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) % n for w in words), dtype=np.int64, count=len(words))
 
 
-def part_counts(t: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The part's distinct keys and words, in order, with their counts in its training texts (0: only in others)."""
-    texts, train = canonical(t["text"].to_pylist()), ~held_out(t["doc_id"].to_pylist())
-    out = []
-    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    keys, counts, words, word_counts = ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
-    for i, j in blocks(size, _BLOCK):
-        key, n, hashes, n_words = symbols(texts[i:j])
-        for x, m, values, found in ((key, n, keys, counts), (hashes, n_words, words, word_counts)):
-            learn = np.repeat(train[i:j], m)
-            for part, weight in ((x[learn], 1), (x[~learn], 0)):
-                u, c = np.unique(part, return_counts=True)
-                values.append(u)
-                found.append(c * weight)
-    for x, c in ((keys, counts), (words, word_counts)):
-        out.append(counted(x, c))
-    return tuple(out)
+def context_counts(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct keys, in order, with their counts in training texts (0: only in others)."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in blocks(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), _BLOCK):
+        key, n = symbols(texts[i:j])
+        learn = np.repeat(train[i:j], n)
+        for part, weight in ((key[learn], 1), (key[~learn], 0)):
+            u, c = np.unique(part, return_counts=True)
+            keys.append(u)
+            counts.append(c * weight)
+    return counted(keys, counts)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpack_words(blob: bytes) -> list[bytes]:
+    return zlib.decompress(blob).split()
+
+
+def added(words: list[list[bytes]], counts: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(coded.dictionary)).astype(np.int64)
 
 
 def log_gamma_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,83 +296,120 @@ class Table:
         return self.slot_value[at]
 
 
+SENT = "bucket int, salt int, part string, names binary, counts binary"
+MERGED = "bucket int, names binary, counts binary, number long, product double, zeros long, ones long"
+
+
+def _named(bucket: int, n: int, names) -> bytes:
+    """Keys of a context bucket (numbers below n) or words of a word bucket."""
+    return pack(np.diff(names, prepend=np.uint64(0))) if bucket < n else pack_words(names)
+
+
+def _names(bucket: int, n: int, blob: bytes):
+    return np.cumsum(unpack(blob, ["u8"])[0], dtype=np.uint64) if bucket < n else unpack_words(blob)
+
+
 def score(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every text."""
     spark = docs.sparkSession
     folder = work_dir(spark, "ctw")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = n_buckets or min(max(16, texts.count() // BUCKET_DOCS), 1 << 12)
-
-    def also(t: pa.Table, folder: str) -> str:
-        (keys, counts), (words, word_counts) = part_counts(t)
-        arrays = []
-        for x, c, bucket in ((keys, counts, context_bucket(keys, n)), (words, word_counts, word_bucket(words, n))):
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(n + 1))
-            arrays.append([(x[order[a:b]], c[order[a:b]].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:])])
-        return write_segments(folder, "counts", [[*k, *w] for k, w in zip(*arrays)])
-
-    parts = stage(texts, folder, "doc_id", also)
-    segments = [p.extra for p in parts]
-
-    def gathered(b: int) -> tuple[list, tuple, tuple]:
-        got = [read_segment(path, b, ["u8", "u4", "u8", "u4"]) for path in segments]
-        both = []
-        for k in (0, 2):
-            values = np.concatenate([g[k] for g in got] or [np.zeros(0, np.uint64)])
-            u, at = np.unique(values, return_inverse=True)
-            both.append((u, np.bincount(at, weights=np.concatenate([g[k + 1] for g in got]), minlength=len(u)).astype(np.int64) if len(u) else np.zeros(0, np.int64), at))
-        return got, *both
-
-    def summed(b: int) -> Iterator[pa.RecordBatch]:
-        _, (keys, counts, _), (_, word_counts, _) = gathered(b)
-        number, product, zeros, ones = Subtrees(keys, counts).top() if len(keys) else (np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
-        number = np.concatenate([number, [-1]])
-        product = np.concatenate([product, [0.0]])
-        zeros = np.concatenate([zeros, [word_counts.sum()]])
-        ones = np.concatenate([ones, [(word_counts > 0).sum()]])
-        yield pa.RecordBatch.from_pydict({"number": number, "product": product, "zeros": zeros, "ones": ones})
-
-    rows = over(spark, n, summed, "number long, product double, zeros long, ones long").groupBy("number").agg(F.sum("product").alias("product"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()  # 65,281 rows at most
+    staged = stage(texts, folder)
+    n = n_buckets or bucket_count(staged.bytes, BUCKET_BYTES)
+    salts = max(1, -(-staged.n // SALT_PARTS))
+
+    def keep(df: DataFrame, name: str, schema: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    def send(part: str) -> Iterator[pa.RecordBatch]:
+        t = staged.read(part)
+        texts, train = canonical(t["text"].to_pylist()), ~held_out(t["doc_id"].to_pylist())
+        rows = []
+        keys, counts = context_counts(texts, train)
+        words, code, n_words = vocabulary(texts)
+        word_counts = np.bincount(code, weights=np.repeat(train, n_words), minlength=len(words))
+        salt = int(part[-8:], 16) % salts
+        for names, c, bucket, first in ((keys, counts, context_bucket(keys, n).astype(np.int64), 0), (np.array(words, dtype=object), word_counts, word_bucket(words, n), n)):
+            turn = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[turn], np.arange(n + 1))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = turn[cut[b] : cut[b + 1]]
+                rows.append((b + first, salt, part, _named(b + first, n, names[own]), pack(c[own].astype(np.uint32))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "salt", "part", "names", "counts"])
+
+    sent = keep(staged.each(send, SENT), "sent", SENT)
+
+    def merged_names(t: pa.Table, kind: str) -> tuple[int, object, np.ndarray]:
+        b = t["bucket"][0].as_py()
+        names, counts = [_names(b, n, x) for x in t["names"].to_pylist()], [unpack(x, [kind])[0] for x in t["counts"].to_pylist()]
+        return (b, *(counted if b < n else added)(names, counts))
+
+    def merge(t: pa.Table) -> pa.Table:
+        b, names, counts = merged_names(t, "u4")
+        return pa.table({"bucket": pa.array([b], pa.int32()), "names": [_named(b, n, names)], "counts": [pack(counts)]})
+
+    def build(t: pa.Table) -> pa.Table:
+        """A bucket's names and counts, and its sums for the nodes above (of words, as number -1: tokens and distinct words)."""
+        b, names, counts = merged_names(t, "i8")
+        number, product, zeros, ones = Subtrees(names, counts).top() if b < n else (np.array([-1]), np.zeros(1), counts.sum(keepdims=True), (counts > 0).sum(keepdims=True))
+        k = len(number)
+        own = pa.table({"bucket": pa.array([b], pa.int32()), "names": [_named(b, n, names)], "counts": [pack(counts)], "number": pa.nulls(1, pa.int64()), "product": pa.nulls(1, pa.float64()), "zeros": pa.nulls(1, pa.int64()), "ones": pa.nulls(1, pa.int64())})
+        return pa.concat_tables([own, pa.table({"bucket": pa.array(np.full(k, b), pa.int32()), "names": pa.nulls(k, pa.binary()), "counts": pa.nulls(k, pa.binary()), "number": number.astype(np.int64), "product": product, "zeros": zeros, "ones": ones})])
+
+    partial = sent.drop("part").repartition(min(2 * n * salts, 1 << 16), "bucket", "salt").groupBy("bucket", "salt").applyInArrow(merge, "bucket int, names binary, counts binary")
+    merged = keep(partial.repartition(2 * n, "bucket").groupBy("bucket").applyInArrow(build, MERGED), "merged", MERGED)
+    rows = merged.where("number is not null").groupBy("number").agg(F.sum("product").alias("product"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()  # 65,281 rows at most
     train_docs = texts.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0).count()
     words = rows[rows.number == -1]
     total, distinct = int(words.zeros.sum()) + train_docs, int(words.ones.sum()) + (train_docs > 0)
     rows = rows[rows.number >= 0]
     top = Top(rows.number.to_numpy(), rows["product"].to_numpy(), rows.zeros.to_numpy(), rows.ones.to_numpy())
-
-    def answered(b: int) -> Iterator[pa.RecordBatch]:
-        got, (keys, counts, at), (_, word_counts, word_at) = gathered(b)
-        log_p = Subtrees(keys, counts).log10_probability(top) if len(keys) else np.zeros(0)
-        i = j = 0
-        for part, g in enumerate(got):
-            p, w = log_p[at[i : i + len(g[0])]], word_counts[word_at[j : j + len(g[2])]]
-            i, j = i + len(g[0]), j + len(g[2])
-            if len(p) or len(w) or b == 0:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bucket": pa.array([b], pa.int32()), "log_p": [p.tobytes()], "words": [w.tobytes()]})
-
-    paths = [p.path for p in parts]
+    free_shuffles(staged)
+
+    def known(batches):
+        """Instead of counts of contexts: their log probabilities."""
+        for t in batches:
+            for b, names, counts in zip(*(t.column(k).to_pylist() for k in range(3))):
+                if b < n:
+                    counts = pack(Subtrees(_names(b, n, names), unpack(counts, ["i8"])[0]).log10_probability(top))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "names": pa.array([names], pa.binary()), "values": pa.array([counts], pa.binary())})
+            give_back()
+
+    def look_up(asked: pa.Table, model: pa.Table) -> pa.Table:
+        b, blob = model["bucket"][0].as_py(), model["values"][0].as_py()
+        names, values = _names(b, n, model["names"][0].as_py()), unpack(blob, ["f8" if b < n else "i8"])[0]
+        number = None if b < n else {w: i for i, w in enumerate(names)}
+        out = []
+        for x in asked["names"].to_pylist():
+            own = _names(b, n, x)
+            out.append(pack(values[np.searchsorted(names, own) if b < n else [number[w] for w in own]]))
+        return pa.table({"part": asked["part"], "bucket": asked["bucket"], "names": asked["names"], "values": pa.array(out, pa.binary())})
+
+    model = merged.where("number is null").select("bucket", "names", "counts").repartition(2 * n, "bucket").mapInArrow(known, "bucket int, names binary, values binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    k = min(2 * n * salts, 1 << 16)
+    back = sent.drop("counts").repartition(k, "bucket", "salt").groupBy("bucket", "salt").cogroup(model.repartition(k, "bucket", "salt").groupBy("bucket", "salt")).applyInArrow(lambda asked, model: look_up(asked, model) if asked.num_rows else ANSWERS.empty_table(), "part string, bucket int, names binary, values binary")
 
     def scored(t: pa.Table) -> pa.Table:
         give_back(forget=True)
-        part = t["part"][0].as_py()
-        keys, log_p, words, counts = [], [], [], []
-        for b, p, w in zip(t["bucket"].to_pylist(), t["log_p"].to_pylist(), t["words"].to_pylist()):
-            k, _, h, _ = read_segment(segments[part], b, ["u8", "u4", "u8", "u4"])
-            keys.append(k)
-            log_p.append(np.frombuffer(p, dtype=np.float64))
-            words.append(h)
-            counts.append(np.frombuffer(w, dtype=np.int64))
+        staged_rows = staged.read(t["part"][0].as_py())
+        keys, log_p, held = [np.zeros(0, np.uint64)], [np.zeros(0)], {}
+        for b, names, values in zip(*(t[c].to_pylist() for c in ("bucket", "names", "values"))):
+            if b < n:
+                keys.append(_names(b, n, names))
+                log_p.append(unpack(values, ["f8"])[0])
+            else:
+                held.update(zip(unpack_words(names), unpack(values, ["i8"])[0].tolist()))
         model = Table(np.concatenate(keys), np.concatenate(log_p))
-        vocabulary = Table(np.concatenate(words), np.concatenate(counts))
-        staged = read_parquet(paths[part])
-        texts, ids = canonical(staged["text"].to_pylist()), staged["doc_id"].to_pylist()
+        texts, ids = canonical(staged_rows["text"].to_pylist()), staged_rows["doc_id"].to_pylist()
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
         whole = total + 0.1 * (distinct + 1)
         for i, j in blocks(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), _BLOCK):
-            key, n_symbols, hashes, n_words = symbols(texts[i:j])
+            key, n_symbols = symbols(texts[i:j])
+            words, code, n_words = vocabulary(texts[i:j])
             at, word_at = np.cumsum(n_symbols) - n_symbols, np.concatenate([[0], np.cumsum(n_words)])
             out["score"].append(np.add.reduceat(model.get(key), at))
-            c = vocabulary.get(hashes)
+            c = np.fromiter((held[w] for w in words), dtype=np.int64, count=len(words))[code]
             filled = np.flatnonzero(n_words)
             for name, each, end in (("base_score", np.log10((c + 0.1) / whole), math.log10((train_docs + 0.1) / whole)), ("n_known", (c > 0).astype(np.int64), int(train_docs > 0))):
                 own = np.full(j - i, end)
@@ -371,7 +419,9 @@ def score(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
             out["n_tokens"].append(n_words + 1)
             out["n_bytes"].append(n_symbols)
         got = {k: np.concatenate(v) for k, v in out.items()}
-        return pa.table({"doc_id": staged["doc_id"], "held_out": held_out(ids), "n_tokens": got["n_tokens"], "n_known": got["n_known"].astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": got["base_score"], "score": got["score"], "n_bytes": got["n_bytes"]})
+        return pa.table({"doc_id": staged_rows["doc_id"], "held_out": held_out(ids), "n_tokens": got["n_tokens"], "n_known": got["n_known"].astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": got["base_score"], "score": got["score"], "n_bytes": got["n_bytes"]})
+
+    return back.repartition(max(2 * staged.n, 1), "part").groupBy("part").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+
 
-    back = over(spark, n, answered, "part int, bucket int, log_p binary, words binary")
-    return back.repartition(max(2 * len(parts), 1), "part").groupBy("part").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+ANSWERS = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("names", pa.binary()), ("values", pa.binary())])

@@ -3,22 +3,24 @@
 A document's set is its distinct word n-grams (with fewer words: all of them as one; without
 any: empty, linked with nothing).  Two sets link when 100 * intersection >= percent * union.
 
-1. Documents are staged; each part adds its n-grams to a table of 2**21 counts by hash, a
-   fixed size, summed over all parts.  An element is its count's level and its hash, so order
-   by element is rare-first and the same everywhere.
-2. Each part deals the prefixes of its distinct sets to buckets by element.  A bucket keeps
-   the elements that two different sets share.
-3. Of each such list, the sets whose shared element stands first lead: the others pair with
-   them.  Pairs pass the length and positional filter, then, once per pair, the suffix filter
-   (counts of both sets' elements in 64 hash ranges bound the intersection), then their sets
-   are compared.  Links join sets to components.
+1. Documents are staged.  Documents of the same words are one set, told apart by a 128-bit
+   digest of the words; all that follows reads one document of each.
+2. Parts send their distinct n-grams, by hash, to buckets, which count in how many sets each
+   is (exactly, over all sets) and send the counts back.  A set's elements in order of count,
+   then hash, are rare-first and in the same order everywhere.  Two n-grams of one hash in a
+   set are two elements, so a collision costs a comparison and never a link.
+3. Each set's prefix goes to Spark as rows, but for n-grams that no other set holds.  Of the
+   sets that share an element the smallest leads: the others pair with it.  Pairs pass the
+   length and positional filters and, once per pair, a bound from counts of their shared
+   elements in 64 ranges.  One side's words travel to the other's part, and there the suffix
+   filter and then the words' n-grams themselves decide.  Links join sets to components.
 4. All pairs of different components that lists still hold go the same way, so every link
-   between components is found; links inside one change nothing.  Copies count as one set
-   throughout, and a list of near copies that their leader joins costs as many pairs as sets.
+   between components is found; links inside one change nothing.  A list's largest component
+   is not paired with itself, and lists of over BLOCK sets are dealt to pairs of blocks.
 
 Null text: empty.  Null doc_id: never the smallest of others; alone, its component is null.
-Equal doc_ids: each row has its own set.  Empty table: no rows.  Further columns stay.
-Sets are told apart by a 64-bit sum of hashes, elements by 56 bits and their level.
+Equal doc_ids: each row has its own set.  Empty table: no rows.  Further columns stay,
+whatever their names.  A text of any length is one row of one part; parts are cut by bytes.
 """
 
 from __future__ import annotations
@@ -32,51 +34,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import Part, give_back, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
-from .words import Hasher, blocks, mix, split_words, text_lengths
-
-SLOT_BITS, SLICES, RANGES, BUCKET_DOCS = 21, 16, 64, 4096
+from .work import Staged, bucket_count, free_shuffles, pack, remove, stage, unpack, work_dir
+from .words import NON_SPACE, Hasher, blocks, digest_of_words, lanes, mix, split_words, text_lengths
+
+RANGES = 64
+#: Bytes of text for each bucket of the counts, sets of a list in one task, and pairs compared in one task.
+BUCKET_BYTES, BLOCK, CHUNK = 6 << 20, 8192, 2000
+#: Levels of the suffix filter's recursion.
+DEPTH = 3
 _HASH = Hasher(31)
-_BLOCK = 1 << 20
+_BYTES = 1 << 20
+_WIDE = np.int64(1) << 40
+
 
+def _starts(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... count[0] - 1, 0, 1, ..."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
-def ngrams(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """By block of texts: first text, hash of each n-gram, its text within the block, texts."""
-    for i, j in blocks(text_lengths(column), _BLOCK):
+
+def grams(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """By block of texts: first text, texts, and the elements of their sets (text within the block, hash), in order."""
+    for i, j in blocks(text_lengths(column), _BYTES):
         w = split_words(column.slice(i, j - i), lower=True)
-        h = _HASH.words(w.data, w.start, w.end)
+        x, y = lanes(w.data, w.start, w.end)
+        length = w.end - w.start
+        h = _HASH.of_lanes(x, y, length)
         n = np.diff(w.offsets)
         count = np.maximum(n - size + 1, 0)
         doc = np.repeat(np.arange(j - i), count)
-        at = w.offsets[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        grams = _HASH.windows(h, size)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+        at = w.offsets[:-1][doc] + _starts(count)
+        token = _HASH.windows(h, size)[at] if len(at) else np.zeros(0, np.uint64)
         for k in range(1, size):  # shorter texts: all words as one
             own = np.flatnonzero(n == k)
             if len(own):
-                grams = np.concatenate([grams, mix(_HASH.windows(h, k)[w.offsets[:-1][own]] + np.uint64(k))])
-                doc = np.concatenate([doc, own])
-        yield i, grams, doc, j - i
-
-
-def slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def sets(column: pa.Array, size: int, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By block: first text, the elements of its texts' sets, rare first, and the offsets of the texts."""
-    for i, grams, doc, n in ngrams(column, size):
-        element = (levels[slots(grams)].astype(np.uint64) << np.uint64(56)) | (mix(grams) >> np.uint64(8))
-        order = np.lexsort((element, doc.astype(np.uint16 if n <= 1 << 16 else np.uint32)))
-        element, doc = element[order], doc[order]
-        own = np.ones(len(doc), dtype=bool)
-        own[1:] = (element[1:] != element[:-1]) | (doc[1:] != doc[:-1])
-        element, doc = element[own], doc[own]
-        yield i, element, np.searchsorted(doc, np.arange(n + 1))
-
-
-def signatures(element: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element + np.uint64(7)), dtype=np.uint64)])
-    return mix(sums[at[1:]] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64)).view(np.int64)
+                token = np.concatenate([token, _HASH.windows(h, k)[w.offsets[:-1][own]]])
+                doc, at = np.concatenate([doc, own]), np.concatenate([at, w.offsets[:-1][own]])
+        order = np.lexsort((token, doc))
+        token, doc, at = token[order], doc[order], at[order]
+        same = np.flatnonzero((token[1:] == token[:-1]) & (doc[1:] == doc[:-1])) + 1
+        equal = np.ones(len(same), dtype=bool)
+        for k in range(size):
+            a, b = at[same] + k, at[same - 1] + k
+            equal &= (x[a] == x[b]) & (y[a] == y[b]) & (length[a] == length[b])
+        keep = np.ones(len(token), dtype=bool)
+        keep[same] = False
+        if not equal.all():  # n-grams of one hash that differ: the second one is an element of its own, and so on
+            seen: dict[tuple[int, int], dict[tuple, int]] = {}
+            for k in np.unique(np.concatenate([same, same - 1])).tolist():
+                gram = tuple((int(x[a]), int(y[a]), int(length[a])) for a in range(at[k], at[k] + size))
+                known = seen.setdefault((int(doc[k]), int(token[k])), {})
+                keep[k] = gram not in known
+                number = known.setdefault(gram, len(known))
+                if number and keep[k]:
+                    token[k] = mix(token[k : k + 1] + np.uint64(number))[0]
+        token, doc = token[keep], doc[keep]
+        if not equal.all():
+            order = np.lexsort((token, doc))
+            token, doc = token[order], doc[order]
+        yield i, j - i, doc, token
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -91,7 +106,46 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def may_link(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
     """Length filter, and positional filter for an element at p of n and at q of m."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p, m - q) - 1 >= needed(n, m, percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - p, m - q) >= needed(n, m, percent))
+
+
+def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Of each text its set of n-grams: sorted numbers that are equal for equal words alone."""
+    w = split_words(pa.array(texts, pa.large_binary()), lower=True)
+    length, n = w.end - w.start, np.diff(w.offsets)
+    at = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    body = np.ascontiguousarray(w.data[NON_SPACE[w.data]])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
+    word = words.indices.to_numpy().astype(np.int64)
+    count = np.maximum(n - size + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), count)
+    begin = w.offsets[:-1][doc] + _starts(count)
+    gram = word[begin] if len(begin) else np.zeros(0, np.int64)
+    for k in range(1, size):
+        gram = np.unique(gram * max(len(words.dictionary), 1) + word[begin + k], return_inverse=True)[1] if len(begin) else gram
+    out = [np.unique(x) for x in np.split(gram, np.cumsum(count)[:-1])] if texts else []
+    short: dict[tuple, int] = {}
+    for k in np.flatnonzero((n > 0) & (n < size)).tolist():
+        out[k] = np.array([-1 - short.setdefault(tuple(word[w.offsets[k] : w.offsets[k + 1]].tolist()), len(short))])
+    return out
+
+
+def differing(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> int:
+    """The suffix filter's bound: at least so many elements are in one of two sorted arrays alone."""
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    j = len(y) // 2
+    i = int(np.searchsorted(x, y[j]))
+    hit = i < len(x) and x[i] == y[j]
+    return differing(x[:i], y[:j], depth - 1) + (not hit) + differing(x[i + hit :], y[j + 1 :], depth - 1)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link: suffix filter, then their intersection."""
+    need = int(needed(np.int64(len(x)), np.int64(len(y)), percent))
+    if differing(x, y) > len(x) + len(y) - 2 * need:
+        return False
+    return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,183 +159,113 @@ class Join:
 
     component is a component's own key; component_id, its smallest doc_id, may be null or another's too."""
 
-    spark: SparkSession
-    parts: list[Part]
+    staged: Staged
     meta: DataFrame
     schema: object
 
     def representatives(self) -> DataFrame:
         """The columns of the documents, of one row of each component (and of each document without words)."""
-        paths, names = [p.path for p in self.parts], [f.name for f in self.schema.fields]
-        first = self.meta.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "ord")).alias("x")).select("x.part", "x.ord")
+        names, staged = [f.name for f in self.schema.fields], self.staged
+        first = self.meta.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "part", "ord")).alias("x")).select("x.part", "x.ord")
         kept = first.unionByName(self.meta.where("n_shingles = 0").select("part", "ord"))
 
         def part(t: pa.Table) -> pa.Table:
-            return read_parquet(paths[t["part"][0].as_py()]).take(pa.array(np.sort(t["ord"].to_numpy()))).select(names)
-
-        return kept.repartition(max(2 * len(paths), 1), "part").groupBy("part").applyInArrow(part, self.schema)
+            return staged.read(t["part"][0].as_py(), names).take(pa.array(np.sort(t["ord"].to_numpy())))
 
+        return kept.repartition(max(2 * staged.n, 1), "part").groupBy("part").applyInArrow(part, self.schema)
 
-META = "part int, ord int, doc_id long, n_shingles long, sig long, ranges binary"
-LIST = "token long, sig long, n long, pos long, lead boolean"
+    def drop(self) -> None:
+        """The staged files and tables go; meta and what comes from it can't be read any more."""
+        remove(self.staged.folder)
 
 
-def _compare(percent: int):
-    def run(batches):
-        for t in batches:
-            a, b, x, y = (t.column(k).to_pylist() for k in range(4))
-            ok = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([i for i, o in zip(a, ok) if o], [i for i, o in zip(b, ok) if o])], names=["a", "b"])
+META = "part string, ord int, doc_id long, sig binary"
+TOKENS = "id long, n int, token long, pos int, sketch binary"
+PAIRS = "a long, b long, part_a string, ord_a int, part_b string, ord_b int"
 
-    return run
 
+def _bounded(percent: int):
+    """Of pairs with their sketches, those whose shared elements may be enough."""
 
-def _suffix_filter(percent: int):
     def run(batches):
         for t in batches:
-            n, m = t.column(2).to_numpy(), t.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint16).reshape(-1, RANGES) for k in (3, 5))
-            ok = (np.minimum(x, y).sum(1, dtype=np.int64) >= needed(n, m, percent)) | (x.max(1) == 65535) | (y.max(1) == 65535) if len(n) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            n, m = (t.column(k).to_numpy().astype(np.int64) for k in (6, 8))
+            if not len(n):
+                continue
+            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for k in (7, 9))
+            ok = (np.minimum(x, y).sum(1, dtype=np.int64) >= needed(n, m, percent)) | (x.max(1) == 255) | (y.max(1) == 255)
+            yield pa.RecordBatch.from_arrays(t.columns[:6], names=t.schema.names[:6]).filter(pa.array(ok))
 
     return run
 
 
-def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: int | None = None) -> Join:
-    spark = docs.sparkSession
-    folder = work_dir(spark, "jaccard")
-    n_buckets = n_buckets or max(16, docs.count() // BUCKET_DOCS)
-
-    def count_slots(t: pa.Table, folder: str) -> str:
-        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        for _, grams, _, _ in ngrams(t["text"].combine_chunks(), size):
-            total += np.bincount(slots(grams), minlength=len(total))
-        return write_segments(folder, "slots", [[x] for x in np.split(np.minimum(total, 65535).astype(np.uint16), SLICES)])
-
-    parts = stage(docs, folder, None, count_slots)
-    paths, tables = [p.path for p in parts], [p.extra for p in parts]
-
-    def level_slice(k: int) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << SLOT_BITS) // SLICES, dtype=np.int64)
-        for path in tables:
-            total += read_segment(path, k, ["u2"])[0]
-        yield pa.RecordBatch.from_pydict({"k": [k], "levels": [np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes()]})
-
-    levels = spark.sparkContext.broadcast(b"".join(r.levels for r in sorted(over(spark, SLICES, level_slice, "k long, levels binary").collect(), key=lambda r: r.k)))  # 2 MB for any input
-    for path in tables:
-        remove(path)
-
-    def deal(k: int) -> Iterator[pa.RecordBatch]:
-        """A row per document, and the part's prefixes, by bucket, in a file whose name is on a row of its own."""
-        t = read_parquet(paths[k], ["doc_id", "text"])
-        level, got, seen, ids = np.frombuffer(levels.value, dtype=np.uint8), [], set(), t["doc_id"].combine_chunks().cast(pa.int64())
-        for i, element, at in sets(t["text"].combine_chunks(), size, level):
-            n, sig = np.diff(at), signatures(element, at)
-            new = np.fromiter((s not in seen and seen.add(s) is None for s in sig.tolist()), dtype=bool, count=len(sig)) & (n > 0)
-            count = np.where(new, prefix_length(n, percent), 0)
-            doc = np.repeat(np.arange(len(n)), count)
-            pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            got.append((element[at[:-1][doc] + pos], sig[doc], n[doc].astype(np.uint32), pos.astype(np.uint32)))
-            owner = np.repeat(np.arange(len(n)), n)
-            in_range = np.bincount(owner * RANGES + (element & np.uint64(RANGES - 1)).astype(np.int64), minlength=len(n) * RANGES)
-            ranges = np.minimum(in_range, 65535).astype(np.uint16).reshape(len(n), RANGES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k), pa.int32()), pa.array(np.arange(i, i + len(n)), pa.int32()), ids.slice(i, len(n)), pa.array(n), pa.array(sig), pa.array([r.tobytes() for r in ranges], pa.binary())], names=["part", "ord", "doc_id", "n_shingles", "sig", "ranges"])
-        token, sig, n, pos = (np.concatenate([g[x] for g in got] or [np.zeros(0, d)]) for x, d in ((0, np.uint64), (1, np.int64), (2, np.uint32), (3, np.uint32)))
-        bucket = (((token & np.uint64(0xFFFFFF)) * np.uint64(n_buckets)) >> np.uint64(24)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        path = write_segments(folder, "prefixes", [[x[order[a:b]] for x in (token, sig, n, pos)] for a, b in zip(cut[:-1], cut[1:])])
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([0]), pa.array([0]), pa.array([path.encode()], pa.binary())], names=["part", "ord", "doc_id", "n_shingles", "sig", "ranges"])
-
-    over(spark, len(parts), deal, META).write.parquet(f"{folder}/meta")
-    meta = spark.read.schema(META).parquet(f"{folder}/meta")
-    prefixes = [bytes(r.ranges).decode() for r in meta.where("ord = -1").select("ranges").collect()]  # a file per part
-    meta = meta.where("ord >= 0")
-
-    def shared(b: int) -> Iterator[pa.RecordBatch]:
-        got = [read_segment(path, b, ["u8", "i8", "u4", "u4"]) for path in prefixes]
-        token, sig, n, pos = (np.concatenate([g[x] for g in got] or [np.zeros(0, d)]) for x, d in ((0, np.uint64), (1, np.int64), (2, np.uint32), (3, np.uint32)))
-        order = np.lexsort((sig, token))
-        token, sig, n, pos = (x[order] for x in (token, sig, n, pos))
-        own = np.ones(len(token), dtype=bool)
-        own[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, n, pos = (x[own] for x in (token, sig, n, pos))
-        _, count = _runs(token)
-        many = np.repeat(count, count) > 1
-        token, sig, n, pos = (x[many] for x in (token, sig, n, pos))
-        order = np.lexsort((sig, pos, token))
-        token, sig, n, pos = (x[order] for x in (token, sig, n, pos))
-        lead = np.zeros(len(token), dtype=bool)
-        lead[_runs(token)[0]] = True
-        for i in range(0, len(token), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(sig[s]), pa.array(n[s].astype(np.int64)), pa.array(pos[s].astype(np.int64)), pa.array(lead[s])], names=["token", "sig", "n", "pos", "lead"])
-
-    over(spark, n_buckets, shared, LIST).write.parquet(f"{folder}/lists")
-    lists = spark.read.schema(LIST).parquet(f"{folder}/lists")
-    for path in prefixes:
-        remove(path)
-
-    per_set = meta.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("part", "ord", "n_shingles")).alias("x"))
-    per_set.select("sig", "doc_id", "x.part", "x.ord", F.col("x.n_shingles").alias("n")).write.parquet(f"{folder}/sets")
-    per_set = spark.read.parquet(f"{folder}/sets")
-    bounds = per_set.join(meta.select("part", "ord", "ranges"), ["part", "ord"]).select("sig", "n", "ranges")
-
-    def compared(pairs: DataFrame, step: str) -> DataFrame:
-        """Of distinct pairs (a, b) of signatures, those that link."""
-        sides = pairs.join(bounds.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a")), "a").join(bounds.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b")), "b")
-        sides.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(_suffix_filter(percent), "a long, b long").write.parquet(f"{folder}/{step}-pairs")
-        pairs = spark.read.schema("a long, b long").parquet(f"{folder}/{step}-pairs")
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(per_set, "sig").select("part", "ord", "sig")
-
-        def elements(t: pa.Table) -> pa.Table:
-            give_back()
-            level = np.frombuffer(levels.value, dtype=np.uint8)
-            text = read_parquet(paths[t["part"][0].as_py()], ["text"])["text"].combine_chunks().take(t["ord"].combine_chunks())
-            sig, out = t["sig"].combine_chunks(), []
-            for _, element, at in sets(text, size, level):
-                out += [element[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-            return pa.table({"sig": sig, "elements": pa.array(out, pa.binary())})
-
-        wanted.repartition(max(2 * len(paths), 1), "part").groupBy("part").applyInArrow(elements, "sig long, elements binary").write.parquet(f"{folder}/{step}-elements")
-        held = spark.read.schema("sig long, elements binary").parquet(f"{folder}/{step}-elements")
-        both = pairs.join(held.select(F.col("sig").alias("a"), F.col("elements").alias("x")), "a").join(held.select(F.col("sig").alias("b"), F.col("elements").alias("y")), "b")
-        both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long").write.parquet(f"{folder}/{step}-links")
-        return spark.read.schema("a long, b long").parquet(f"{folder}/{step}-links")
-
-    leader = lists.where("lead").select("token", F.col("sig").alias("s"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    near = lists.where("not lead").join(leader, "token").where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
-    near.select(F.least("sig", "s").alias("a"), F.greatest("sig", "s").alias("b")).distinct().write.parquet(f"{folder}/first")
-    first = spark.read.schema("a long, b long").parquet(f"{folder}/first")
-    links = compared(first, "leaders")
-    found = components(links)
-    found.write.parquet(f"{folder}/found")
-    found = spark.read.parquet(f"{folder}/found")
-
-    named = lists.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-    mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    rest = named.join(mixed, "token", "left_semi")
-
-    def across(token: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of whole lists, by token and n: all pairs between different components that pass the filters, block by block."""
-        begin, count = _runs(token)
-        number = np.repeat(np.arange(len(begin)), count)
-        # partners of i that are no smaller: up to the last n of its list that passes the length filter
-        wide = np.int64(1) << 40
-        end = np.searchsorted(number * wide + n, number * wide + 100 * n // percent, side="right")
-        total = np.concatenate([[0], np.cumsum(np.maximum(end - np.arange(len(n)) - 1, 0))])
+def _counts(staged: Staged, sets: DataFrame, size: int, n_buckets: int) -> DataFrame:
+    """part, bucket and counts: in how many sets each of the part's n-grams in that bucket is, in order of hash."""
+
+    def send(t: pa.Table) -> pa.Table:
+        part = t["part"][0].as_py()
+        text = staged.read(part, ["text"])["text"].combine_chunks().take(pa.array(np.sort(t["ord"].to_numpy())))
+        token, n = np.unique(np.concatenate([g[3] for g in grams(text, size)] or [np.zeros(0, np.uint64)]), return_counts=True)
+        cut = np.searchsorted(((token >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24), np.arange(n_buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        out = [pack(np.diff(token[cut[b] : cut[b + 1]], prepend=np.uint64(0)), n[cut[b] : cut[b + 1]].astype(np.uint32)) for b in full]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.string()), "tokens": pa.array(out, pa.binary())})
+
+    def count(t: pa.Table) -> pa.Table:
+        got = [unpack(x, ["u8", "u4"]) for x in t["tokens"].to_pylist()]
+        token, n = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), np.concatenate([g[1] for g in got])
+        _, at = np.unique(token, return_inverse=True)
+        total = np.minimum(np.bincount(at, weights=n), 65535).astype(np.uint16)[at]
+        out = [pack(x) for x in np.split(total, np.cumsum([len(g[0]) for g in got])[:-1])]
+        return pa.table({"part": t["part"], "bucket": t["bucket"], "counts": pa.array(out, pa.binary())})
+
+    sent = sets.select("part", "ord").repartition(max(staged.n, 1), "part").groupBy("part").applyInArrow(send, "bucket int, part string, tokens binary")
+    return sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(count, "part string, bucket int, counts binary")
+
+
+def _prefixes(staged: Staged, sets: DataFrame, counts: DataFrame, size: int, percent: int) -> DataFrame:
+    """A row per set (id, n, sketch), and one per element of its prefix that another set holds too (id, n, token, pos)."""
+
+    def part(own: pa.Table, back: pa.Table) -> pa.Table:
+        own = own.sort_by("ord")
+        text = staged.read(own["part"][0].as_py(), ["text"])["text"].combine_chunks().take(own["ord"].combine_chunks())
+        ids, held = own["id"].to_numpy(), list(grams(text, size))
+        every = np.unique(np.concatenate([g[3] for g in held]))
+        in_sets = np.concatenate([unpack(x, ["u2"])[0] for x in back.sort_by("bucket")["counts"].to_pylist()])
+        out = []
+        for i, texts, doc, token in held:
+            df = in_sets[np.searchsorted(every, token)]
+            order = np.lexsort((token, df, doc))
+            token, df = token[order], df[order]
+            n = np.bincount(doc, minlength=texts)
+            pos, shared = _starts(n), df > 1
+            go = shared & (pos < np.repeat(prefix_length(n, percent), n))
+            in_range = np.bincount(doc[shared] * RANGES + (token[shared] & np.uint64(RANGES - 1)).astype(np.int64), minlength=texts * RANGES)
+            sketch = np.minimum(in_range, 255).astype(np.uint8).reshape(texts, RANGES)
+            own_ids, k = ids[i : i + texts], int(go.sum())
+            out.append(pa.table({"id": own_ids, "n": pa.array(n, pa.int32()), "token": pa.nulls(texts, pa.int64()), "pos": pa.nulls(texts, pa.int32()), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary())}))
+            out.append(pa.table({"id": own_ids[doc[go]], "n": pa.array(n[doc[go]], pa.int32()), "token": token[go].view(np.int64), "pos": pa.array(pos[go], pa.int32()), "sketch": pa.nulls(k, pa.binary())}))
+        return pa.concat_tables(out)
+
+    k = max(staged.n, 1)
+    return sets.select("part", "ord", "id").repartition(k, "part").groupBy("part").cogroup(counts.repartition(k, "part").groupBy("part")).applyInArrow(part, TOKENS)
+
+
+def _across(percent: int):
+    """Of whole lists, by key and n: all pairs between different components that pass the filters, block by block."""
+
+    def meet(left, right, lo, hi, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of left with those of right from lo to hi; apart: of lists that hold two blocks, only pairs between them."""
+        total = np.concatenate([[0], np.cumsum(np.maximum(hi - lo, 0))])
         i = 0
-        while i < len(n):
+        while i < len(lo):
             j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), side="right")) - 1)
             partners = np.diff(total[i : j + 1])
-            left = np.repeat(np.arange(i, j), partners)
-            right = left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - total[i], partners)
-            ok = (c[left] != c[right]) & may_link(n[left], n[right], pos[left], pos[right], percent)
-            low, high = np.minimum(sig[left[ok]], sig[right[ok]]), np.maximum(sig[left[ok]], sig[right[ok]])
+            x = np.repeat(np.arange(i, j), partners)
+            y = np.repeat(lo[i:j], partners) + _starts(partners)
+            ok = (left["c"][x] != right["c"][y]) & (~apart[x] | (left["own"][x] != right["own"][y])) & may_link(left["n"][x], right["n"][y], left["pos"][x], right["pos"][y], percent)
+            a, b = left["id"][x[ok]], right["id"][y[ok]]
+            low, high = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((high, low))  # a pair shares many elements: those met in this block go once
             low, high = low[order], high[order]
             own = np.ones(len(low), dtype=bool)
@@ -289,30 +273,136 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
             yield pa.RecordBatch.from_arrays([pa.array(low[own]), pa.array(high[own])], names=["a", "b"])
             i = j
 
-    def lists_of(batches):
-        held = None
+    def lists(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        changed = np.zeros(len(x["token"]), dtype=bool)
+        for name in ("token", "i", "j"):
+            changed[1:] |= x[name][1:] != x[name][:-1]
+        x["list"] = np.cumsum(changed)
+        # the largest component of each list
+        order = np.lexsort((x["c"], x["list"]))
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(x["c"][order]) != 0) | (np.diff(x["list"][order]) != 0)]))
+        many, of = np.diff(np.append(begin, len(order))), x["list"][order[begin]]
+        best = np.lexsort((many, of))[np.append(np.flatnonzero(np.diff(np.sort(of))), len(of) - 1)]
+        large = np.zeros(int(x["list"][-1]) + 1, dtype=np.int64)
+        large[of[best]] = x["c"][order[begin[best]]]
+        big = x["c"] == large[x["list"]]
+        rest, big = ({k: v[m] for k, v in x.items()} for m in (~big, big))
+        here, there = (y["list"] * _WIDE + y["n"] for y in (rest, big))
+        apart = rest["i"] != rest["j"]
+        most, least = 100 * rest["n"] // percent, -(-percent * rest["n"] // 100)
+        yield from meet(rest, rest, np.arange(len(here)) + 1, np.searchsorted(here, rest["list"] * _WIDE + most, side="right"), apart)
+        yield from meet(rest, big, np.searchsorted(there, rest["list"] * _WIDE + least), np.searchsorted(there, rest["list"] * _WIDE + most, side="right"), apart)
+
+    names = ("token", "i", "j", "own", "id", "n", "pos", "c")
+
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+        whole = lambda: lists({k: np.concatenate([h[k] for h in held]) for k in names})
         for t in batches:
-            x = [t.column(k).to_numpy() for k in range(5)]
-            held = x if held is None else [np.concatenate(y) for y in zip(held, x)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
-                yield from across(*(y[:last] for y in held))
-                held = [y[last:] for y in held]
-        if held is not None:
-            yield from across(*held)
-
-    whole = rest.select("token", "sig", "n", "pos", "c").repartition("token").sortWithinPartitions("token", "n")
-    pairs = whole.mapInArrow(lists_of, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+            x = {k: t.column(k).to_numpy() for k in names}
+            if not len(x["n"]):
+                continue
+            x["n"], x["pos"] = x["n"].astype(np.int64), x["pos"].astype(np.int64)
+            if held and any(held[-1][k][-1] != x[k][0] for k in names[:3]):
+                yield from whole()
+                held = []
+            cut = int(np.logical_or.reduce([x[k] != x[k][-1] for k in names[:3]]).sum())  # rows before the last list
+            if cut:
+                held.append({k: v[:cut] for k, v in x.items()})
+                yield from whole()
+                held = []
+            held.append({k: v[cut:] for k, v in x.items()})
+        if held:
+            yield from whole()
+
+    return run
+
+
+def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: int | None = None, folder: str = "") -> Join:
+    """folder: where all of it is, the result too."""
+    spark = docs.sparkSession
+    folder = folder or work_dir(spark, "jaccard")
+    staged = stage(docs, folder)
+    n_buckets = n_buckets or bucket_count(staged.bytes, BUCKET_BYTES)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def describe(part: str) -> Iterator[pa.RecordBatch]:
+        t = staged.read(part, ["doc_id", "text"])
+        sig = pa.array([digest_of_words(x) for x in t["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([part] * t.num_rows, pa.string()), pa.array(np.arange(t.num_rows), pa.int32()), t["doc_id"].combine_chunks().cast(pa.int64()), sig], names=["part", "ord", "doc_id", "sig"])
+
+    meta = keep(staged.each(describe, META), "meta")
+    sets = keep(meta.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("part", "ord")).alias("x")).select(F.monotonically_increasing_id().alias("id"), "sig", "doc_id", "x.part", "x.ord"), "sets")
+    found_tokens = keep(_prefixes(staged, sets, _counts(staged, sets, size, n_buckets), size, percent), "tokens")
+    free_shuffles(staged)
+    sets = keep(sets.join(found_tokens.where("sketch is not null").select("id", "n", "sketch"), "id"), "known")
+    lists = found_tokens.where("token is not null").select("token", "id", "n", "pos")
+
+    def compared(pairs: DataFrame, step: str) -> DataFrame:
+        """Of distinct pairs (a, b) of sets, those that link: b's words travel to a's part."""
+        side = lambda x: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("part", "ord", "n", "sketch")))
+        sides = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "part_a", "ord_a", "part_b", "ord_b", "n_a", "sketch_a", "n_b", "sketch_b")
+        pairs = keep(sides.mapInArrow(_bounded(percent), PAIRS), f"{step}-pairs")
+        chunks = pairs.groupBy("part_a").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+        pairs = pairs.join(chunks, "part_a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+
+        def words(batches):
+            """The texts that are wanted, part after part."""
+            part, text = None, None
+            for t in batches:
+                at, want = 0, t.column("part_b").to_pylist()
+                while at < len(want):
+                    end = next((k for k in range(at, len(want)) if want[k] != want[at]), len(want))
+                    if want[at] != part:
+                        part, text = want[at], staged.read(want[at], ["text"])["text"].combine_chunks().cast(pa.binary())
+                    for k in range(at, end, 500):
+                        x = t.slice(k, min(500, end - k))
+                        yield pa.RecordBatch.from_arrays([x.column("part_a"), x.column("chunk"), x.column("b"), text.take(x.column("ord_b"))], names=["part_a", "chunk", "b", "words"])
+                    at = end
+
+        def compare(own: pa.Table, there: pa.Table) -> pa.Table:
+            if not own.num_rows:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            ords, a = np.unique(own["ord_a"].to_numpy(), return_inverse=True)
+            text = staged.read(own["part_a"][0].as_py(), ["text"])["text"].combine_chunks().cast(pa.binary()).take(pa.array(ords))
+            known = exact_sets([*text.to_pylist(), *there["words"].to_pylist()], size)
+            b = {x: len(ords) + k for k, x in enumerate(there["b"].to_pylist())}
+            ok = [linked(known[i], known[b[j]], percent) for i, j in zip(a.tolist(), own["b"].to_pylist())]
+            return own.select(["a", "b"]).filter(pa.array(ok))
+
+        k = max(staged.n, 1)
+        wanted = pairs.select("part_a", "chunk", "b", "part_b", "ord_b").distinct().repartition(k, "part_b").sortWithinPartitions("part_b", "ord_b")
+        there = wanted.mapInArrow(words, "part_a string, chunk int, b long, words binary")
+        links = keep(pairs.repartition(2 * k, "part_a", "chunk").groupBy("part_a", "chunk").cogroup(there.repartition(2 * k, "part_a", "chunk").groupBy("part_a", "chunk")).applyInArrow(compare, "a long, b long"), f"{step}-links")
+        free_shuffles(staged)
+        return links
+
+    leader = lists.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("x"), F.count("*").alias("many")).where("many > 1").select("token", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.pos").alias("q"), "many")
+    near = lists.join(leader, "token").where("id <> b").where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
+    first = keep(near.select(F.col("id").alias("a"), "b").distinct(), "first")
+    found = keep(components(compared(first, "leaders")), "found")
+
+    named = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low < high").select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    rest = named.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = rest.select("token", "own", "id", "n", "pos", "c", F.explode(meets).alias("x")).select("token", "x.i", "x.j", "own", "id", "n", "pos", "c")
+    whole = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
+    pairs = whole.mapInArrow(_across(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = compared(pairs, "across")
     ends = more.join(found.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
     merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    label = per_set.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-    label = label.join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c"))
-    smallest = label.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_set = label.select("sig", "c").join(smallest, "c").select("sig", "component_id", F.col("c").alias("component"))
-    filled = meta.where("n_shingles > 0").join(of_set, "sig").select("part", "ord", "doc_id", "n_shingles", "component_id", "component")
-    bare = meta.where("n_shingles = 0").select("part", "ord", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
-    filled.unionByName(bare).write.parquet(f"{folder}/result")
-    for step in ("meta", "lists", "sets", "first", "found", *(f"{k}-{x}" for k in ("leaders", "across") for x in ("pairs", "elements", "links"))):
-        remove(f"{folder}/{step}")
-    return Join(spark, parts, spark.read.parquet(f"{folder}/result"), docs.schema)
+    label = sets.select("id", "sig", "doc_id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    label = keep(label.join(merged.withColumnRenamed("node", "c"), "c", "left").select("sig", "doc_id", "n", F.coalesce("component", "c").alias("component")), "label")
+    smallest = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = label.select("sig", "n", "component").join(smallest, "component")
+    filled = meta.where("sig is not null").join(of_set, "sig").select("part", "ord", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "component", F.col("sig").alias("key"))
+    bare = meta.where("sig is null").select("part", "ord", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), F.col("sig").alias("key"))
+    result = keep(filled.unionByName(bare), "result")
+    for name in ("meta", "sets", "tokens", "known", "first", "found", "label", *(f"{k}-{x}" for k in ("leaders", "across") for x in ("pairs", "links"))):
+        remove(f"{folder}/{name}")
+    free_shuffles(staged)
+    return Join(staged, result, docs.schema)

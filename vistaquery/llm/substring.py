@@ -1,22 +1,27 @@
 """Substring dedup with a log-structured fingerprint index.
 
-A window is `size` consecutive words of one document.  Documents come in batches.  Of each
-batch every part file gets a segment file of its windows' fingerprints, by bucket.  A bucket's
-task sorts the fingerprints of the batch and merge-joins them with the bucket of each sorted,
-immutable run of the index: a window is repeated if its fingerprint is in a run, or earlier in
-the batch (smaller doc_id, then place).  A fingerprint is a 64-bit key, by which all is sorted,
-and 16 bits of a second hash with another base, on which a match of keys is verified.  What was
-new becomes a further run, and when there are too many runs the two smallest are compacted to
-one.  Then each part drops the words that a repeated window covers.
-
-Null text: no words.  Null doc_id: before all others.  Equal doc_ids: in order of their texts
-within a part of the input, then by part.  Empty table: no rows.  Further columns stay; columns
-named n_words or n_removed are replaced.  Documents of earlier calls on the same index are
-earlier than all of a later call.
+A window is `size` consecutive words of one document.  Documents come in batches.  Parts of a
+batch send the fingerprints of their windows to buckets.  A bucket's task sorts them and
+merge-joins them with that bucket of each sorted, immutable run of the index: a window whose
+fingerprint is in a run, or earlier in the batch (smaller doc_id, then place), claims that it
+equals the window there.  Fingerprints are 56 bits, and a run holds the place of each, so that
+every claim is verified on the words themselves: claims of one stretch of words go with those
+words to the part they point at and are compared there.  A window whose claim fails, as two
+windows have one fingerprint, is compared by words with all others of that kind.  What was new
+becomes a further run, and when there are too many runs the two smallest neighbours are
+compacted to one.  Then each part drops the words that a repeated window covers.
+
+Null text: no words.  Null doc_id: before all others.  Equal doc_ids: in order of a 64-bit
+digest of their texts, in whatever parts they are.  Equal rows: any order, as results are the
+same.  Empty table: no rows.  Further columns stay; columns named n_words or n_removed are
+replaced.  A text of any length is one row of one part.  Documents of earlier calls on the same
+index are earlier than all of a later call.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,17 +29,20 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import Part, give_back, over, read_parquet, read_segment, remove, stage, work_dir, write_segments
-from .words import Hasher, blocks, mix, split_words, text_lengths
+from .work import Staged, bucket_count, free_shuffles, give_back, pack, put_parquet, read_parquet, remove, stage, unpack, work_dir
+from .words import Hasher, Words, blocks, split_words, text_lengths
 
-WINDOW, MAX_RUNS, BATCHES = 20, 2, 4
-#: Documents for each bucket of the index.
-BUCKET_DOCS = 4096
-_KEY, _CHECK = Hasher(11), Hasher(12)
+WINDOW, MAX_RUNS = 20, 2
+#: Bytes of text in a batch, as long as there are from 2 to 4 batches: every batch reads the whole index.
+BATCH_BYTES = 64 << 20
+#: Bytes of text for each bucket of the index.
+BUCKET_BYTES = 6 << 20
+_KEY, _KEY_BITS = Hasher(11), 56
 _BLOCK = 1 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -45,203 +53,335 @@ def copies(texts: list) -> np.ndarray:
     return np.fromiter((x in seen or seen.add(x) is not None for x in texts), dtype=bool, count=len(texts))
 
 
-def fingerprints(column: pa.Array, skip: np.ndarray, size: int, with_check: bool = True) -> Iterator[tuple]:
-    """By block of texts: (first text, words before each text, keys, checks, text of each window, word at which it starts)."""
+def keys_of(column: pa.Array, skip: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of texts: the fingerprint, the text and the first word (numbered over the column) of each window."""
+    before = 0
     for i, j in blocks(text_lengths(column), _BLOCK):
         w = split_words(column.slice(i, j - i))
         count = np.maximum(np.diff(w.offsets) - size + 1, 0)
         count[skip[i:j]] = 0
         doc = np.repeat(np.arange(j - i), count)
         at = w.offsets[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        h = _KEY.words(w.data, w.start, w.end)
-        keys = _KEY.windows(h, size)[at] if len(at) else np.zeros(0, dtype=np.uint64)
-        checks = (_CHECK.windows(mix(h + np.uint64(1)), size)[at] >> np.uint64(48)).astype(np.uint16) if with_check and len(at) else np.zeros(0, dtype=np.uint16)
-        yield i, w.offsets, keys, checks, doc, at
+        keys = _KEY.windows(_KEY.words(w.data, w.start, w.end), size)[at] >> np.uint64(64 - _KEY_BITS) if len(at) else np.zeros(0, np.uint64)
+        yield keys, doc + i, at + before
+        before += int(w.offsets[-1])
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
-
-
-def _segment(n_buckets: int, size: int, order_column: str):
-    def also(t: pa.Table, folder: str) -> str:
-        text = t["text"].combine_chunks()
-        found = [(keys, checks, (doc + i).astype(np.uint32)) for i, _, keys, checks, doc, _ in fingerprints(text, copies(text.to_pylist()), size)]
-        keys, checks, doc = (np.concatenate([f[k] for f in found] or [np.zeros(0, d)]) for k, d in enumerate((np.uint64, np.uint16, np.uint32)))
-        del found
-        bucket = bucket_of(keys, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        keys, checks, doc = keys[order], checks[order], doc[order]
-        ids = t[order_column].fill_null(_NULL_ID).to_numpy()
-        out = []
-        for a, b in zip(cut[:-1], cut[1:]):  # the documents in a bucket, in order, and how many windows each has there
-            begin = np.flatnonzero(np.diff(doc[a:b].astype(np.int64), prepend=-1))
-            out.append([keys[a:b], checks[a:b], ids[doc[a:b][begin]], np.diff(np.append(begin, b - a)).astype(np.uint32)])
-        return write_segments(folder, "windows", out)
-
-    return also
-
-
-def _in_run(keys: np.ndarray, checks: np.ndarray, run_keys: np.ndarray, run_checks: np.ndarray) -> np.ndarray:
-    """Which (key, check), in order, are in a run, in order."""
-    at, hit = np.searchsorted(run_keys, keys), np.zeros(len(keys), dtype=bool)
-    while True:
-        there = at < len(run_keys)
-        same = there.copy()
-        same[there] = run_keys[at[there]] == keys[there]
-        equal = same.copy()
-        equal[same] = run_checks[at[same]] == checks[same]
-        hit |= equal
-        if not (rest := same & ~hit).any():
-            return hit
-        at = np.where(rest, at + 1, len(run_keys))
+    return ((keys >> np.uint64(_KEY_BITS - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+
+
+def words_at(w: Words, first: int, n: int) -> bytes:
+    """n words from the first one on, joined by one space."""
+    return b" ".join(w.data[w.start[first] : w.end[first + n - 1]].tobytes().split()) if first + n <= len(w.start) else b""
+
+
+CLAIMS = "part string, there string, b array<int>, a array<int>"
+SEGMENTS = "part string, there string, a int, n int, b array<int>, words binary"
+#: Kinds of marks: windows that repeat, windows that don't after all, and single ones that do.
+REPEATED, FAILED, ALONE = 0, 1, 2
+
+
+@dataclass
+class Batch:
+    staged: Staged
+    marks: DataFrame
+    size: int
+    schema: T.StructType
+
+    def cleaned(self, joined: bool = True) -> DataFrame:
+        """The batch without the words that a repeated window covers, with n_words and n_removed."""
+        staged, size = self.staged, self.size
+        own = [f.name for f in self.schema.fields if f.name not in ("text", "n_words", "n_removed")]
+
+        def part(name: pa.Table, marks: pa.Table) -> pa.Table:
+            give_back(forget=True)
+            t = staged.read(name["part"][0].as_py())
+            text = t["text"].combine_chunks()
+            same = copies(text.to_pylist())
+            kind, b, n = (marks[c].to_numpy() for c in ("kind", "b", "n"))
+            w = split_words(text)
+            edge = np.zeros(len(w.start) + 1, dtype=np.int64)
+            if (kind != REPEATED).any():  # rare: by window
+                many = np.bincount(np.repeat(np.where(kind != FAILED, b, 0), np.where(kind != FAILED, n, 0)) + _within(np.where(kind != FAILED, n, 0)), minlength=len(w.start))
+                many[b[kind == FAILED]] = 0
+                many[b[kind == ALONE]] = 1
+                b = np.flatnonzero(many)
+                n = np.ones(len(b), dtype=np.int64)
+            np.add.at(edge, b, 1)
+            np.add.at(edge, b + n + size - 1, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.offsets])
+            n_words = np.diff(w.offsets)
+            lost = np.where(same & (n_words >= size), n_words, lost)
+            texts = []
+            for k, (i, j, x) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), lost.tolist())):
+                raw = text[k].as_py()
+                if x and x == j - i:
+                    texts.append("")
+                elif x:
+                    texts.append(b" ".join(compress(raw.encode().split(), ~gone[i:j])).decode())
+                else:
+                    texts.append(b" ".join(raw.encode().split()).decode() if joined and raw else ("" if joined else raw))
+            return pa.table([*(t[c] for c in own), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(lost, pa.int64())], names=[*own, "text", "n_words", "n_removed"])
+
+        out = T.StructType([*(f for f in self.schema.fields if f.name in own), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+        k = max(staged.n, 1)
+        return staged.parts().select("part").repartition(k, "part").groupBy("part").cogroup(self.marks.repartition(k, "part").groupBy("part")).applyInArrow(part, out)
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 @dataclass
 class FingerprintIndex:
-    """Runs of the window fingerprints of all documents so far; a run has a file for each bucket."""
+    """Runs of the window fingerprints of all documents so far; a run is a folder with a sorted file for each bucket.
+
+    Staged parts stay in the index's folder, as claims are verified on their words."""
 
     spark: SparkSession
     n_buckets: int
     size: int = WINDOW
     max_runs: int = MAX_RUNS
     folder: str = ""
-    runs: list[dict[int, str]] = field(default_factory=list)
+    runs: list[str] = field(default_factory=list)
     weights: list[int] = field(default_factory=list)
+    odd: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.folder = self.folder or work_dir(self.spark, "fingerprints")
 
-    def add(self, docs: DataFrame, keep_run: bool = True) -> tuple[list[Part], str]:
-        """Stages a batch, marks its repeated windows and adds a run; (parts, folder of the marks)."""
-        n, size, runs, folder = self.n_buckets, self.size, list(self.runs), self.folder
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def _sent(self, staged: Staged, order: str) -> DataFrame:
+        """bucket, part and entries: the fingerprints and places of the part's windows in that bucket, by document."""
+        n, size = self.n_buckets, self.size
+
+        def send(part: str) -> Iterator[pa.RecordBatch]:
+            t = staged.read(part, [order, "text"])
+            text = t["text"].combine_chunks()
+            texts = text.to_pylist()
+            found = list(keys_of(text, copies(texts), size))
+            keys, doc, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+            del found
+            keys = keys.astype(np.uint64)
+            bucket = bucket_of(keys, n)
+            turn = np.argsort(bucket, kind="stable")
+            keys, doc, at = keys[turn], doc[turn], at[turn]
+            cut = np.searchsorted(bucket[turn], np.arange(n + 1))
+            ids = t[order].combine_chunks().fill_null(_NULL_ID).to_numpy()
+            tie = np.array([int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "little") for x in texts], dtype=np.uint64)
+            full = np.flatnonzero(np.diff(cut))
+            out = []
+            for k in full:
+                a, b = cut[k], cut[k + 1]
+                begin = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+                here = doc[a:b][begin]
+                out.append(pack(keys[a:b], np.diff(at[a:b], prepend=0).astype(np.int32), np.diff(ids[here], prepend=0), tie[here], np.diff(np.append(begin, b - a)).astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([part] * len(full), pa.string()), pa.array(out, pa.binary())], names=["bucket", "part", "entries"])
+
+        return staged.each(send, "bucket int, part string, entries binary")
+
+    def add(self, docs: DataFrame, keep_run: bool = True) -> Batch:
+        """Stages a batch, marks its repeated windows and, if asked to, makes its new ones a run."""
+        size, folder, runs, name = self.size, self.folder, list(self.runs), uuid.uuid4().hex[:12]
         order = max([*docs.columns, "a"], key=len) + "_order"  # a name that no column has
-        parts = stage(docs.withColumn(order, F.col("doc_id").cast("long")), folder, order, _segment(n, size, order))
-        segments = [p.extra for p in parts]
-
-        def bucket(b: int) -> Iterator[pa.RecordBatch]:
-            got = [read_segment(path, b, ["u8", "u2", "i8", "u4"]) for path in segments]
-            keys, checks = (np.concatenate([g[k] for g in got] or [np.zeros(0, d)]) for k, d in ((0, np.uint64), (1, np.uint16)))
-            ids = np.concatenate([np.repeat(g[2], g[3]) for g in got] or [np.zeros(0, np.int64)])
-            order = np.lexsort((ids, checks, keys))
-            keys, checks = keys[order], checks[order]
-            first = np.ones(len(keys), dtype=bool)
-            first[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
-            own = np.flatnonzero(first)
-            old = np.zeros(len(own), dtype=bool)
-            for run in runs:
-                run_keys, run_checks = read_segment(run[b], 0, ["u8", "u2"])
-                old |= _in_run(keys[own], checks[own], run_keys, run_checks)
-            first[own[old]] = False
-            repeated = np.empty(len(keys), dtype=bool)
-            repeated[order] = ~first
-            path = ""
+        staged = stage(docs.withColumn(order, F.col("doc_id").cast("long")), folder, f"batch{name}", [order, "text"])
+        run = f"{folder}/run{name}"
+
+        def bucket(t: pa.Table) -> pa.Table:
+            """Claims, and the new windows in a file of the run."""
+            b = t["bucket"][0].as_py()
+            t = t.sort_by("part")
+            parts = t["part"].to_pylist()
+            got = [unpack(x, ["u8", "i4", "i8", "u8", "u4"]) for x in t["entries"].to_pylist()]
+            count = [len(g[0]) for g in got]
+            keys = np.concatenate([g[0] for g in got])
+            at = np.concatenate([np.cumsum(g[1], dtype=np.int64) for g in got])
+            of = np.repeat(np.arange(len(got)), count)
+            ids, tie, many = np.concatenate([np.cumsum(g[2]) for g in got]), np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got]).astype(np.int64)
+            turn = np.lexsort((tie, ids))
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[turn] = np.arange(len(ids))
+            place = np.repeat(rank, many)
+            turn = np.lexsort((at, place, keys))
+            keys, at, of = keys[turn], at[turn], of[turn]
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            own = keys[begin]
+            target, where = of[begin].copy(), at[begin].copy()  # what each key's windows claim to equal
+            names, old = list(parts), np.zeros(len(own), dtype=bool)
+            for path in runs:
+                r = _read_run(f"{path}/{b:07}")
+                run_keys = r["key"].to_numpy().astype(np.uint64)
+                i = np.minimum(np.searchsorted(run_keys, own), max(len(run_keys) - 1, 0))
+                hit = np.flatnonzero(run_keys[i] == own) if len(run_keys) else np.zeros(0, np.int64)
+                there = pc.dictionary_encode(r["part"].combine_chunks().take(pa.array(i[hit])))
+                target[hit] = there.indices.to_numpy() + len(names)
+                names += there.dictionary.to_pylist()
+                where[hit] = r["at"].to_numpy()[i[hit]]
+                old[hit] = True
             if keep_run:
-                path = write_segments(folder, f"run{len(runs)}", [[keys[first], checks[first]]])
-            at, rows = 0, []
-            for k, g in enumerate(got):
-                m = len(g[0])
-                if m or b == 0:
-                    rows.append((k, b, m, np.packbits(repeated[at : at + m]).tobytes(), "", 0))
-                at += m
-            rows.append((-1, b, 0, b"", path, int(first.sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int64()))], names=["part", "bucket", "n", "marks", "run", "size"])
-
-        marks = f"{folder}/marks{parts[0].path[-12:] if parts else '0'}"
-        over(self.spark, n, bucket, MARKS).write.parquet(marks)
-        for path in segments:
-            remove(path)
+                new = begin[~old]
+            if keep_run and len(new):
+                _write_run(f"{run}/{b:07}", keys[new], pa.DictionaryArray.from_arrays(pa.array(of[new], pa.int32()), pa.array(parts, pa.string())), at[new])
+            each = np.cumsum(np.isin(np.arange(len(keys)), begin)) - 1
+            claim = np.ones(len(keys), dtype=bool)
+            claim[begin[~old]] = False
+            of, there, here, at = of[claim], target[each[claim]], at[claim], where[each[claim]]
+            turn = np.lexsort((here, there, of))
+            of, there, here, at = of[turn], there[turn], here[turn], at[turn]
+            cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (there[1:] != there[:-1])])) if len(of) else np.zeros(0, np.int64)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)).astype(np.int32)), pa.array(x, pa.int32()))
+            return pa.table({"part": pa.array([parts[x] for x in of[cut]], pa.string()), "there": pa.array([names[x] for x in there[cut]], pa.string()), "b": lists(here), "a": lists(at)})
+
         if keep_run:
-            made = self.spark.read.schema(MARKS).parquet(marks).where("part = -1").select("bucket", "run", "size").collect()  # a row per bucket
-            self.runs.append({r.bucket: r.run for r in made})
-            self.weights.append(sum(r.size for r in made))
-            while len(self.runs) > self.max_runs:
-                self.compact()
-        return parts, marks
+            _make(run)
+        claims = self._keep(self._sent(staged, order).repartition(self.n_buckets, "bucket").groupBy("bucket").applyInArrow(bucket, CLAIMS), f"claims{name}")
+        free_shuffles(staged)
+        if keep_run:
+            self.runs.append(run)
+            self.weights.append(staged.bytes)
+        marks = self._verified(staged, claims, order, name)
+        remove(f"{folder}/claims{name}")
+        free_shuffles(staged)
+        while len(self.runs) > self.max_runs:
+            self.compact()
+        return Batch(staged, marks, size, docs.schema)
+
+    def _verified(self, staged: Staged, claims: DataFrame, order: str, name: str) -> DataFrame:
+        """Compares the words of claims; the batch's marks."""
+        size, folder = self.size, self.folder
+
+        def segments(t: pa.Table) -> pa.Table:
+            """Claims of a part as stretches of windows that follow one another here and there, each with its words once."""
+            give_back()
+            part, names = t["part"][0].as_py(), t["there"].to_pylist()
+            n = pc.list_value_length(t["b"]).to_numpy()
+            b, a = (t[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("b", "a"))
+            there = np.repeat(np.unique(np.array(names, dtype=object), return_inverse=True)[1], n)
+            row = np.repeat(np.arange(len(names)), n)
+            turn = np.argsort(b, kind="stable")
+            b, a, there, row = b[turn], a[turn], there[turn], row[turn]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(b) != 1) | (np.diff(a) != 1) | (np.diff(there) != 0)]))
+            length = np.diff(np.append(begin, len(b)))
+            w, found = split_words(staged.read(part, ["text"])["text"].combine_chunks()), {}
+            for i, k in zip(begin.tolist(), length.tolist()):
+                found.setdefault((names[row[i]], int(a[i]), k, words_at(w, int(b[i]), k + size - 1)), []).append(int(b[i]))
+            x = list(zip(*found))
+            return pa.table({"part": pa.array([part] * len(found), pa.string()), "there": pa.array(x[0], pa.string()), "a": pa.array(x[1], pa.int32()), "n": pa.array(x[2], pa.int32()), "b": pa.array(list(found.values()), pa.list_(pa.int32())), "words": pa.array(x[3], pa.binary())})
+
+        def failed(t: pa.Table) -> pa.Table:
+            """Windows whose words are not those they claim to equal."""
+            give_back()
+            out = []
+            w = split_words(read_parquet(f"{folder}/{t['there'][0].as_py()}", ["text"])["text"].combine_chunks())
+            for part, a, n, b, words in zip(*(t[c].to_pylist() for c in ("part", "a", "n", "b", "words"))):
+                if words_at(w, a, n + size - 1) == words:
+                    continue
+                own = words.split()
+                for k in range(n):
+                    if words_at(w, a + k, size) != (x := b" ".join(own[k : k + size])):
+                        out += [(part, i + k, x) for i in b]
+            return pa.table([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["part", "b", "words"])
+
+        k = max(staged.n, 1)
+        found = self._keep(claims.repartition(k, "part").groupBy("part").applyInArrow(segments, SEGMENTS), f"segments{name}")
+        odd = self._keep(found.repartition(2 * k, "there").groupBy("there").applyInArrow(failed, "part string, b int, words binary"), f"odd{name}")
+        marks = found.select("part", F.lit(REPEATED).cast("byte").alias("kind"), F.explode("b").alias("b"), "n")
+        one = F.lit(1).alias("n")
+        if not odd.isEmpty():
+            marks = marks.unionByName(odd.select("part", F.lit(FAILED).cast("byte").alias("kind"), "b", one))
+            again = self._among_odd(staged, odd, order, name)
+            marks = marks.unionByName(again.select("part", F.lit(ALONE).cast("byte").alias("kind"), "b", one))
+        return marks
+
+    def _among_odd(self, staged: Staged, odd: DataFrame, order: str, name: str) -> DataFrame:
+        """Of windows that differ from the first of their fingerprint, those that equal an earlier one of the kind, by words."""
+
+        def placed(t: pa.Table) -> pa.Table:
+            docs = staged.read(t["part"][0].as_py(), [order, "text"])
+            w = split_words(docs["text"].combine_chunks())
+            doc = np.searchsorted(w.offsets, t["b"].to_numpy(), side="right") - 1
+            tie = [int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "little") - (1 << 63) for x in docs["text"].to_pylist()]
+            return t.append_column("id", docs[order].combine_chunks().take(pa.array(doc))).append_column("tie", pa.array([tie[x] for x in doc], pa.int64()))
+
+        rows = odd.groupBy("part").applyInArrow(placed, "part string, b int, words binary, id long, tie long")
+        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("words").orderBy(F.col("id").asc_nulls_first(), "tie", "part", "b")))
+        if self.odd is not None:
+            rows = rows.join(self.odd.withColumn("known", F.lit(True)), "words", "left").withColumn("turn", F.when(F.col("known"), 2).otherwise(F.col("turn")))
+        rows = self._keep(rows.select("part", "b", "words", "turn"), f"placed{name}")
+        new = rows.where("turn = 1").select("words")
+        self.odd = new if self.odd is None else self.odd.unionByName(new)
+        return rows.where("turn > 1")
 
     def compact(self) -> None:
         """Merges the two smallest runs that follow one another."""
         k = min(range(len(self.runs) - 1), key=lambda i: self.weights[i] + self.weights[i + 1])
-        a, b, folder = self.runs[k], self.runs[k + 1], self.folder
-
-        def merge(x: int) -> Iterator[pa.RecordBatch]:
-            keys, checks = (np.concatenate(z) for z in zip(*(read_segment(r[x], 0, ["u8", "u2"]) for r in (a, b))))
-            order = np.lexsort((checks, keys))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x], pa.int32()), "run": [write_segments(folder, "compacted", [[keys[order], checks[order]]])]})
-
-        made = {r.bucket: r.run for r in over(self.spark, self.n_buckets, merge, "bucket int, run string").collect()}
-        for path in [*a.values(), *b.values()]:
-            remove(path)
-        self.runs[k : k + 2] = [made]
+        a, b, path = self.runs[k], self.runs[k + 1], f"{self.folder}/run{uuid.uuid4().hex[:12]}"
+
+        def merge(batches):
+            for x in batches:
+                for k in x.column(0).to_pylist():
+                    both = pa.concat_tables([_read_run(f"{r}/{k:07}") for r in (a, b)])
+                    both = both.take(np.argsort(both["key"].to_numpy(), kind="stable"))
+                    _write_run(f"{path}/{k:07}", both["key"].to_numpy(), both["part"].combine_chunks(), both["at"].to_numpy())
+                    give_back()
+                yield x
+
+        _make(path)
+        self.spark.range(0, self.n_buckets, 1, max(1, self.n_buckets // 4)).mapInArrow(merge, "id long").count()
+        remove(a)
+        remove(b)
+        self.runs[k : k + 2] = [path]
         self.weights[k : k + 2] = [self.weights[k] + self.weights[k + 1]]
 
     def drop(self) -> None:
-        for path in (p for run in self.runs for p in run.values()):
+        """The runs go; the staged parts stay, as batches read them."""
+        for path in self.runs:
             remove(path)
         self.runs, self.weights = [], []
 
 
-MARKS = "part int, bucket int, n long, marks binary, run string, size long"
-
-
-def cleaned(spark: SparkSession, schema: T.StructType, parts: list[Part], marks: str, n_buckets: int, size: int, joined: bool) -> DataFrame:
-    """The staged documents without the words that a marked window covers, with n_words and n_removed."""
-    names = [f.name for f in schema.fields]
-    own = [x for x in names if x not in ("text", "n_words", "n_removed")]
-    paths = [p.path for p in parts]
-
-    def part(t: pa.Table) -> pa.Table:
-        give_back(forget=True)
-        staged = read_parquet(paths[t["part"][0].as_py()])
-        text = staged["text"].combine_chunks()
-        same = copies(text.to_pylist())
-        found = list(fingerprints(text, same, size, False))
-        bucket = bucket_of(np.concatenate([f[2] for f in found] or [np.zeros(0, np.uint64)]), n_buckets)
-        repeated = np.zeros(len(bucket), dtype=bool)
-        t = t.sort_by("bucket")
-        repeated[np.argsort(bucket, kind="stable")] = np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=n).astype(bool) for m, n in zip(t["marks"].to_pylist(), t["n"].to_pylist())])
-        texts, n_words, n_removed, at = [], [], [], 0
-        for i, offsets, keys, _, _, start in found:
-            hit = start[repeated[at : at + len(keys)]]
-            at += len(keys)
-            edge = np.zeros(int(offsets[-1]) + 1, dtype=np.int64)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + size, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            for k in range(len(offsets) - 1):
-                a, b = int(offsets[k]), int(offsets[k + 1])
-                lost = b - a if same[i + k] and b - a >= size else int(gone[a:b].sum())
-                n_words.append(b - a)
-                n_removed.append(lost)
-                raw = text[i + k].as_py()
-                if lost == b - a and lost:
-                    texts.append("")
-                elif lost:
-                    texts.append(b" ".join(compress(raw.encode().split(), ~gone[a:b])).decode())
-                else:
-                    texts.append(b" ".join(raw.encode().split()).decode() if joined and raw else ("" if joined else raw))
-        return pa.table([*(staged[c] for c in own), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*own, "text", "n_words", "n_removed"])
+def _make(path: str) -> None:
+    from .work import locate
+
+    fs, p = locate(path)
+    fs.create_dir(p, recursive=True)
+
+
+def _read_run(path: str) -> pa.Table:
+    """A run has no file for a bucket in which nothing was new."""
+    try:
+        return read_parquet(path)
+    except FileNotFoundError:
+        return pa.table({"key": pa.array([], pa.int64()), "part": pa.array([], pa.string()), "at": pa.array([], pa.int32())})
+
 
-    out = T.StructType([*(f for f in schema.fields if f.name in own), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    marked = spark.read.schema(MARKS).parquet(marks).where("part >= 0").select("part", "bucket", "n", "marks")
-    return marked.repartition(max(2 * len(parts), 1), "part").groupBy("part").applyInArrow(part, out)
+def _write_run(path: str, keys: np.ndarray, parts: pa.Array, at: np.ndarray) -> None:
+    """Sorted keys are delta-encoded, part names a dictionary."""
+    t = pa.table({"key": keys.astype(np.int64), "part": parts.cast(pa.string()) if not pa.types.is_dictionary(parts.type) else parts, "at": pa.array(at, pa.int32())})
+    put_parquet(path, t, use_dictionary=["part"], column_encoding={"key": "DELTA_BINARY_PACKED", "at": "BYTE_STREAM_SPLIT"})
 
 
-def dedup_substrings(docs: DataFrame, size: int = WINDOW, batches: int = BATCHES, n_buckets: int | None = None, joined: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = WINDOW, batches: int | None = None, n_buckets: int | None = None, joined: bool = True, folder: str = "") -> DataFrame:
     """docs without the words of windows that also start earlier; with n_words and n_removed.
 
     joined: kept words are joined by one space in every text; else texts that lose nothing stay
-    as they are.  The index is built anew, in so many batches by doc_id, and dropped."""
+    as they are.  The index is built anew, in so many batches by doc_id, and dropped.  More batches
+    need less disk for the exchange and read the runs more often.  folder: where all of it is."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or max(16, docs.count() // BUCKET_DOCS)
-    index = FingerprintIndex(spark, n_buckets, size)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = n_buckets or bucket_count(n_bytes, BUCKET_BYTES)
+    batches = batches or min(max(2, -(-n_bytes // BATCH_BYTES)), 4)
+    index = FingerprintIndex(spark, n_buckets, size, folder=folder)
     cuts = sorted({*docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
     edges = [None, *cuts, None]
     out = []
     for low, high in zip(edges[:-1], edges[1:]):
         here = F.lit(True) if low is None and high is None else F.coalesce((F.lit(True) if low is None else F.col("doc_id") >= low) & (F.lit(True) if high is None else F.col("doc_id") < high), F.lit(low is None))
-        parts, marks = index.add(docs.where(here), keep_run=high is not None)
-        out.append(cleaned(spark, docs.schema, parts, marks, n_buckets, size, joined))
+        out.append(index.add(docs.where(here), keep_run=high is not None).cleaned(joined))
     index.drop()
     return reduce(DataFrame.unionByName, out)

@@ -6,14 +6,16 @@ response and all others revisit it; smaller ones are responses.  A response's bl
 response whose body has chunked transfer framing; a block beyond `segment` bytes goes into a
 first record and continuation records.
 
-Reading.  Records are read from the files as they come.  Continuations and their first record
+Reading.  Files are inflated as they come, once, a record at a time.  Continuations and their first record
 are grouped by the origin's identifier, ordered by segment number and joined if the numbers
 have no gap and the total length is right; then the chunked framing is undone and the payload
 held against its digest.  A record that fails has a null payload and says why in `error`.
 
 Null html: empty payload.  Null page_id: its record has none, never is the one that others
 revisit unless all of them lack one, and then they are all responses.  Null url: a URN of the
-page.  Repeated rows: one response, the others revisit it.  Empty table: no files.
+page.  Repeated rows: one response, the others revisit it.  Pages of one id and payload: either
+is the response.  Empty table: no files.  A payload of any length is written and read whole, in
+segments.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import locate, new_name, over, read_parquet, stage, work_dir
+from .work import give_back, locate, new_name, stage, work_dir
 
 MIN_BYTES, SEGMENT, CHUNK = 100, 32 << 10, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-RECORD = "record_id string, record_type string, page_id long, target_uri string, refers_to_id string, digest string, segment int, origin_id string, total long, block binary"
 OUT = "record_id string, record_type string, page_id long, target_uri string, refers_to_id string, payload binary, error string"
+READ = OUT + ", digest string, segment int, origin_id string, total long, block binary"
 _STEP = 1 << 16
 
 
@@ -95,77 +97,75 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(own_id, k)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", own_id), ("WARC-Segment-Number", k), *last], piece)
 
 
-def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None = None) -> list[str]:
-    """Writes pages (page_id, url, html) and returns the files."""
+def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None = None) -> DataFrame:
+    """Writes pages (page_id, url, html) and returns a table of the files (path)."""
     spark = pages.sparkSession
     folder = folder or work_dir(spark, "warc")
-    parts = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), folder, "page_id")
-    paths = [p.path for p in parts]
+    staged = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), folder, "pages", ["page_id"])
 
-    def keys(k: int) -> Iterator[pa.RecordBatch]:
-        t = read_parquet(paths[k], ["page_id", "html"])
+    def keys(part: str) -> Iterator[pa.RecordBatch]:
+        t = staged.read(part, ["page_id", "html"])
         raw = [(x or "").encode() for x in t["html"].to_pylist()]
-        n = len(raw)
-        big = [i for i in range(n) if len(raw[i]) >= MIN_BYTES]
-        yield pa.RecordBatch.from_arrays([pa.array([k] * len(big), pa.int32()), pa.array(big, pa.int32()), t["page_id"].combine_chunks().take(pa.array(big, pa.int64())), pa.array([hashlib.sha256(raw[i]).digest() for i in big], pa.binary())], names=["part", "ord", "page_id", "digest"])
+        big = [i for i in range(len(raw)) if len(raw[i]) >= MIN_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(big), pa.string()), pa.array(big, pa.int32()), t["page_id"].combine_chunks().take(pa.array(big, pa.int64())), pa.array([hashlib.sha256(raw[i]).digest() for i in big], pa.binary())], names=["part", "ord", "page_id", "digest"])
 
-    key = "part int, ord int, page_id long, digest binary"
-    over(spark, len(parts), keys, key).write.parquet(f"{folder}/keys")
+    key = "part string, ord int, page_id long, digest binary"
+    staged.each(keys, key).write.parquet(f"{folder}/keys")
     rows = spark.read.schema(key).parquet(f"{folder}/keys")
     first = rows.where("page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "part", "ord")).alias("first"))
     revisits = rows.join(first, "digest").where("part != first.part or ord != first.ord").select("part", "ord", F.col("first.page_id").alias("refers_to"))
     responses = first.select("first.part", "first.ord", F.lit(None).cast("long").alias("refers_to"))
-    every = spark.range(len(parts)).select(F.col("id").cast("int").alias("part"), F.lit(-1).alias("ord"), F.lit(None).cast("long").alias("refers_to"))
+    every = staged.parts().select("part", F.lit(-1).alias("ord"), F.lit(None).cast("long").alias("refers_to"))
 
     def write(t: pa.Table) -> pa.Table:
-        k = t["part"][0].as_py()
+        part = t["part"][0].as_py()
         role = dict(zip(t["ord"].to_pylist(), t["refers_to"].to_pylist()))
-        pages = read_parquet(paths[k])
+        pages = staged.read(part)
         uri = new_name(folder, "pages") + ".warc.gz"
         fs, path = locate(uri)
         with fs.open_output_stream(path, compression=None) as out:  # each record is a member of its own
-            out.write(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", k)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+            out.write(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", part)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
             for i, (page_id, url, html) in enumerate(zip(*(pages[c].to_pylist() for c in ("page_id", "url", "html")))):
                 payload = (html or "").encode()
                 # the one that others refer to has an identifier of its page and payload
-                own = record_id(page_id, hashlib.sha256(payload).hexdigest()) if i in role and role[i] is None else record_id("row", k, i, page_id)
+                own = record_id(page_id, hashlib.sha256(payload).hexdigest()) if i in role and role[i] is None else record_id("row", part, i, page_id)
                 for record in page_records(page_id, url, payload, role.get(i), own, segment):
                     out.write(record)
-        return pa.table({"part": pa.array([k], pa.int32()), "path": [uri]})
+        return pa.table({"path": [uri]})
 
     role = revisits.unionByName(responses).unionByName(every)
-    made = role.repartition(max(2 * len(parts), 1), "part").groupBy("part").applyInArrow(write, "part int, path string").collect()  # a row per file
-    return [r.path for r in sorted(made)]
+    role.repartition(max(2 * staged.n, 1), "part").groupBy("part").applyInArrow(write, "path string").write.parquet(f"{folder}/files")
+    return spark.read.schema("path string").parquet(f"{folder}/files")
 
 
-def members(raw: bytes) -> Iterator[bytes]:
+def members(stream) -> Iterator[bytes]:
     """The gzip members of a file, one by one."""
-    at = 0
-    while at < len(raw):
-        tool, out = zlib.decompressobj(31), []
-        while not tool.eof and at < len(raw):
-            step = raw[at : at + _STEP]
-            out.append(tool.decompress(step))
-            at += len(step) - len(tool.unused_data)
+    tool, out, raw = zlib.decompressobj(31), [], stream.read(_STEP)
+    while raw:
+        out.append(tool.decompress(raw))
+        raw = tool.unused_data
+        if tool.eof:
+            yield b"".join(out)
+            tool, out = zlib.decompressobj(31), []
+        raw = raw or stream.read(_STEP)
+    if out:  # cut off
         yield b"".join(out)
 
 
 def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     fs, p = locate(path)
-    with fs.open_input_file(p) as f:
-        raw = f.read()
-    for member in members(raw):
-        head, _, rest = member.partition(b"\r\n\r\n")
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:] if ":" in x)}
-        yield fields, rest[: int(fields.get("content-length", 0))]
+    with fs.open_input_stream(p, compression=None) as f:
+        for member in members(f):
+            head, _, rest = member.partition(b"\r\n\r\n")
+            fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:] if ":" in x)}
+            yield fields, rest[: int(fields.get("content-length", 0))]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-_OUT = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in OUT.split(", "))])
-_RECORD = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in RECORD.split(", "))])
+_OUT, _READ = (pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in y.split(", "))]) for y in (OUT, READ))
 
 
 def _finished(fields: tuple, digest: str | None, block: bytes | None, error: str | None) -> tuple:
@@ -180,35 +180,36 @@ def _finished(fields: tuple, digest: str | None, block: bytes | None, error: str
     return (*fields, payload, error)
 
 
-def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
-    """A row per response and revisit record; a revisit's payload is null, as it is that of the record it refers to."""
+def read_archives(spark: SparkSession, files: DataFrame, folder: str | None = None) -> DataFrame:
+    """A row per response and revisit record of the files (path); a revisit's payload is null, as it is that of the record it refers to."""
+    folder = folder or work_dir(spark, "records")
 
     def fields_of(f: dict[str, str]) -> tuple:
         page = f.get("x-page-id")
         return (f.get("warc-record-id"), f.get("warc-type"), int(page) if page else None, f.get("warc-target-uri"), f.get("warc-refers-to"))
 
-    def whole(k: int) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for f, block in records(files[k]):
-            if f.get("warc-type") in ("response", "revisit") and "warc-segment-number" not in f:
-                rows.append(_finished(fields_of(f), f.get("warc-payload-digest"), block, None))
-                size += len(block)
-                if size > 4 << 20:
-                    yield _batch(rows, _OUT)
-                    rows, size = [], 0
-        yield _batch(rows, _OUT)
-
-    def segments(k: int) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for f, block in records(files[k]):
-            if number := f.get("warc-segment-number"):
-                origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
-                total = f.get("warc-segment-total-length")
-                rows.append((*fields_of(f), f.get("warc-payload-digest"), int(number), origin, int(total) if total else None, block))
-                if len(rows) >= 64:
-                    yield _batch(rows, _RECORD)
-                    rows = []
-        yield _batch(rows, _RECORD)
+    def read(batches):
+        """Whole records finished, segments as they are."""
+        for paths in batches:
+            for path in paths.column(0).to_pylist():
+                rows, size = [], 0
+                for f, block in records(path):
+                    if number := f.get("warc-segment-number"):
+                        origin = f.get("warc-segment-origin-id") or f.get("warc-record-id")
+                        total = f.get("warc-segment-total-length")
+                        rows.append((*fields_of(f), None, None, f.get("warc-payload-digest"), int(number), origin, int(total) if total else None, block))
+                    elif f.get("warc-type") in ("response", "revisit"):
+                        rows.append((*_finished(fields_of(f), f.get("warc-payload-digest"), block, None), None, None, None, None, None))
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield _batch(rows, _READ)
+                        rows, size = [], 0
+                yield _batch(rows, _READ)
+                give_back()
+
+    n = max(files.count(), 1)
+    files.select("path").repartition(n, "path").mapInArrow(read, READ).write.parquet(f"{folder}/read")
+    found = spark.read.schema(READ).parquet(f"{folder}/read")
 
     def joined(t: pa.Table) -> pa.Table:
         """The segments of one record: no more than its block, which one page's payload makes."""
@@ -223,11 +224,11 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
         fields = tuple(first[c] for c in ("record_id", "record_type", "page_id", "target_uri", "refers_to_id"))
         return pa.Table.from_batches([_batch([_finished(fields, first["digest"], block, error)], _OUT)])
 
-    n = len(files)
-    return over(spark, n, whole, OUT).unionByName(over(spark, n, segments, RECORD).groupBy("origin_id").applyInArrow(joined, OUT))
+    names = [f.name for f in _OUT]
+    return found.where("segment is null").select(names).unionByName(found.where("segment is not null").drop("payload", "error").groupBy("origin_id").applyInArrow(joined, OUT))
 
 
-def payload_table(spark: SparkSession, files: list[str]) -> DataFrame:
+def payload_table(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Per page: page_id, payload_bytes, payload_digest (of the full payload, also of revisits), record_type, refers_to, error."""
     folder = work_dir(spark, "payloads")
     rows = read_archives(spark, files).select("record_id", "record_type", "page_id", "refers_to_id", "error", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))

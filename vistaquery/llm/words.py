@@ -1,10 +1,14 @@
 """Vectorised words and their hashes, for whole batches of texts at a time.
 
-A word is [^\\x20\\x09-\\x0D]+ of the UTF-8 bytes.  Hashes are polynomials over random
-tables modulo 2**64, so a run of words is hashed from prefix sums in constant time."""
+A word is [^\\x20\\x09-\\x0D]+ of the UTF-8 bytes.  A word of up to 16 bytes is two 64-bit
+lanes, its bytes themselves; a longer one is its 128-bit BLAKE2 digest.  Hashes mix the lanes
+by multiplications and shifts that do not distribute over sums, so no algebra of the letters
+(as in polynomials modulo 2**64) makes texts collide.  Hashes only deal and look up: operators
+compare the words themselves before two windows or sets count as equal."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,21 +19,9 @@ NON_SPACE = np.ones(256, dtype=bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 LOWER_TABLE = np.frombuffer(LOWER, dtype=np.uint8)
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def random_table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64 (of its inverse), at least n of them."""
-    have = _POWERS.get((base, inverse))
-    if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 20), pow(base, -1, 2**64) if inverse else base, dtype=np.uint64)
-        step[0] = 1
-        have = _POWERS[base, inverse] = np.cumprod(step, dtype=np.uint64)
-    return have
+#: The lowest k bytes of a lane.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,32 +34,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values of each word: its bytes, or of one over 16 bytes its digest."""
+    n = end - start
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(24, np.uint8)]), 8)
+    x = eight[start].view("<u8")[:, 0] & _LOW[np.minimum(n, 8)] if len(n) else np.zeros(0, np.uint64)
+    y = eight[np.minimum(start + 8, len(data) + 8)].view("<u8")[:, 0] & _LOW[np.clip(n - 8, 0, 8)] if len(n) else np.zeros(0, np.uint64)
+    for k in np.flatnonzero(n > 16).tolist():
+        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=16).digest()
+        x[k], y[k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return x, y
+
+
 @dataclass
 class Hasher:
-    """Two bases and a table: one independent family of word and window hashes."""
+    """One family of word and window hashes."""
 
     seed: int
 
-    def __post_init__(self) -> None:
-        self.table = random_table(self.seed)
-        self.letter, self.word = (int(x) for x in random_table(self.seed + 1000)[:2])
-
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if not len(start):
-            return np.zeros(0, dtype=np.uint64)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.table[data] * powers(self.letter, len(data))[: len(data)], out=sums[1:])
-        out = (sums[end] - sums[start]) * powers(self.letter, len(data), True)[start]
-        return mix(out + (end - start).astype(np.uint64))
+        return self.of_lanes(*lanes(data, start, end), end - start)
+
+    def of_lanes(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = mix(x + np.uint64(self.seed * int(_STEP) % 2**64))
+        h = mix(h * _STEP + y)
+        return mix(h * _STEP + n.astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, size: int) -> np.ndarray:
-        """Of each run of size words, over all words of the batch (borders of texts too)."""
+        """Of each run of size words, over all words of the batch (borders of texts too).
+
+        Windows of 1, 2, 4, ... words are made of two halves; those that add up to size are joined."""
         n = len(hashes) - size + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * powers(self.word, len(hashes))[: len(hashes)], out=sums[1:])
-        return mix((sums[size:] - sums[:n]) * powers(self.word, len(hashes), True)[:n])
+        out, width, done, now = None, 1, 0, hashes
+        while True:
+            if size & width:
+                piece = now[done : done + n]
+                out = piece if out is None else mix(out * _STEP + piece)
+                done += width
+            if 2 * width > size:
+                return mix(out + np.uint64(size))
+            now = mix(now[:-width] * _STEP + now[width:])
+            width *= 2
 
 
 @dataclass
@@ -123,3 +132,9 @@ def blocks(lengths: np.ndarray, limit: int):
 
 def text_lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def digest_of_words(text: str | None) -> bytes | None:
+    """128 bits that stand for a text's words, lower-cased; null without words."""
+    words = (text or "").encode().translate(LOWER).split()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None

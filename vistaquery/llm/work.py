@@ -1,15 +1,19 @@
-"""Shared-folder work area: staged parts and bucketed segment files.
-
-Multi-pass operators read their documents once, stage them as part files in the
-shared folder and then address "part k" by path, so a pass that is retried after an
-executor was lost reads the same rows in the same order.  Every task attempt writes
-files of its own name; only names that a finished task reported are used.
+"""Shared-folder work area: staged part files, and arrays that Spark shuffles as binary rows.
+
+Multi-pass operators read their documents once and stage them as part files of a set size in
+the shared folder.  Every task attempt writes files of its own name; the names themselves are
+rows of a table that Spark commits, so only files of finished tasks are ever read, a pass that
+is retried after an executor was lost reads the same rows in the same order, and no list of
+files is on the driver or in a task's closure.  Parts exchange arrays through Spark's own
+shuffle: one row for each part and bucket that have something in common, never more rows than
+entries.
 """
 
 from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,11 +27,14 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Raw bytes of Arrow data that one staged part holds before the next one is begun.
 PART_BYTES = 12 << 20
 #: Rows of long texts that Spark and a Python worker exchange at a time.
 BATCH_ROWS = 1000
+#: Staged bytes beyond which shuffle files are freed between the passes of an operator.
+FREE_BYTES = 32 << 20
 _MADE: list[str] = []
 
 
@@ -106,13 +113,6 @@ def give_back(forget: bool = False) -> None:
         pass
 
 
-@dataclass(frozen=True)
-class Part:
-    path: str
-    rows: int
-    extra: str
-
-
 def part_tables(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.Table]:
     """The batches, gathered to tables of about limit bytes."""
     held, size = [], 0
@@ -140,72 +140,107 @@ def batch_rows(spark: SparkSession, n: int):
         spark.conf.set(name, old)
 
 
-def stage(df: DataFrame, folder: str, order: str | None = None, also: Callable[[pa.Table, str], str] | None = None, limit: int = PART_BYTES) -> list[Part]:
-    """Writes df as part files in folder and returns them (paths and counts only).
+PARTS = "part string, rows long, bytes long"
+
+
+@dataclass(frozen=True)
+class Staged:
+    """Part files of a table; the table `label` in the same folder has a row for each."""
+
+    spark: SparkSession
+    folder: str
+    label: str
+    n: int
+    rows: int
+    bytes: int
+
+    def __reduce__(self):
+        """Tasks get it without the session."""
+        return Staged, (None, self.folder, self.label, self.n, self.rows, self.bytes)
+
+    def parts(self) -> DataFrame:
+        return self.spark.read.schema(PARTS).parquet(f"{self.folder}/{self.label}")
+
+    def each(self, run: Callable[[str], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """run(part) for every part."""
 
-    order: rows of a part are sorted by that column, nulls first, and by text after it.
-    also(table, folder): makes a further file from the part's rows; its name is kept."""
+        def every(batches):
+            give_back(forget=True)
+            for b in batches:
+                for part in b.column(0).to_pylist():
+                    yield from run(part)
+                    give_back()
+
+        return self.parts().repartition(max(self.n, 1), "part").mapInArrow(every, schema)
+
+    def read(self, part: str, columns: list[str] | None = None) -> pa.Table:
+        return read_parquet(f"{self.folder}/{part}", columns)
+
+    def remove(self) -> None:
+        """The files go, their rows are lost."""
+        fs, path = locate(self.folder)
+        for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if info.base_name.startswith(f"{self.label}.") or info.base_name == self.label:
+                remove(f"{self.folder}/{info.base_name}")
+
+
+def stage(df: DataFrame, folder: str, label: str = "docs", order: list[str] | None = None, limit: int = PART_BYTES) -> Staged:
+    """Writes df as part files in folder; order: columns by which the rows of a part are sorted, nulls first."""
 
     def run(batches):
         give_back(forget=True)
         for t in part_tables(batches, limit):
             if order:
-                keys = [(order, "ascending")] + ([("text", "ascending")] if "text" in t.column_names and order != "text" else [])
-                t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+                t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
             t = t.combine_chunks()
-            path = new_name(folder, "part")
-            write_parquet(path, t)
-            yield pa.RecordBatch.from_pydict({"path": [path], "rows": [t.num_rows], "extra": [also(t, folder) if also else ""]})
+            part = f"{label}.{uuid.uuid4().hex}"
+            write_parquet(f"{folder}/{part}", t)
+            yield pa.RecordBatch.from_pydict({"part": [part], "rows": [t.num_rows], "bytes": [t.nbytes]})
             give_back()
 
     with batch_rows(df.sparkSession, BATCH_ROWS):
-        found = df.mapInArrow(run, "path string, rows long, extra string").collect()
-    return [Part(r.path, r.rows, r.extra) for r in sorted(found, key=lambda r: r.path)]
+        df.mapInArrow(run, PARTS).write.parquet(f"{folder}/{label}")
+    parts = df.sparkSession.read.schema(PARTS).parquet(f"{folder}/{label}")
+    n, rows, size = parts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return Staged(df.sparkSession, folder, label, n, rows, size)
 
 
-def over(spark: SparkSession, n: int, run: Callable[[int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """run(k) for every k below n, each k in a task of its own."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte plane by byte plane."""
+    out, codec = [], pa.Codec("zstd", compression_level=1)
+    for x in arrays:
+        raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+        z = codec.compress(raw, asbytes=True) if raw else b""
+        out += [len(raw).to_bytes(8, "little"), len(z).to_bytes(8, "little"), z]
+    return b"".join(out)
 
-    def each(batches):
-        give_back(forget=True)
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                yield from run(k)
-                give_back()
-
-    return spark.range(0, n, 1, max(n, 1)).mapInArrow(each, schema)
-
-
-def write_segments(folder: str, kind: str, per_bucket: list[list[np.ndarray]], head: bytes = b"") -> str:
-    """One file: offsets of the buckets, head, then the arrays of bucket 0, of bucket 1, ...
-
-    Returns its name.  Each array goes in behind its length in bytes, so that a reader
-    needs the offsets and one range of the file."""
-    sizes = [sum(8 + x.nbytes for x in arrays) for arrays in per_bucket]
-    at = 8 * (len(sizes) + 3) + len(head)
-    offsets = np.cumsum([at, *sizes], dtype=np.int64)
-    path = new_name(folder, kind)
-    fs, p = locate(path)
-    with fs.open_output_stream(p) as out:
-        out.write(np.array([len(sizes), len(head)], dtype=np.int64).tobytes() + offsets.tobytes() + head)
-        for x in (x for arrays in per_bucket for x in arrays):
-            out.write(x.nbytes.to_bytes(8, "little"))
-            out.write(np.ascontiguousarray(x).data)
-    return path
-
-
-def read_segment(path: str, bucket: int, kinds: list[str], with_head: bool = False):
-    """The arrays of one bucket, of the given dtypes; with_head: and the head."""
-    fs, p = locate(path)
-    with fs.open_input_file(p) as f:
-        n, size = np.frombuffer(f.read_at(16, 0), dtype=np.int64)
-        a, b = np.frombuffer(f.read_at(16, 16 + 8 * bucket), dtype=np.int64)
-        blob = f.read_at(int(b - a), int(a))
-        head = f.read_at(int(size), int(16 + 8 * (n + 1))) if with_head else b""
-    out, at = [], 0
+
+def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """What pack() was given; kinds: the arrays' dtypes."""
+    out, at, codec = [], 0, pa.Codec("zstd")
     for kind in kinds:
-        size = int.from_bytes(blob[at : at + 8], "little")
-        out.append(np.frombuffer(blob, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at + 8))
-        at += 8 + size
-    return (*out, head) if with_head else out
+        size, z = int.from_bytes(blob[at : at + 8], "little"), int.from_bytes(blob[at + 8 : at + 16], "little")
+        raw = codec.decompress(blob[at + 16 : at + 16 + z], size, asbytes=True) if size else b""
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(wide, -1).T).reshape(-1).view(kind))
+        at += 16 + z
+    return out
+
+
+def put_parquet(uri: str, table: pa.Table, **options) -> None:
+    """Writes a file of a fixed name; attempts that write the same rows replace one another as a whole."""
+    own = f"{uri}.{uuid.uuid4().hex}"
+    write_parquet(own, table, **options)
+    fs, path = locate(own)
+    fs.move(path, locate(uri)[1])
+
+
+def free_shuffles(staged: Staged) -> None:
+    """Spark drops the shuffle files of jobs that are over when their plans are garbage: asks for that now, where it is worth a pause."""
+    if staged.bytes > FREE_BYTES:
+        gc.collect()
+        staged.spark.sparkContext._jvm.System.gc()
+
 
+def bucket_count(size: int, each: int) -> int:
+    return max(16, -(-size // each))
