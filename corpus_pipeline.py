@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the
 last return the columns of documents.  run() writes each stage's rows as Parquet in the shared
-folder and reads them again as the next one's documents.
+folder and reads them again as the next one's documents; a table that is read no more goes, and a
+stage drops the folders that those before it worked in.
+
+All stages: null text counts as empty (the first stage rejects it); null and repeated doc_ids
+are rows of their own; repeated rows are near-duplicates of one another, of which one stays; ties
+are broken as the operators say; texts of any length are whole; an empty table gives an empty
+table; further columns, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vistaquery.llm import cascade, jaccard_join, packing, substring, token_store
 from vistaquery.llm.queries import END_ID, SEQUENCE, table, tokenizer_path
-from vistaquery.llm.work import work_dir
+from vistaquery.llm.work import remove, work_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +26,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cascade.judge(docs).where("kept").select(docs.columns)
 
 
+#: Folders that a stage's rows are read from until they are written; the next stage drops them.
+_HELD: list[str] = []
+
+
+def _own_folder(docs: DataFrame, label: str) -> str:
+    """A new folder for a stage; what earlier stages held goes, but for what docs is still read from."""
+    files = docs.inputFiles()
+    for held in [x for x in _HELD if not any(f"/{x.rpartition('/')[2]}/" in f for f in files)]:
+        remove(held)
+        _HELD.remove(held)
+    _HELD.append(work_dir(docs.sparkSession, label))
+    return _HELD[-1]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group: five words, a similarity of 0.8."""
-    return jaccard_join.jaccard_join(docs, size=5, percent=80).representatives().select(docs.columns)
+    return jaccard_join.jaccard_join(docs, size=5, percent=80, folder=_own_folder(docs, "join")).representatives().select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of passages of 50 words or more that start earlier; n_chars follows, and
     documents of which nothing is left go."""
-    rows = substring.dedup_substrings(docs, size=PASSAGE, joined=False)
+    rows = substring.dedup_substrings(docs, size=PASSAGE, joined=False, folder=_own_folder(docs, "substring"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.where("n_removed = 0 or n_removed < n_words").select(docs.columns)
@@ -36,9 +56,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of SEQUENCE tokens: doc_id, piece, start, length, sequence_id, offset and the ids' crc32."""
-    pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE, remember=REMEMBER)
+    folder = _own_folder(docs, "packing")
+    pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE, folder, REMEMBER)
     digests = pieces.select("piece_key", "tokens").mapInArrow(token_store.crc32_of_lists, "piece_key long, ids_crc32 long")
-    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE).join(digests, "piece_key").drop("piece_key")
+    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE, folder=folder).join(digests, "piece_key").drop("piece_key")
 
 
 #: Words that a worker's encoder remembers here, fewer than alone, as other stages' memory is still there.
@@ -54,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = work_dir(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:  # its rows are in the next table
+            remove(f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
