@@ -380,7 +380,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, n_buckets: i
         free_shuffles(staged)
         return links
 
-    leader = lists.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("x"), F.count("*").alias("many")).where("many > 1").select("token", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.pos").alias("q"), "many")
+    leader = lists.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("x"), F.count("*").alias("many")).where("many > 1").select("token", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.pos").alias("q"), "many")
     near = lists.join(leader, "token").where("id <> b").where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))))
     first = keep(near.select(F.col("id").alias("a"), "b").distinct(), "first")
     found = keep(components(compared(first, "leaders")), "found")
