@@ -44,6 +44,15 @@ def test_extract_filters():
     assert [f.source for f in found] == ["explicit_range", "single_mask", "semantic", "semantic"]
     assert text == "in summer night" and {f.key for f in found} == {None, "summer", "night"}
     assert masks.extract_filters("summertime")[0] == []
+    found, text = masks.extract_filters("  noon 202x-XX-XXTXX:XX:XX - 2022-01-01T00:00:00, Noon in the Golden hour 202X-XX-XXTXX:XX:XX 202X-XX-XXTXX:XX:XX ")
+    assert [(f.source, f.start_mask[:4], f.end_mask[:4], f.key, f.matched_text) for f in found[2:]] == [("semantic", "XXXX", "XXXX", "golden hour", "Golden hour"), ("semantic", "XXXX", "XXXX", "noon", "noon")]
+    assert [(f.source, f.start_mask[:4], f.end_mask[:4]) for f in found[:2]] == [("explicit_range", "202X", "2022"), ("single_mask", "202X", "202X")]
+    assert text == "noon , noon in the golden hour"
+
+
+@pytest.mark.parametrize("key", masks.SEMANTIC)
+def test_every_phrase_is_found_alone(key):
+    assert [f.key for f in masks.extract_filters(f"at {key.upper()}, then")[0]] == [key]
 
 
 def test_recurring_condition_is_tuple_order(spark):

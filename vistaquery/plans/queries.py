@@ -154,9 +154,7 @@ def _(spark, d):
 
 @query("semantic_phrase_match", "SELECT input_pos, k AS phrase FROM e, (VALUES ('fall'), ('spring'), ('noon'), ('the'), ('of'), ('die'), ('70s')) p(k) WHERE regexp_matches(lower(text), '(^|[^0-9A-Za-z_])' || k || '($|[^0-9A-Za-z_])')")
 def _(spark, d):
-    keys = ["fall", "spring", "noon", "the", "of", "die", "70s"]
-    found = [F.when(F.lower("text").rlike(rf"(^|[^0-9A-Za-z_]){k}($|[^0-9A-Za-z_])"), F.lit(k)) for k in keys]
-    return flat_entries(spark, d).select("input_pos", F.explode(F.array_compact(F.array(*found))).alias("phrase"))
+    return flat_entries(spark, d).select("input_pos", F.explode(masks.phrase_matches(F.col("text"), ["fall", "spring", "noon", "the", "of", "die", "70s"])).alias("phrase"))
 
 
 _SEM = """, vq AS (SELECT k.query_id, list_transform(x.embedding, lambda a: a::DOUBLE) AS qv FROM (VALUES ('er re an', 0), ('die der', 1)) k(query_id, vec_id) JOIN embeddings x USING (vec_id)),
