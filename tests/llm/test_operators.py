@@ -187,6 +187,10 @@ def test_token_store(spark, byte_tokenizer, encoding):
         groups = max(groups, meta.num_row_groups)
         assert meta.row_group(0).column(0).has_offset_index
     assert groups > 1
+    late = fs.get_file_info(__import__("pyarrow.fs", fromlist=["x"]).FileSelector(path))[0].path  # of an attempt that ends after all
+    copy = pq.read_table(late)
+    pq.write_table(copy.set_column(2, "attempt", [["late"] * copy.num_rows]), path + "/ids-late.parquet")
+    assert store.read(spark).count() == len(rows)
     plan = store.read(spark, "doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "tokens:array" not in plan
     assert token_store.write_token_store(frame(spark, EMPTY), BYTE, 2).read(spark).count() == 0
@@ -229,7 +233,7 @@ def test_sum_of_squares_is_the_rule():
     left = []
     for s, b, o in zip(lengths, bins.tolist(), offsets.tolist()):
         square = lambda x: sum(n * n for g, n in Counter(x).items() if g)
-        cost = {g: square([*left, capacity - s] if g == capacity else [*left[: left.index(g)], *left[left.index(g) + 1 :], g - s]) for g in {*left, capacity} if g >= s}
+        cost = {g: square([*left[: left.index(g)], *left[left.index(g) + 1 :], g - s]) for g in {*left} if g >= s} or {capacity: 0}
         old = left[b] if b < len(left) else capacity
         assert cost[old] == min(cost.values()) and o == capacity - old
         if b < len(left):
@@ -237,8 +241,24 @@ def test_sum_of_squares_is_the_rule():
         else:
             left.append(capacity - s)
     assert left == gaps.tolist()
-    order = np.array(sorted(lengths, reverse=True))
-    assert len(packing.place(order, capacity)[2]) <= len(packing.sum_of_squares(order, capacity)[2])
+
+
+def test_packing_replays_the_rule(spark):
+    """On the operator's own rows, longest first: each went where the sum of squares became smallest."""
+    rnd, capacity = random.Random(4), 50
+    lengths = [rnd.randint(1, 49) for _ in range(200)]
+    got = packing.pack_lengths(spark.createDataFrame(list(enumerate(lengths)), "piece_key long, length long"), capacity).collect()
+    left = {}
+    for r in sorted(got, key=lambda r: (-r.length, r.piece_key)):
+        counts = Counter(g for g in left.values() if g)
+        cost = {g: 2 * (counts[g - r.length] - counts[g] + 1) if g > r.length else 1 - 2 * counts[g] for g in counts if g >= r.length}
+        old = left.get(r.sequence_id, capacity)
+        assert r.offset == capacity - old
+        if cost:
+            assert r.sequence_id in left and cost[old] == min(cost.values())
+        else:
+            assert r.sequence_id not in left
+        left[r.sequence_id] = old - r.length
 
 
 # --- 4: embeddings ---

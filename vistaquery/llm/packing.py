@@ -2,16 +2,18 @@
 
 A document is its ids and an end id.  One longer than the sequence length is cut into
 pieces of that length, of which the first takes the rest; all others stay whole.  Full
-pieces are sequences of their own.  Every other piece goes, longest first, where the sum
-over gaps of the squared count of open bins with that gap becomes smallest (equal: the
-smallest gap).  That rule keeps bins of every gap open, so at the end the bins that are not
-full are taken apart and their pieces placed, longest first, in the smallest gap that holds
-them.  Pieces are dealt to shards of a set size by a hash of their unique key,
-and the bins that a shard leaves open are packed anew, in shards again, while that lessens
-them; so no task holds more than a shard, whatever the data.
+pieces are sequences of their own.  Every other piece goes, longest first, into the open bin
+for which the sum over gaps of the squared count of open bins with that gap becomes smallest
+(equal: the smallest gap); a new bin is opened only where no open one holds the piece, as a
+rule that opens bins for the sake of the sum leaves bins of every gap open at the end.  Pieces
+are dealt to shards of a set size by a hash of their unique key, and the pieces of bins that a
+shard leaves open are packed anew, in shards again, while that lessens them; so no task holds
+more than a shard, whatever the data.
 
 Null text: empty (the end id alone).  Null or repeated doc_ids are packed row by row.
-Empty table: no rows.  Further columns are ignored.
+Equal
+lengths: by piece_key.  Empty table: no rows.  A text of any length is cut into pieces of one
+row each.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of each length, in the order given, and the gap left in each bin.
 
     Putting a piece of length s into a bin with gap g changes the sum of squares by
-    2 (n[g - s] - n[g] + 1); a full bin counts nowhere, and a new bin adds 2 n[capacity - s] + 1."""
+    2 (n[g - s] - n[g] + 1); a full bin counts nowhere."""
     counts = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     gaps: list[int] = []
@@ -45,10 +47,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change[1:] += 2 * counts[1 : capacity + 1 - s]
         change[0] -= 1
         change[counts[s:] == 0] = 1 << 40
-        fresh = 2 * counts[capacity - s] + 1 if s < capacity else 0
-        best = int(np.argmin(change))
-        if change[best] <= fresh:
-            gap = best + s
+        gap = s + int(np.argmin(change))
+        if counts[gap]:
             b = waiting[gap].pop()
             counts[gap] -= 1
         else:
@@ -62,41 +62,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(gaps, dtype=np.int64)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As sum_of_squares, but each length goes into the smallest gap that holds it."""
-    open_gaps, waiting = np.zeros(capacity + 1, dtype=bool), [[] for _ in range(capacity + 1)]
-    gaps: list[int] = []
-    bins, offsets = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
-    for k, s in enumerate(lengths.tolist()):
-        gap = s + int(np.argmax(open_gaps[s:]))
-        if open_gaps[gap]:
-            b = waiting[gap].pop()
-            open_gaps[gap] = bool(waiting[gap])
-        else:
-            gap, b = capacity, len(gaps)
-            gaps.append(capacity)
-        bins[k], offsets[k] = b, capacity - gap
-        gaps[b] = gap - s
-        if gap > s:
-            waiting[gap - s].append(b)
-            open_gaps[gap - s] = True
-    return bins, offsets, np.array(gaps, dtype=np.int64)
-
-
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of squares, then best fit for the pieces of the bins that are not full; lengths fall."""
-    bins, offsets, gaps = sum_of_squares(lengths, capacity)
-    loose = (gaps > 0)[bins] if len(gaps) else np.zeros(0, dtype=bool)
-    full = np.cumsum(gaps == 0) - 1
-    bins2, offsets2, gaps2 = best_fit(lengths[loose], capacity)
-    n = int((gaps == 0).sum())
-    if n + len(gaps2) >= len(gaps):
-        return bins, offsets, gaps
-    bins = full[bins] if len(bins) else bins
-    bins[loose], offsets[loose] = n + bins2, offsets2
-    return bins, offsets, np.concatenate([np.zeros(n, dtype=np.int64), gaps2])
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, folder: str | None = None, remember: int = REMEMBER) -> DataFrame:
     """Per piece: piece_key (unique), doc_id, piece, start, length, tokens; written to the shared folder and read from it."""
     spark = docs.sparkSession
@@ -128,7 +93,7 @@ def _pack_shard(capacity: int):
         """A shard's items (of one or more pieces each, laid end to end): item, size -> bin, offset, and the bin's gap."""
         size = t["size"].to_numpy()
         order = np.lexsort((t["item"].to_numpy(), -size))
-        bins, offsets, gaps = place(size[order], capacity)
+        bins, offsets, gaps = sum_of_squares(size[order], capacity)
         shard = t["shard"][0].as_py() if t.num_rows else 0
         return pa.table({"item": t["item"].take(pa.array(order)), "size": pa.array(size[order]), "bin": pa.array((shard << 24) + bins), "at": pa.array(offsets), "used": pa.array(capacity - gaps[bins])})
 

@@ -4,32 +4,37 @@ Files hold one row per document: doc_id, file_no, start_in_file, n_tokens and to
 of 32-bit ids).  Ids are dictionary-encoded (or delta, by choice), counts and positions are
 delta-encoded; row groups hold a set number of ids and every column chunk has a page index,
 so a read of some documents, or of the metadata alone, skips the pages of all other ids.
-A side table `index` has one row per file with the ids before it.
+A side table `index` has one row per file with the ids before it and the name of the task
+attempt that wrote it, which is in every row of the file too: files of other attempts, even
+late ones, join with no row of it.
 
 Null text: empty, so the end id alone.  Null doc_id: before all others.  Equal doc_ids: in
-order of their texts, null first.  Empty table: no files.  Further columns are not stored.
+order of a hash of their texts, then of the texts.  Equal rows: any order.  Empty table: no
+files.  A text of any length is one row.  Further columns are not stored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoder import encoder
-from .work import BATCH_ROWS, batch_rows, give_back, locate, new_name, part_tables, work_dir
+from .work import BATCH_ROWS, batch_rows, give_back, locate, part_tables, work_dir
 
 #: Ids in a row group, and bytes in a data page.
 GROUP_IDS, PAGE_BYTES = 1 << 20, 1 << 17
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("file_no", pa.int32()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+#: Bytes of text for a file, unless the session asks for more partitions than that makes files.
+FILE_BYTES = 64 << 20
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("file_no", pa.int32()), ("attempt", pa.string()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 #: Texts that are encoded at a time, in bytes.
 BATCH_BYTES = 2 << 20
 
@@ -69,9 +74,9 @@ class TokenStore:
 
     def read(self, spark: SparkSession, *columns: str) -> DataFrame:
         """doc_id, start (ids of all documents before it), n_tokens and tokens, or those of them that are named."""
-        index = spark.read.schema("file_no int, base long").parquet(f"{self.folder}/index")
-        rows = spark.read.schema("doc_id long, file_no int, start_in_file long, n_tokens long, tokens array<int>").parquet(f"{self.folder}/files")
-        rows = rows.join(F.broadcast(index), "file_no").withColumn("start", F.col("base") + F.col("start_in_file"))  # a row of index per file
+        index = spark.read.schema("file_no int, attempt string, base long").parquet(f"{self.folder}/index")
+        rows = spark.read.schema("doc_id long, file_no int, attempt string, start_in_file long, n_tokens long, tokens array<int>").parquet(f"{self.folder}/files")
+        rows = rows.join(F.broadcast(index), ["file_no", "attempt"]).withColumn("start", F.col("base") + F.col("start_in_file"))  # a row of index per file
         return rows.select(*(columns or ("doc_id", "start", "n_tokens", "tokens")))
 
 
@@ -81,11 +86,11 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     folder = folder or work_dir(spark, "tokens")
     fs, path = locate(f"{folder}/files")
     fs.create_dir(path, recursive=True)
-    choice = {"use_dictionary": ["tokens.list.element"]} if encoding == "dictionary" else {"use_dictionary": False}
+    choice = {"use_dictionary": ["attempt", *(["tokens.list.element"] if encoding == "dictionary" else [])]}
     delta = {c: "DELTA_BINARY_PACKED" for c in ("doc_id", "file_no", "start_in_file", "n_tokens", *(["tokens.list.element"] if encoding == "delta" else []))}
 
     def run(batches):
-        file_no, docs_here, ids_here, held, held_ids, out, uri = TaskContext.get().partitionId(), 0, 0, [], 0, None, ""
+        file_no, docs_here, ids_here, held, held_ids, out, attempt = TaskContext.get().partitionId(), 0, 0, [], 0, None, ""
         tool = encoder(tokenizer)
 
         def flush():
@@ -98,13 +103,14 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         sink = None
         for t in part_tables(batches, BATCH_BYTES):
             if out is None:
-                uri = new_name(f"{folder}/files", "ids") + ".parquet"
+                attempt = uuid.uuid4().hex
+                uri = f"{folder}/files/ids-{attempt}.parquet"
                 where, p = locate(uri)
                 sink = where.open_output_stream(p)
                 out = pq.ParquetWriter(sink, SCHEMA, compression="zstd", compression_level=1, column_encoding=delta, write_page_index=True, data_page_size=PAGE_BYTES, dictionary_pagesize_limit=4 << 20, **choice)
             flat, counts = with_end(*tool.encode(t["text"].to_pylist()), end_id)
             starts = ids_here + np.cumsum(counts) - counts
-            table = pa.table([t["doc_id"].combine_chunks(), pa.array(np.full(len(counts), file_no), pa.int32()), pa.array(starts), pa.array(counts), list_column(flat, counts)], schema=SCHEMA)
+            table = pa.table([t["doc_id"].combine_chunks(), pa.array(np.full(len(counts), file_no), pa.int32()), pa.array([attempt] * len(counts), pa.string()), pa.array(starts), pa.array(counts), list_column(flat, counts)], schema=SCHEMA)
             at = 0
             while at < len(counts):  # a row group is closed at the document that fills it
                 room = np.searchsorted(np.cumsum(counts[at:]), group_ids - held_ids) + 1
@@ -119,18 +125,15 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             out.close()
             sink.close()
             give_back()
-            yield pa.RecordBatch.from_pydict({"file_no": pa.array([file_no], pa.int32()), "path": [uri], "docs": [docs_here], "ids": [ids_here]})
+            yield pa.RecordBatch.from_pydict({"file_no": pa.array([file_no], pa.int32()), "attempt": [attempt], "docs": [docs_here], "ids": [ids_here]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # equal doc_ids may go apart, by their texts' hash, so that no id's rows need one task
-    ranged = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
+    ranged = texts.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first())
     with batch_rows(spark, BATCH_ROWS):
-        made = sorted(ranged.mapInArrow(run, "file_no int, path string, docs long, ids long").collect(), key=lambda r: r.file_no)  # a row per file
+        made = sorted(ranged.mapInArrow(run, "file_no int, attempt string, docs long, ids long").collect(), key=lambda r: r.file_no)  # a row per file
     base = np.cumsum([0, *(r.ids for r in made)]).tolist()
-    keep = {r.path for r in made}
-    fs, path = locate(f"{folder}/files")
-    for info in fs.get_file_info(pafs.FileSelector(path)):
-        if not any(k.endswith(info.base_name) for k in keep):  # of an attempt that did not end
-            fs.delete_file(info.path)
-    spark.createDataFrame([(r.file_no, b) for r, b in zip(made, base)], "file_no int, base long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
+    spark.createDataFrame([(r.file_no, r.attempt, b) for r, b in zip(made, base)], "file_no int, attempt string, base long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
     return TokenStore(folder)
