@@ -265,7 +265,7 @@ def test_packing_replays_the_rule(spark):
 
 
 def test_rp_forest(spark, monkeypatch):
-    for name, value in (("LEAF", 20), ("TOP", 60), ("BLOCK", 50)):
+    for name, value in (("LEAF", 30), ("BLOCK", 50), ("ROWS", 16)):
         monkeypatch.setattr(rp_forest, name, value)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((150, 16))

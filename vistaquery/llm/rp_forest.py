@@ -2,18 +2,21 @@
 
 Equal vectors count as one, with their number.  Every tree splits by the median of a random
 projection, again and again; vectors within a margin of a split go to both sides, so a close
-pair is parted only where its projections differ by more than two margins.  The upper splits
-are fitted on a bounded sample (SAMPLE vectors at most) and every vector is routed through
-them; a task then gets a leaf of the upper tree, splits it on by medians of its own vectors
-down to LEAF and compares all vectors of each small leaf.  A leaf that is too large for a task
-is dealt to blocks, and each two blocks meet in a task of their own, so none is left out.
-Pairs found in several trees are kept once; only pairs with cosine >= threshold, by dot
-products and norms in double precision, are links.  Components follow from the links.
+pair is parted only where its projections differ by more than two margins.  The splits are
+fitted on a bounded sample (SAMPLE vectors at most), every vector is routed through them, and
+one tree after the other a task compares all vectors of each leaf.  A leaf that is too large
+for a task is dealt to blocks, and each two blocks meet in a task of their own, so none is left
+out.  A product in single precision finds the pairs that are surely above the threshold and
+those near it, which dot products and norms in double precision decide.
+
+No pairs leave a task.  A vector carries the leaves of earlier trees, so that each pair is
+counted in the first leaf in which it meets and links add up; and a leaf returns for each
+vector the smallest one that it reaches there, from which the components follow.
 
 Null vectors, zero ones and those that hold null or non-finite components link with nothing.
 Vectors of different lengths never link.  Null vec_id: never the smallest of others; alone,
-its component is null.  Repeated vec_ids: each row is a vector.  Empty table: no rows.
-Further columns are ignored.
+its component is null.  Repeated vec_ids: each row is a vector.  Ties: a cosine that equals the
+threshold links.  Empty table: no rows.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .work import work_dir
+from .work import free_now, remove, work_dir
 
-TREES, LEAF, TOP, BLOCK, SAMPLE = 8, 256, 8192, 16384, 20000
+TREES, LEAF, BLOCK, SAMPLE, ROWS = 4, 8192, 16384, 20000, 1024
 #: The margin in standard deviations of the projected difference of two vectors at the threshold.
 SPILL = 0.5
-#: Levels whose thresholds differ by node; deeper ones have one each.
+#: Levels whose thresholds differ by node; deeper ones differ by the node's ancestor at this level.
 NODE_LEVELS = 9
+#: What products of unit vectors in single precision may be off by.
+ROUNDING = 1e-5
 
 
 def direction(tree: int, level: int, dim: int) -> np.ndarray:
@@ -51,59 +58,73 @@ def _divide(p: np.ndarray, node: np.ndarray, at: np.ndarray, m: float) -> tuple[
     return p < at[node] + m, p >= at[node] - m
 
 
-class UpperTree:
+class Tree:
     def __init__(self, tree: int, sample: np.ndarray, depth: int, threshold: float) -> None:
         self.tree, self.dim, self.depth = tree, sample.shape[1], depth
         self.margin, self.at = margin(self.dim, threshold), []
         node = np.zeros(len(sample), dtype=np.int64)
         for level in range(depth):
             p = sample @ direction(tree, level, self.dim)
-            overall = float(np.median(p)) if len(p) else 0.0
-            at = np.full(1 << level if level < NODE_LEVELS else 1, overall)
-            if level < NODE_LEVELS:
-                for k in np.unique(node):
-                    if (own := p[node == k]).size >= 32:
-                        at[k] = np.median(own)
+            own = node >> max(0, level - NODE_LEVELS)
+            at = np.full(1 << min(level, NODE_LEVELS), float(np.median(p)) if len(p) else 0.0)
+            order = np.argsort(own, kind="stable")
+            cut = np.searchsorted(own[order], np.arange(len(at) + 1))
+            for k in np.flatnonzero(np.diff(cut) >= 16):
+                at[k] = np.median(p[order[cut[k] : cut[k + 1]]])
             self.at.append(at)
-            node = 2 * node + (p >= at[node if level < NODE_LEVELS else 0])
+            node = 2 * node + (p >= at[own])
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf that a row belongs to."""
+        """(row, leaf) of every leaf that a row belongs to, in order of row and leaf."""
         row, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
         for level in range(self.depth):
             p = (x @ direction(self.tree, level, self.dim))[row]
-            left, right = _divide(p, node if level < NODE_LEVELS else np.zeros_like(node), self.at[level], self.margin)
+            left, right = _divide(p, node >> max(0, level - NODE_LEVELS), self.at[level], self.margin)
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-        return row, node
-
-
-def close_pairs(x: np.ndarray, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of unit rows x: pairs i < j with cosine >= threshold, found in the leaves of one tree."""
-    m, out = margin(x.shape[1], threshold), []
-    todo = [(np.arange(len(x)), 0)]
-    rng = np.random.Generator(np.random.PCG64(seed))
-    while todo:
-        rows, failed = todo.pop()
-        if len(rows) > LEAF and failed < 4:
-            d = rng.standard_normal(x.shape[1])
-            p = x[rows] @ (d / np.linalg.norm(d))
-            left, right = _divide(p, np.zeros(len(p), dtype=np.int64), np.array([np.median(p)]), m)
-            if max(left.sum(), right.sum()) > 0.8 * len(rows):  # too close together for this direction
-                todo.append((rows, failed + 1))
-            else:
-                todo += [(rows[left], 0), (rows[right], 0)]
-            continue
-        for i in range(0, len(rows), 1024):
-            near = x[rows[i : i + 1024]] @ x[rows[i:]].T >= threshold - 1e-9
-            a, b = np.nonzero(np.triu(near, 1))
-            out.append(np.stack([rows[i + a], rows[i + b]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-    pairs = np.unique(np.minimum(pairs[:, 0], pairs[:, 1]) * len(x) + np.maximum(pairs[:, 0], pairs[:, 1]))
-    return pairs // max(len(x), 1), pairs % max(len(x), 1)
-
-
-def _vectors(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.float64).reshape(len(blobs), -1)
+        order = np.lexsort((node, row))
+        return row[order], node[order]
+
+
+def near_in_leaf(x: np.ndarray, threshold: float, homes: list[bytes], weights: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of all vectors of a leaf (block: only pairs of two blocks): the first row that each reaches, and its links to others that did not meet before."""
+    n = len(x)
+    unit = _unit(x.astype(np.float64))
+    single = unit.astype(np.float32)
+    near, links = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
+    before = [np.frombuffer(h, dtype=np.int64) for h in homes]
+    _, at = np.unique(np.concatenate(before), return_inverse=True)
+    of = np.repeat(np.arange(n), [len(h) for h in before])
+    for i in range(0, n, ROWS):
+        j = min(i + ROWS, n)
+        product = single[i:j] @ single.T
+        close = product >= threshold - ROUNDING
+        a, b = np.nonzero(close & (product < threshold + ROUNDING))
+        for k in range(0, len(a), 1 << 16):
+            s = slice(k, k + (1 << 16))
+            close[a[s], b[s]] = _cosine(x[i + a[s]].astype(np.float64), x[b[s]].astype(np.float64)) >= threshold
+        close[np.arange(j - i), np.arange(i, j)] = False
+        if block is not None:
+            close &= block[i:j, None] != block[None, :]
+        near[i:j] = close
+    some = np.flatnonzero(near.any(1))
+    if len(some):
+        inside = np.full(n, -1)
+        inside[some] = np.arange(len(some))
+        met = np.zeros((len(some), int(at.max()) + 1 if len(at) else 1), dtype=np.float32)
+        keep = inside[of] >= 0
+        met[inside[of[keep]], at[keep]] = 1
+        met = met[:, met.sum(0) > 1]
+        for i in range(0, len(some), ROWS):
+            new = near[np.ix_(some[i : i + ROWS], some)] & (met[i : i + ROWS] @ met.T == 0)
+            links[some[i : i + ROWS]] = new @ weights[some]
+    root = np.arange(n)
+    while len(some):
+        low = np.minimum(root[some], np.concatenate([np.where(near[np.ix_(some[i : i + ROWS], some)], root[some], n).min(1) for i in range(0, len(some), ROWS)]))
+        low = np.minimum(low, root[low])
+        if (low == root[some]).all():
+            break
+        root[some] = low
+    return root, links
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -111,27 +132,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig, dim, blob = [], [], []
-        for v in b.column(1).to_pylist():
-            ok = bool(v) and all(c is not None and math.isfinite(c) for c in v) and any(v)
-            raw = (np.array(v, dtype=np.float64) + 0.0).tobytes() if ok else None
-            sig.append(int.from_bytes(hashlib.md5(raw).digest()[:8], "little", signed=True) if ok else None)
-            dim.append(len(v) if ok else None)
-            blob.append(raw)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), pa.array(dim, pa.int32()), pa.array(blob, pa.binary())], names=["vec_id", "sig", "dim", "vector"])
+def _read(kind: str, with_id: bool):
+    """sig (128 bits of the components; null if the vector links with nothing), and vec_id, or length and components."""
+    wide = np.dtype(kind).itemsize
+
+    def run(batches):
+        for b in batches:
+            column = b.column(1)
+            length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten()
+            values = flat.to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)  # null: not a number; -0.0: 0.0
+            end = np.cumsum(length)
+            total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.concatenate([[0], end])])
+            ok = (length > 0) & (total(~np.isfinite(values)) == 0) & (total(values != 0) > 0)
+            raw = memoryview(values.tobytes())
+            blob = [bytes(raw[wide * (e - n) : wide * e]) if o else None for e, n, o in zip(end.tolist(), length.tolist(), ok.tolist())]
+            sig = pa.array([None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in blob], pa.binary())
+            if with_id:
+                yield pa.RecordBatch.from_arrays([b.column(0), sig], names=["vec_id", "sig"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), sig, pa.array(length, pa.int32()), pa.array(blob, pa.binary())], names=["vec_id", "sig", "dim", "vector"])
+
+    return run
+
+
+ROUTED = "dim int, leaf long, id long, copies long, homes binary, vector binary"
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TREES) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     folder = work_dir(spark, "forest")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows.mapInArrow(_read, "vec_id long, sig long, dim int, vector binary").write.parquet(f"{folder}/vectors")
-    rows = spark.read.schema("vec_id long, sig long, dim int, vector binary").parquet(f"{folder}/vectors")
-    rows.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector")).write.parquet(f"{folder}/distinct")
-    distinct = spark.read.parquet(f"{folder}/distinct")
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = "f4" if single else "f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    read = rows.mapInArrow(_read(kind, False), "vec_id long, sig binary, dim int, vector binary").where("sig is not null")
+    distinct = keep(read.groupBy("sig").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    free_now(spark)
 
     sizes = {r.dim: r.n for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per length of vectors
     total = sum(sizes.values())
@@ -139,52 +181,85 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     forest = {}
     for dim, n in sizes.items():
         own = [r.vector for r in sample if r.dim == dim]
-        x = _unit(_vectors(own)) if own else np.zeros((0, dim))
-        depth = max(0, math.ceil(math.log2(n / TOP)))
-        forest[dim] = [UpperTree(t, x, depth, threshold) for t in range(trees)]
-    shared = spark.sparkContext.broadcast(forest)  # fitted on SAMPLE vectors: 2**NODE_LEVELS thresholds a tree
+        x = _unit(_vectors(own, kind).astype(np.float64)) if own else np.zeros((0, dim))
+        forest[dim] = [Tree(t, x, max(0, math.ceil(math.log2(n / LEAF))), threshold) for t in range(trees if n > LEAF else 1)]
+    shared = spark.sparkContext.broadcast(forest)  # fitted on SAMPLE vectors: 2**NODE_LEVELS thresholds a level at most
 
-    def route(batches):
+    def routes(last: int, dim: int, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [t.route(x) for t in shared.value[dim][: last + 1]]
+
+    def batches_of(batches, columns: int):
         for b in batches:
-            sig, dims, blobs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            for dim in np.unique(dims):
+            dims = b.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
-                x = _unit(_vectors(blobs.take(pa.array(own)).to_pylist()))
-                for tree in shared.value[int(dim)]:
-                    row, leaf = tree.route(x)
-                    for i in range(0, len(row), 8192):
-                        r = own[row[i : i + 8192]]
-                        k = len(r)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, dim), pa.int32()), pa.array(np.full(k, tree.tree), pa.int32()), pa.array(leaf[i : i + 8192]), pa.array(sig[r]), blobs.take(pa.array(r))], names=["dim", "tree", "leaf", "sig", "vector"])
-
-    routed = distinct.select("sig", "dim", "vector").mapInArrow(route, "dim int, tree int, leaf long, sig long, vector binary")
-    leaves = distinct.select("sig", "dim", "vector").mapInArrow(route, "dim int, tree int, leaf long, sig long, vector binary").groupBy("dim", "tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("dim", "tree", "leaf", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    dealt = routed.join(leaves, ["dim", "tree", "leaf"], "left").withColumn("own", own)
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    dealt = dealt.select("dim", "tree", "leaf", "sig", "vector", F.explode(meets).alias("m")).select("dim", "tree", "leaf", "m.i", "m.j", "sig", "vector")
+                yield dim, [b.column(k).take(pa.array(own)) for k in range(columns)]
+
+    def sized(tree: int):
+        def run(batches):
+            for dim, (_, blob) in batches_of(batches, 2):
+                if tree < len(shared.value[dim]):
+                    leaf, n = np.unique(shared.value[dim][tree].route(_unit(_vectors(blob.to_pylist(), kind).astype(np.float64)))[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), dim), pa.int32()), pa.array(leaf), pa.array(n)], names=["dim", "leaf", "n"])
+
+        return run
+
+    def route(tree: int):
+        def run(batches):
+            for dim, (_, blob, ids, copies) in batches_of(batches, 4):
+                if tree >= len(shared.value[dim]):
+                    continue
+                found = routes(tree, dim, _unit(_vectors(blob.to_pylist(), kind).astype(np.float64)))
+                row, leaf = found[-1]
+                earlier = [np.concatenate([x[k] for x in found[:-1]] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+                home = np.concatenate([leaf * trees + t for t, (_, leaf) in enumerate(found[:-1])] or [np.zeros(0, np.int64)])
+                order = np.argsort(earlier[0], kind="stable")
+                home, cut = home[order], np.searchsorted(earlier[0][order], np.arange(len(blob) + 1))
+                begin = np.searchsorted(row, row)  # this tree's leaves of the row, of which those before this one count too
+                for i in range(0, len(row), 8192):
+                    k = np.arange(i, min(i + 8192, len(row)))
+                    r = pa.array(row[k])
+                    homes = [np.concatenate([home[cut[q] : cut[q + 1]], leaf[b0:e] * trees + tree]).tobytes() for q, b0, e in zip(row[k].tolist(), begin[k].tolist(), k.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim), pa.int32()), pa.array(leaf[k]), ids.take(r), copies.take(r), pa.array(homes, pa.binary()), blob.take(r)], names=["dim", "leaf", "id", "copies", "homes", "vector"])
+
+        return run
 
     def compare(t: pa.Table) -> pa.Table:
-        sig, raw = t["sig"].to_numpy(), _vectors(t["vector"].to_pylist())
-        a, b = close_pairs(_unit(raw), threshold, t["tree"][0].as_py())
-        near = np.zeros(len(a), dtype=bool)
-        for i in range(0, len(a), 1 << 16):
-            x, y = raw[a[i : i + (1 << 16)]], raw[b[i : i + (1 << 16)]]
-            near[i : i + (1 << 16)] = _cosine(x, y) >= threshold
-        a, b = sig[a[near]], sig[b[near]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    dealt.groupBy("dim", "tree", "leaf", "i", "j").applyInArrow(compare, "a long, b long").distinct().write.parquet(f"{folder}/links")
-    links = spark.read.schema("a long, b long").parquet(f"{folder}/links")
-    sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = sides.join(distinct.select(F.col("sig").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("partners")).withColumnRenamed("a", "sig")
-    label = distinct.select("sig", "first", "copies").join(components(links).withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        ids = t["id"].to_numpy()
+        root, links = near_in_leaf(_vectors(t["vector"].to_pylist(), kind), threshold, t["homes"].to_pylist(), t["copies"].to_numpy(), t["own"].to_numpy() if i != j else None)
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
+        return pa.table({"id": ids[some], "root": ids[root[some]], "links": links[some]})
+
+    found = None
+    for tree in range(max([len(x) for x in forest.values()], default=0)):
+        large = distinct.select("dim", "vector").mapInArrow(sized(tree), "dim int, leaf long, n long").groupBy("dim", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("dim", "leaf", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
+        large = keep(large, f"large{tree}")
+        routed = distinct.select("dim", "vector", "id", "copies").mapInArrow(route(tree), ROUTED)
+        blocks = F.coalesce("blocks", F.lit(1))
+        dealt = routed.join(F.broadcast(large), ["dim", "leaf"], "left") if large.count() < 10_000 else routed.join(large, ["dim", "leaf"], "left")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+        dealt = dealt.withColumn("m", F.explode(meets)).select("dim", "leaf", "m.i", "m.j", "own", "id", "copies", "homes", "vector")
+        links = keep(dealt.groupBy("dim", "leaf", "i", "j").applyInArrow(compare, "id long, root long, links long"), f"links{tree}")
+        found = links if found is None else found.unionByName(links)
+        free_now(spark)
+    bare = rows.mapInArrow(_read(kind, True), "vec_id long, sig binary")
+    if found is None:
+        return bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    label = distinct.select("id", "sig", "first", "copies").join(components(found.select("id", "root").where("id <> root")).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    partners = found.groupBy("id").agg(F.sum("links").alias("partners"))
+    label = keep(label.join(partners, "id", "left").select("sig", "first", "c", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")), "label")
     smallest = label.groupBy("c").agg(F.min("first").alias("component_id"))
-    known = label.join(smallest, "c").join(partners, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.where("sig is not null").select("vec_id", "sig").join(known, "sig").select("vec_id", "n_links", "component_id")
-    bare = rows.where("sig is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(bare).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    known = label.join(smallest, "c").select("sig", "n_links", "component_id", F.lit(True).alias("linked"))
+    for name in ("distinct", *(f"links{t}" for t in range(trees))):
+        remove(f"{folder}/{name}")
+    out = bare.join(known, "sig", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _vectors(blobs: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=kind).reshape(len(blobs), -1)
 
 
 def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:

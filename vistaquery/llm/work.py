@@ -238,8 +238,12 @@ def put_parquet(uri: str, table: pa.Table, **options) -> None:
 def free_shuffles(staged: Staged) -> None:
     """Spark drops the shuffle files of jobs that are over when their plans are garbage: asks for that now, where it is worth a pause."""
     if staged.bytes > FREE_BYTES:
-        gc.collect()
-        staged.spark.sparkContext._jvm.System.gc()
+        free_now(staged.spark)
+
+
+def free_now(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bucket_count(size: int, each: int) -> int:
