@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import give_back, locate, new_name, stage, work_dir
+from .work import give_back, locate, new_name, remove, stage, work_dir
 
 MIN_BYTES, SEGMENT, CHUNK = 100, 32 << 10, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -135,6 +135,8 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT, folder: str | None
 
     role = revisits.unionByName(responses).unionByName(every)
     role.repartition(max(2 * staged.n, 1), "part").groupBy("part").applyInArrow(write, "path string").write.parquet(f"{folder}/files")
+    staged.remove()
+    remove(f"{folder}/keys")
     return spark.read.schema("path string").parquet(f"{folder}/files")
 
 
@@ -208,7 +210,7 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str | None = No
                 give_back()
 
     n = max(files.count(), 1)
-    files.select("path").repartition(n, "path").mapInArrow(read, READ).write.parquet(f"{folder}/read")
+    files.select("path").repartition(n, "path").mapInArrow(read, READ).write.option("compression", "zstd").parquet(f"{folder}/read")
     found = spark.read.schema(READ).parquet(f"{folder}/read")
 
     def joined(t: pa.Table) -> pa.Table:
