@@ -4,9 +4,10 @@ Each rule rejects a document by counts of its text.  On a sample (SAMPLE rows at
 from the whole table) every rule is timed and its rejections counted; then rules are ordered
 greedily by rejections per second among the documents that those before leave over.  Over the
 whole table a document's rules run in that order up to the first that rejects it.  The order
-changes cost alone: a document is kept if and only if no rule rejects it.
+changes cost alone: a document is kept if and only if no rule rejects it.  As times vary, so may
+the order of rules that are nearly equal, and with it rejected_by where several rules reject.
 
-Words are [^\\x20\\x09-\\x0D]+.  Null text: no words.  Nulls elsewhere, repeated rows and ties
+Words are [^\\x20\\x09-\\x0D]+.  Null text: no words.  Texts of any length are whole.  Nulls elsewhere, repeated rows and ties
 matter to no rule.  Empty table: no rows, and the order as listed.  Further columns stay;
 columns that the operator adds replace columns of their names.
 """
@@ -103,24 +104,39 @@ RULES = [
 ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE, rows: int | None = None) -> list[Rule]:
-    """By rejections per second on a sample, each among what the rules before it leave."""
+def order_rules(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE, rows: int | None = None, counted: tuple[str, ...] = ()) -> list[Rule]:
+    """By rejections per second on a sample, each among what the rules before it leave.
+
+    counted: measures that every document has anyway, which are no cost of any rule.  The sampled
+    texts are judged where they are; the driver gets a verdict and a time for each rule and row."""
     rows = docs.count() if rows is None else rows
-    texts = [r.text for r in docs.select("text").sample(min(1.0, sample / max(rows, 1)), seed=8).limit(sample).collect()]
-    cost, hits = {}, {}
-    for rule in rules:
-        fresh = [Measures(t) for t in texts]
-        began = time.thread_time()
-        hits[rule.name] = {i for i, m in enumerate(fresh) if rule.rejects(m)}
-        cost[rule.name] = time.thread_time() - began + 1e-9
-    out, left = [], set(range(len(texts)))
-    rest = list(rules)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            hits, cost = [], []
+            for rule in rules:
+                fresh = [Measures(t) for t in texts]
+                for m in fresh:
+                    for name in counted:
+                        getattr(m, name)
+                began = time.thread_time()
+                hits.append([rule.rejects(m) for m in fresh])
+                cost.append((time.thread_time() - began) / max(len(texts), 1))
+            by_text = [list(x) for x in zip(*hits)] if rules else [[] for _ in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(by_text, pa.list_(pa.bool_())), pa.array([cost] * len(texts), pa.list_(pa.float64()))], names=["hits", "cost"])
+
+    taken = docs.select("text").sample(min(1.0, sample / max(rows, 1)), seed=8).limit(sample)
+    judged = taken.mapInArrow(run, "hits array<boolean>, cost array<double>").collect()
+    hits = [{i for i, r in enumerate(judged) if r.hits[k]} for k in range(len(rules))]
+    cost = [sum(r.cost[k] for r in judged) + 1e-9 for k in range(len(rules))]
+    out, left, rest = [], set(range(len(judged))), list(range(len(rules)))
     while rest:
-        best = max(rest, key=lambda r: len(hits[r.name] & left) / cost[r.name])
-        out.append(best)
+        best = max(rest, key=lambda k: len(hits[k] & left) / cost[k])
+        out.append(rules[best])
         rest.remove(best)
-        left -= hits[best.name]
-    return out if texts else list(rules)
+        left -= hits[best]
+    return out if judged else list(rules)
 
 
 ADDED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -130,28 +146,28 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, measures: bool = Fal
     """docs with kept and rejected_by (the first rule in the cascade's order that rejects; null: none).
 
     measures: and with the counts of ADDED and base_failed (whether a rule of base rejects), which
-    then are computed for every document; other rules still stop at the first that rejects."""
+    then are computed for every document; all rules are still ordered, by what they cost beyond
+    those counts, and stop at the first that rejects."""
     rules = RULES if rules is None else rules
-    ordered = order_rules(docs, rules)
-    if measures:
-        ordered = [r for r in rules if r in base] + [r for r in ordered if r not in base]
     names = [x.split()[0] for x in ADDED.split(", ")] if measures else []
+    ordered = order_rules(docs, rules, counted=tuple(names))
     new = [*names, *(["base_failed"] if measures else []), "kept", "rejected_by"]
     own = [f for f in docs.schema.fields if f.name not in new]
     fields = [*own, *(T.StructField(n, T.LongType()) for n in names), *([T.StructField("base_failed", T.BooleanType())] if measures else []), T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType())]
-    base_names = {r.name for r in base}
 
     def run(batches):
         for b in batches:
-            counts, by = [[] for _ in names], []
+            counts, by, failed = [[] for _ in names], [], []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
                 m = Measures(text)
+                if measures:
+                    failed.append(any(r.rejects(m) for r in base))
                 by.append(next((r.name for r in ordered if r.rejects(m)), None))
                 for x, n in zip(counts, names):
                     x.append(getattr(m, n))
             extra = [pa.array(x, pa.int64()) for x in counts]
             if measures:
-                extra.append(pa.array([x in base_names for x in by]))
+                extra.append(pa.array(failed, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), *extra, pa.array([x is None for x in by]), pa.array(by, pa.string())], names=[f.name for f in fields])
 
     return docs.mapInArrow(run, T.StructType(fields))
