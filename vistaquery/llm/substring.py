@@ -63,10 +63,17 @@ def keys_of(column: pa.Array, skip: np.ndarray, size: int) -> Iterator[tuple[np.
         doc = np.repeat(np.arange(j - i), count)
         at = w.offsets[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         keys = _KEY.windows(_KEY.words(w.data, w.start, w.end), size)[at] >> np.uint64(64 - _KEY_BITS) if len(at) else np.zeros(0, np.uint64)
-        yield keys, doc + i, at + before
+        yield keys, (doc + i).astype(np.int32), (at + before).astype(np.int32)
         before += int(w.offsets[-1])
 
 
+def _drained(pieces: list, kind: type) -> np.ndarray:
+    """The pieces as one array; the list is empty afterwards."""
+    out = np.concatenate(pieces or [np.zeros(0)]).astype(kind, copy=False)
+    pieces.clear()
+    return out
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(_KEY_BITS - 24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
@@ -164,14 +171,14 @@ class FingerprintIndex:
             t = staged.read(part, [order, "text"])
             text = t["text"].combine_chunks()
             texts = text.to_pylist()
-            found = list(keys_of(text, copies(texts), size))
-            keys, doc, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
-            del found
-            keys = keys.astype(np.uint64)
-            bucket = bucket_of(keys, n)
-            turn = np.argsort(bucket, kind="stable")
+            columns = [list(x) for x in zip(*keys_of(text, copies(texts), size))] or [[], [], []]
+            keys, doc, at = (_drained(x, kind) for x, kind in zip(columns, (np.uint64, np.int32, np.int32)))
+            bucket = bucket_of(keys, n).astype(np.int32)
+            turn = np.argsort(bucket, kind="stable").astype(np.int32)
+            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
+            del bucket
             keys, doc, at = keys[turn], doc[turn], at[turn]
-            cut = np.searchsorted(bucket[turn], np.arange(n + 1))
+            del turn
             ids = t[order].combine_chunks().fill_null(_NULL_ID).to_numpy()
             tie = np.array([int.from_bytes(hashlib.blake2b((x or "").encode(), digest_size=8).digest(), "little") for x in texts], dtype=np.uint64)
             full = np.flatnonzero(np.diff(cut))
@@ -260,11 +267,12 @@ class FingerprintIndex:
             give_back()
             part, names = t["part"][0].as_py(), t["there"].to_pylist()
             n = pc.list_value_length(t["b"]).to_numpy()
-            b, a = (t[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("b", "a"))
-            there = np.repeat(np.unique(np.array(names, dtype=object), return_inverse=True)[1], n)
-            row = np.repeat(np.arange(len(names)), n)
-            turn = np.argsort(b, kind="stable")
+            b, a = (t[c].combine_chunks().flatten().to_numpy() for c in ("b", "a"))
+            there = np.repeat(np.unique(np.array(names, dtype=object), return_inverse=True)[1].astype(np.int32), n)
+            row = np.repeat(np.arange(len(names), dtype=np.int32), n)
+            turn = np.argsort(b, kind="stable").astype(np.int32)
             b, a, there, row = b[turn], a[turn], there[turn], row[turn]
+            del turn
             begin = np.flatnonzero(np.concatenate([[True], (np.diff(b) != 1) | (np.diff(a) != 1) | (np.diff(there) != 0)]))
             length = np.diff(np.append(begin, len(b)))
             w, found = split_words(staged.read(part, ["text"])["text"].combine_chunks()), {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw bytes of Arrow data that one staged part holds before the next one is begun.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 #: Rows of long texts that Spark and a Python worker exchange at a time.
 BATCH_ROWS = 1000
 #: Staged bytes beyond which shuffle files are freed between the passes of an operator.
