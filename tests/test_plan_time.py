@@ -189,3 +189,11 @@ def test_embed(spark):
     docs = spark.createDataFrame([("content_narrative", "abc"), ("other_data", "de"), ("else", "f")], "collection string, document string")
     models = {"sentence": lambda xs: [[len(x), 1] for x in xs], "word": lambda xs: [[len(x), 2] for x in xs]}
     assert {r.document: r.embedding for r in embed(docs, models).collect()} == {"abc": [3.0, 1.0], "de": [2.0, 2.0], "f": None}
+
+
+def test_renaming_a_hash_that_no_entry_has_is_an_error(spark, sf):
+    from vistaquery.operators import catalog
+    from vistaquery.sources.views import entries
+
+    with pytest.raises(LookupError):
+        catalog.rename_by_hash(entries(spark, sf), "none", "x.jpg")

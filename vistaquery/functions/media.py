@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import blank_to_null
 
@@ -103,3 +104,18 @@ def display_ext(ext: Column, path: Column) -> Column:
 def search_key(query, filters: dict | None, ids: list | None) -> str:
     """Of a search, whatever the order of its filters' names."""
     return hashlib.sha256(json.dumps({"filters": filters, "ids": ids, "query": query}, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def whitelisted(tags: Column, kind: T.MapType) -> Column:
+    """The tags whose names are EXIF_KEYS, at any depth of nested maps; nested maps that keep nothing go."""
+    if isinstance(kind.valueType, T.MapType):
+        return F.map_filter(F.transform_values(tags, lambda _, v: whitelisted(v, kind.valueType)), lambda _, v: F.size(v) > 0)
+    return F.map_filter(tags, lambda k, _: k.isin(EXIF_KEYS))
+
+
+def merge_embedded(exif: Column, png: Column, xmp: Column) -> Column:
+    """Embedded tags as one map: PNG text before EXIF, XMP where neither has the tag.  Blank PNG and XMP texts don't count."""
+    texts = lambda m: F.map_filter(F.transform_values(m, lambda _, v: F.trim(v)), lambda _, v: F.length(v) > 0)
+    either = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))
+    merged = either(either(texts(png), F.map_filter(exif, lambda _, v: v.isNotNull())), texts(xmp))
+    return F.map_filter(merged, lambda _, v: v.isNotNull())

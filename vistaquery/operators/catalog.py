@@ -138,9 +138,12 @@ def delete_by_hash(entries: DataFrame, hashes: DataFrame) -> tuple[DataFrame, Da
 
 
 def rename_by_hash(entries: DataFrame, file_hash: str, name: str) -> DataFrame:
+    """entries with the base name of name for that content; a hash that no entry has is an error."""
     name = name.replace("\\", "/").split("/")[-1].strip()
     if not name:
         raise ValueError("a name is needed")
+    if entries.where(F.col("metadata.file_hash") == file_hash).isEmpty():
+        raise LookupError(f"no entry has the hash {file_hash}")
     renamed = F.col("metadata").withField("file_name", F.lit(name))
     return entries.withColumn("metadata", F.when(F.col("metadata.file_hash") == file_hash, renamed).otherwise(F.col("metadata")))
 

@@ -7,12 +7,14 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import entry_date
 from ..functions.media import GALLERY_IMAGES, GALLERY_VIDEOS
 
-#: The keys that may hold an entry's date, by precedence; results that a filter may widen to.
+#: The keys that may hold an entry's date, by precedence, and of a nested record; results that a filter may widen to.
 DATE_KEYS = ("master_date", "estimated_date", "creation_date", "true_creation_date", "modification_date", "true_modification_date", "index_date")
+NESTED_KEYS = ("master_date", "date", "value", "iso", "datetime")
 WIDEN, MAX_CANDIDATES = 5, 100
 
 
@@ -62,15 +64,29 @@ class ActiveFilters:
         return F.coalesce(ok, F.lit(False))
 
 
-def dates_of(metadata: str = "metadata") -> Column:
-    return entry_date([F.col(f"{metadata}.dates.{k}") for k in ("master_date", "creation_date", "true_creation_date", "modification_date", "true_modification_date", "index_date")])
+def dates_of(entries: DataFrame, metadata: str = "metadata") -> Column:
+    """An entry's day: the first of DATE_KEYS that can be read in metadata.dates, then in the metadata itself, as old records have it.
+
+    A key may be absent from the schema, and may hold a nested record with the date in one of NESTED_KEYS."""
+
+    def readings(kind: T.StructType, path: str, keys: tuple[str, ...]) -> list[Column]:
+        found = []
+        for key in (k for k in keys if k in kind.names):
+            value = kind[key].dataType
+            found += readings(value, f"{path}.{key}", NESTED_KEYS) if isinstance(value, T.StructType) else [F.col(f"{path}.{key}").cast("string")]
+        return found
+
+    kind = entries.schema[metadata].dataType
+    dates = kind["dates"].dataType if "dates" in kind.names else None
+    nested = readings(dates, f"{metadata}.dates", DATE_KEYS) if isinstance(dates, T.StructType) else []
+    return entry_date([*nested, *readings(kind, metadata, DATE_KEYS), F.lit(None).cast("string")])
 
 
 def filtered(results: DataFrame, entries: DataFrame, f: ActiveFilters, n: int) -> DataFrame:
     """results (query_id, entry_id, score, rank) whose entry passes, the first n by rank, with the new position.
 
     The filter works on the candidates that the search returned, so what lies beyond them is not seen."""
-    e = entries.select("entry_id", F.col("metadata.ext").alias("ext"), dates_of().alias("day"))
+    e = entries.select("entry_id", F.col("metadata.ext").alias("ext"), dates_of(entries).alias("day"))
     ok = results.join(e, "entry_id").where(f.media(F.col("ext")) & f.extension(F.col("ext")) & f.score(F.col("score")) & f.dates(F.col("day")))
     ranked = ok.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return ranked.where(F.col("position") <= n).select("query_id", "entry_id", "score", "rank", "position")

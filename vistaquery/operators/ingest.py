@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.media import BATCH_SIZES, MAX_INLINE_BYTES, entry_id, model_hash
+from ..functions.media import rigor as known_rigor
 from .catalog import fully_indexed, has_description, indexed_at
 
 PACKED = "shard string, entry_id string, position long, batch_no int, outcome string"
@@ -61,27 +62,50 @@ def call_outcomes(batches: DataFrame) -> DataFrame:
     return batches.withColumn("status", F.when(F.col("batch_no") >= first, "rate_limited").when((F.col("outcome") == "packed") & F.col("answered"), "described").otherwise("failed"))
 
 
-RESPONSE = "struct<results: array<struct<entry_id: string, description: string>>>"
+ITEMS = "array<struct<entry_id: string, description: string, content: string, context: string>>"
+
+
+def _as_json(value: Column) -> Column:
+    """What from_json read as text, as JSON again: objects and lists as they are, others quoted."""
+    return F.when(value.rlike(r"^\s*[{\[]"), value).otherwise(F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1))
 
 
 def parse_responses(responses: DataFrame, expected: DataFrame) -> DataFrame:
-    """responses (batch_no, text): a JSON object with results, a bare list of them, or a map from id
-    to description; (batch_no, entry_id, description) of the ids expected, the first of each."""
-    as_object = F.from_json("text", RESPONSE).getField("results")
-    as_list = F.from_json("text", "array<struct<entry_id: string, description: string>>")
-    as_map = F.from_json("text", "map<string, string>")
-    from_map = F.transform(F.map_entries(F.map_filter(as_map, lambda k, _: k != "results")), lambda e: F.struct(e["key"].alias("entry_id"), e["value"].alias("description")))
-    text = F.ltrim("text")
-    items = F.when(text.startswith("["), as_list).otherwise(F.coalesce(as_object, from_map))
-    rows = responses.select("batch_no", F.posexplode(items).alias("k", "x")).select("batch_no", "k", "x.entry_id", "x.description")
-    rows = rows.join(expected.select("batch_no", "entry_id").distinct(), ["batch_no", "entry_id"], "left_semi")
+    """responses (batch_no, text): JSON items as a list or a map from id to description, bare or under
+    results; (batch_no, entry_id, description) of the ids expected, the first of each.
+
+    A description is a JSON object, as text; an item without one may hold its content and context
+    itself.  Items whose description is no object are left out, and so is text that is no JSON."""
+    payload = F.coalesce(F.from_json("text", "struct<results: string>")["results"], F.col("text"))
+    pairs = F.transform(F.map_entries(F.from_json(payload, "map<string, string>")), lambda e: F.struct(e["key"].alias("entry_id"), e["value"].alias("description"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("context")))
+    items = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, ITEMS)).otherwise(pairs)
+    own = F.concat(F.lit('{"content":'), _as_json(F.col("x.content")), F.lit(',"context":'), _as_json(F.col("x.context")), F.lit("}"))
+    rows = responses.select("batch_no", F.posexplode(items).alias("k", "x")).select("batch_no", "k", "x.entry_id", F.coalesce("x.description", own).alias("description"))
+    rows = rows.where(F.col("description").rlike(r"^\s*\{")).join(expected.select("batch_no", "entry_id").distinct(), ["batch_no", "entry_id"], "left_semi")
     w = Window.partitionBy("batch_no", "entry_id").orderBy("k")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("batch_no", "entry_id", "description")
 
 
-def dummy_description(name: Column, kind: Column) -> Column:
-    """A description without a model, for tests and dry runs."""
-    return F.struct(F.concat(F.lit("Dummy description of "), name).alias("summary"), F.array(kind).alias("objects"), F.lit("").alias("text"))
+#: What a description without a model says, besides its summary; lists are empty.
+DUMMY_SUMMARY = "Dummy batch description for "
+DUMMY_CONTENT = {"summary": None, "objects": [], "text": "", "vibe": [], "background": "", "detailed_description": "Generated locally to validate batch processing.", "miscellaneous": ""}
+DUMMY_CONTEXT = {"primary_category": "", "intent": "", "composition": "", "estimated_date": "", "event": "Dummy validation run", "analysis": "No Gemini request was made.", "metadata_relevance": "", "other_details": ""}
+
+
+def dummy_description(entry_id: Column, file_name: Column) -> Column:
+    """A description without a model, for tests and dry runs; entries without a name go by their id."""
+    summary = F.concat(F.lit(DUMMY_SUMMARY), F.coalesce(F.nullif(file_name, F.lit("")), entry_id))
+    value = lambda x: summary if x is None else F.array().cast("array<string>") if x == [] else F.lit(x)
+    part = lambda fields: F.struct(*(value(x).alias(k) for k, x in fields.items()))
+    return F.struct(part(DUMMY_CONTENT).alias("content"), part(DUMMY_CONTEXT).alias("context"))
+
+
+def annotate_rigor(entries: DataFrame, rigor: str, column: str = "description") -> DataFrame:
+    """entries whose description tells the rigor it was made with; other fields of its generation stay."""
+    kind = entries.schema[column].dataType
+    others = [n for n in kind["generation"].dataType.names if n != "rigor"] if "generation" in kind.names else []
+    generation = F.struct(*(F.col(f"{column}.generation.{n}") for n in others), known_rigor(F.lit(rigor)).alias("rigor"))
+    return entries.withColumn(column, F.struct(*(F.col(f"{column}.{n}") for n in kind.names if n != "generation"), generation.alias("generation")))
 
 
 Describer = Callable[[pd.DataFrame], pd.Series]

@@ -370,9 +370,13 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.filter_date(raw).alias("day"))
 
 
-@query("entry_date", "SELECT input_pos, coalesce(try_cast(substr(nullif(true_creation_date, ''), 1, 10) AS DATE), try_cast(substr(index_date, 1, 10) AS DATE)) AS day FROM e")
+@query("entry_date", ", x AS (SELECT *, try_cast(substr(index_date, 1, 10) AS DATE) AS indexed FROM e) SELECT input_pos, CASE input_pos % 4 WHEN 0 THEN coalesce(try_cast(substr(master_date, 1, 10) AS DATE), indexed) WHEN 1 THEN DATE '2001-02-03' ELSE indexed END AS day FROM x")
 def _(spark, d):
-    return entries(spark, d).select("input_pos", dates.entry_date([F.col("metadata.dates.true_creation_date"), F.col("metadata.dates.modification_date"), F.col("metadata.dates.index_date")]).alias("day"))
+    quarter = F.col("input_pos") % 4
+    nested = F.when(quarter == 0, F.struct(F.lit("soon").alias("date"), F.col("metadata.dates.master_date").alias("value")))
+    found = F.struct(nested.alias("master_date"), F.when(quarter == 1, "2001:02:03 04:05").alias("estimated_date"), F.when(quarter == 2, "soon").alias("creation_date"))
+    rows = entries(spark, d).withColumn("metadata", F.col("metadata").withField("index_date", F.col("metadata.dates.index_date")).withField("dates", found))
+    return rows.select("input_pos", filters.dates_of(rows).alias("day"))
 
 
 @query("exif_date_priority", """, p AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 1 END AS priority FROM events)
@@ -394,19 +398,24 @@ def _(spark, d):
 # --- Embedded metadata -------------------------------------------------------------------------
 
 
-@query("exif_whitelist", "SELECT input_pos, 'Make=' || source || CASE WHEN lang <> '' THEN ';Model=' || lang ELSE '' END AS kept FROM e")
+@query("exif_whitelist", "SELECT input_pos, 'Make=' || source || CASE WHEN lang <> '' THEN ';Model=' || lang ELSE '' END AS kept, CASE WHEN lang = 'en' THEN 'Exif,IFD' ELSE 'IFD' END AS groups FROM e")
 def _(spark, d):
-    m = F.create_map(F.lit("Make"), F.col("source"), F.lit("Model"), F.col("lang"), F.lit("MakerNote"), F.col("file_hash"), F.lit("Thumb"), F.lit("x"))
-    kept = F.map_filter(m, lambda k, _: k.isin(media.EXIF_KEYS))
-    return flat_entries(spark, d).select("input_pos", F.array_join(F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(k, F.lit("="), kept[k])), ";").alias("kept"))
+    tags = F.create_map(F.lit("Make"), F.col("source"), F.lit("Model"), F.col("lang"), F.lit("MakerNote"), F.col("file_hash"), F.lit("Thumb"), F.lit("x"))
+    name = F.when(F.col("lang") == "en", "Make").otherwise("Thumb")
+    rows = flat_entries(spark, d).withColumn("tags", F.create_map(F.lit("IFD"), tags, F.lit("Exif"), F.create_map(name, F.lit("y")), F.lit("Other"), F.create_map(F.lit("Thumb"), F.lit("z"))))
+    rows = rows.withColumn("tags", media.whitelisted(F.col("tags"), rows.schema["tags"].dataType))
+    own = F.col("tags")["IFD"]
+    kept = F.array_join(F.transform(F.array_sort(F.map_keys(own)), lambda k: F.concat(k, F.lit("="), own[k])), ";")
+    return rows.select("input_pos", kept.alias("kept"), F.array_join(F.array_sort(F.map_keys("tags")), ",").alias("groups"))
 
 
-@query("metadata_precedence", "SELECT input_pos, source AS png_wins, lang AS exif_only, CASE WHEN lang = 'en' THEN 'exif' ELSE 'xmp' END AS xmp_fills FROM e")
+@query("metadata_precedence", "SELECT input_pos, source AS png_wins, lang AS exif_only, CASE WHEN lang = 'en' THEN 'exif' ELSE 'xmp' END AS xmp_fills, 3::BIGINT AS n FROM e")
 def _(spark, d):
     exif = F.create_map(F.lit("a"), F.lit("exif"), F.lit("b"), F.col("lang"), F.lit("c"), F.when(F.col("lang") == "en", "exif"))
-    png, xmp = F.create_map(F.lit("a"), F.col("source")), F.create_map(F.lit("b"), F.lit("xmp"), F.lit("c"), F.lit("xmp"))
-    get = lambda k, *maps: F.coalesce(*(F.try_element_at(m, F.lit(k)) for m in maps)).alias
-    return flat_entries(spark, d).select("input_pos", get("a", png, exif, xmp)("png_wins"), get("b", png, exif, xmp)("exif_only"), get("c", png, exif, xmp)("xmp_fills"))
+    png = F.create_map(F.lit("a"), F.concat(F.lit(" "), "source"), F.lit("b"), F.lit("  "))
+    xmp = F.create_map(F.lit("b"), F.lit("xmp"), F.lit("c"), F.lit("xmp"), F.lit("d"), F.lit(""))
+    rows = flat_entries(spark, d).withColumn("m", media.merge_embedded(exif, png, xmp))
+    return rows.select("input_pos", *(F.try_element_at("m", F.lit(k)).alias(x) for k, x in (("a", "png_wins"), ("b", "exif_only"), ("c", "xmp_fills"))), F.size("m").cast("long").alias("n"))
 
 
 # --- Catalog -----------------------------------------------------------------------------------
@@ -600,7 +609,8 @@ def _(spark, d):
 
 @query("filter_date_range", "SELECT input_pos FROM e WHERE try_cast(substr(master_date, 1, 10) AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1999-12-31'")
 def _(spark, d):
-    return entries(spark, d).where(filters.ActiveFilters(date_from="1997:03:01 10:00", date_to="1999-12-31").dates(filters.dates_of())).select("input_pos")
+    rows = entries(spark, d)
+    return rows.where(filters.ActiveFilters(date_from="1997:03:01 10:00", date_to="1999-12-31").dates(filters.dates_of(rows))).select("input_pos")
 
 
 @query("is_uploaded", "SELECT input_pos, starts_with(file_path, '/lib/src1') AS uploaded FROM e")
@@ -774,17 +784,23 @@ _RESPONSES = """, rs AS (SELECT event_id AS batch_no, event_type, 'id' || json_e
 def _responses(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("batch_no"), "event_type", F.concat(F.lit("id"), F.get_json_object("props", "$.k")).alias("id"))
     t = F.col("event_type")
-    body = F.concat(F.lit('{"entry_id": "'), "id", F.lit('", "description": "'), t, F.lit('"}'))
-    other = F.lit('{"entry_id": "nobody", "description": "x"}')
-    as_list = F.concat(F.lit("["), body, F.lit(", "), other, F.lit(", "), body, F.lit("]"))
-    value = F.when(t == "view", F.concat(F.lit('{"results": '), as_list, F.lit("}"))).when(t == "click", as_list).when(t == "error", "no json").otherwise(F.concat(F.lit('{"'), "id", F.lit('": "'), t, F.lit('"}')))
-    return rows.withColumn("text", value)
+    described = F.concat(F.lit('{"content": {"kind": "'), t, F.lit('"}, "context": {}}'))
+    item = lambda rest: F.concat(F.lit('{"entry_id": "'), "id", F.lit('", '), rest, F.lit("}"))
+    other = F.lit('{"entry_id": "nobody", "description": {}}')
+    bad, good = item(F.lit('"description": "no object"')), item(F.concat(F.lit('"description": '), described))
+    hoisted = item(F.expr("substring(described, 2, length(described) - 2)"))
+    as_list = lambda *x: F.concat(F.lit("["), F.concat_ws(", ", *x), F.lit("]"))
+    as_map = F.concat(F.lit('{"'), "id", F.lit('": '), described, F.lit("}"))
+    under = lambda x: F.concat(F.lit('{"results": '), x, F.lit("}"))
+    value = F.when(t == "view", under(as_list(bad, other, hoisted, good))).when(t == "click", as_list(good, other, good)).when(t == "error", "no json").when(t == "purchase", under(as_map)).otherwise(as_map)
+    return rows.withColumn("described", described).withColumn("text", value)
 
 
 @query("parse_response", _RESPONSES + "SELECT batch_no, id AS entry_id, event_type AS description FROM rs WHERE event_type <> 'error'")
 def _(spark, d):
     rows = _responses(spark, d)
-    return ingest.parse_responses(rows.select("batch_no", "text"), rows.select("batch_no", F.col("id").alias("entry_id")))
+    out = ingest.parse_responses(rows.select("batch_no", "text"), rows.select("batch_no", F.col("id").alias("entry_id")))
+    return out.withColumn("description", F.get_json_object("description", "$.content.kind"))
 
 
 @query("batch_apply", _RESPONSES + "SELECT batch_no, id AS entry_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'described' END AS status FROM rs")
@@ -795,10 +811,11 @@ def _(spark, d):
     return keys.join(out, ["batch_no", "entry_id"], "left").select("batch_no", "entry_id", F.when(F.col("description").isNull(), "failed").otherwise("described").alias("status"))
 
 
-@query("dummy_description", "SELECT input_pos, 'Dummy description of ' || file_name AS summary, media_type AS objects FROM e")
+@query("dummy_description", "SELECT input_pos, 'Dummy batch description for ' || coalesce(nullif(file_name, ''), entry_id) AS summary, 0::BIGINT AS n_objects, 'Dummy validation run' AS event, 'high' AS rigor FROM e")
 def _(spark, d):
-    x = ingest.dummy_description(F.col("file_name"), F.col("media_type"))
-    return flat_entries(spark, d).select("input_pos", x["summary"].alias("summary"), F.array_join(x["objects"], ",").alias("objects"))
+    rows = flat_entries(spark, d).select("input_pos", ingest.dummy_description(F.col("entry_id"), F.col("file_name")).alias("description"))
+    rows = ingest.annotate_rigor(rows, " High ")
+    return rows.select("input_pos", "description.content.summary", F.size("description.content.objects").cast("long").alias("n_objects"), "description.context.event", "description.generation.rigor")
 
 
 for _name in ("pack_batches", "rate_limit_status"):
