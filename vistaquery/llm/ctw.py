@@ -152,88 +152,85 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return half(a) + half(b) - whole
 
 
-class Level:
-    """The nodes of one context depth: rows are distinct (context, byte), in order; for each bit
-    a row belongs to a node (context, path so far)."""
+class Nodes:
+    """The nodes of one context depth and bit: a row, a distinct (context, byte) in order, belongs
+    to the node (context, path so far)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts = keys, counts
-        self.node, self.a, self.b, self.bit = [], [], [], []
-        for k in range(8):
-            path = keys >> np.uint64(8 - k)
-            begins = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            bit = ((keys >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            node = np.zeros(len(keys), dtype=np.int64)
-            node[begins[1:]] = 1
-            self.node.append(np.cumsum(node))
-            self.a.append(np.add.reduceat(np.where(bit, 0, counts), begins) if len(keys) else counts)
-            self.b.append(np.add.reduceat(np.where(bit, counts, 0), begins) if len(keys) else counts)
-            self.bit.append(bit)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, k: int) -> None:
+        path = keys >> np.uint64(8 - k)
+        first = np.concatenate([[True], path[1:] != path[:-1]]) if len(keys) else np.zeros(0, bool)
+        self.begins = np.flatnonzero(first)
+        self.node = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        self.bit = ((keys >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+        self.a = np.add.reduceat(np.where(self.bit, 0, counts), self.begins) if len(keys) else counts
+        self.b = np.add.reduceat(np.where(self.bit, counts, 0), self.begins) if len(keys) else counts
 
 
 class Subtrees:
-    """The trees below contexts of two bytes, for the keys of one bucket."""
+    """The trees below contexts of two bytes, for the keys of one bucket.
+
+    The eight bits of a byte have trees of their own, so that those of one bit are held at a time."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        levels, ups = [Level(keys, counts)], []
+        self.keys, self.counts, self.ups = [keys], [counts], []
         for _ in range(DEPTH, 2, -1):  # drop the oldest byte of the context
-            low = levels[-1].keys
-            shorter = (low >> np.uint64(16) << _U8) | (low & np.uint64(0xFF))
-            u, up = np.unique(shorter, return_inverse=True)
-            levels.append(Level(u, np.bincount(up, weights=levels[-1].counts, minlength=len(u)).astype(np.int64)))
-            ups.append(up)
-        self.levels, self.ups = levels, ups
-        self.log_weighted, self.log_stay = [], []
-        for d, level in enumerate(levels):
-            own = [log_kt(a, b) for a, b in zip(level.a, level.b)]
+            low = self.keys[-1]
+            u, up = np.unique((low >> np.uint64(16) << _U8) | (low & np.uint64(0xFF)), return_inverse=True)
+            self.keys.append(u)
+            self.counts.append(np.bincount(up, weights=self.counts[-1], minlength=len(u)).astype(np.int64))
+            self.ups.append(up.astype(np.int32))
+
+    def _of_bit(self, k: int) -> tuple[list[Nodes], list[np.ndarray], np.ndarray]:
+        """For every depth the nodes of bit k and the logs of their weights; the upper ones' log weighted products."""
+        nodes, stay, weighted = [], [], None
+        for d, (keys, counts) in enumerate(zip(self.keys, self.counts)):
+            level = Nodes(keys, counts, k)
+            own = log_kt(level.a, level.b)
             if d == 0:
-                self.log_weighted.append(own)
-                self.log_stay.append([np.zeros(len(x)) for x in own])
-                continue
-            below, up = levels[d - 1], ups[d - 1]
-            weighted, stay = [], []
-            for k in range(8):
+                weighted = own
+                stay.append(np.zeros(len(own)))
+            else:
                 # the node above each node below: that of any of its rows
-                parent = np.zeros(len(below.a[k]), dtype=np.int64)
-                parent[below.node[k]] = level.node[k][up]
-                children = np.bincount(parent, weights=self.log_weighted[d - 1][k], minlength=len(own[k]))
-                weighted.append(_HALF + np.logaddexp(own[k], children))
-                stay.append(_HALF + own[k] - weighted[k])
-            self.log_weighted.append(weighted)
-            self.log_stay.append(stay)
+                parent = level.node[self.ups[d - 1][nodes[-1].begins]]
+                children = np.bincount(parent, weights=weighted, minlength=len(own))
+                weighted = _HALF + np.logaddexp(own, children)
+                stay.append(_HALF + own - weighted)
+            nodes.append(level)
+        return nodes, stay, weighted
 
     def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sums for the contexts of one byte: node number (context, path), log weighted product of the children, zeros, ones."""
-        level = self.levels[-1]
         number, product, a, b = [], [], [], []
         for k in range(8):
-            begins = np.flatnonzero(np.diff(level.node[k], prepend=-1))
-            key = level.keys[begins]
+            nodes, _, weighted = self._of_bit(k)
+            key = self.keys[-1][nodes[-1].begins]
             last_byte = (key >> np.uint64(16)) & np.uint64(0xFF)
             path = (np.uint64(1) << np.uint64(k)) | ((key & np.uint64(0xFF)) >> np.uint64(8 - k))
             number.append((last_byte << _U8 | path).astype(np.int64))
-            product.append(self.log_weighted[-1][k])
-            a.append(level.a[k])
-            b.append(level.b[k])
+            product.append(weighted)
+            a.append(nodes[-1].a)
+            b.append(nodes[-1].b)
         return tuple(np.concatenate(x) for x in (number, product, a, b))
 
     def log10_probability(self, top: Top) -> np.ndarray:
         """Of the byte in its context, for each key."""
-        total = np.zeros(len(self.levels[0].keys))
-        rows = np.arange(len(total))
-        chain = [rows]
+        keys = self.keys[0]
+        total = np.zeros(len(keys))
+        chain = [np.arange(len(total), dtype=np.int32)]
         for up in self.ups:
             chain.append(up[chain[-1]])
-        x = (self.levels[0].keys & np.uint64(0xFF)).astype(np.int64)
-        last_byte = (self.levels[0].keys >> np.uint64(8 * DEPTH)).astype(np.int64)
+        x = (keys & np.uint64(0xFF)).astype(np.int64)
+        last_byte = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
         for k in range(8):
-            bit, p = self.levels[0].bit[k], None
-            for level, stays, row in zip(self.levels, self.log_stay, chain):
-                node = level.node[k][row]
-                a, b = level.a[k][node], level.b[k][node]
+            nodes, stays, _ = self._of_bit(k)
+            bit, p = nodes[0].bit, None
+            for level, log_stay, row in zip(nodes, stays, chain):
+                node = level.node[row]
+                a, b = level.a[node], level.b[node]
                 own = (np.where(bit, b, a) + 0.5) / (a + b + 1.0)
-                stay = np.exp(stays[k][node])
+                stay = np.exp(log_stay[node])
                 p = own if p is None else stay * own + (1 - stay) * p
+            del nodes, stays
             path = (1 << k) | (x >> (8 - k))
             for number in (last_byte * 256 + path, 65536 + path):
                 one, stay = top.one[number], top.stay[number]
@@ -346,11 +343,13 @@ def score(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         return (b, *(counted if b < n else added)(names, counts))
 
     def merge(t: pa.Table) -> pa.Table:
+        give_back()
         b, names, counts = merged_names(t, "u4")
         return pa.table({"bucket": pa.array([b], pa.int32()), "names": [_named(b, n, names)], "counts": [pack(counts)]})
 
     def build(t: pa.Table) -> pa.Table:
         """A bucket's names and counts, and its sums for the nodes above (of words, as number -1: tokens and distinct words)."""
+        give_back()
         b, names, counts = merged_names(t, "i8")
         number, product, zeros, ones = Subtrees(names, counts).top() if b < n else (np.array([-1]), np.zeros(1), counts.sum(keepdims=True), (counts > 0).sum(keepdims=True))
         k = len(number)
