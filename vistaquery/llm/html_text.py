@@ -7,9 +7,11 @@ descendant is visible again, inputs, closed details and dialogs; of SVG and Math
 descriptions, metadata, defs, even where use draws them, and annotations).  Everything else is:
 formulas as the text of their elements, SVG labels and matrix rows on lines of their own, blocks
 on lines of their own, paragraphs, headings, lists and tables set apart by an empty line,
-line breaks, pre as it is, list items with bullets or numbers by depth, table rows with cells
-in columns of equal width.  A cell wider than CELL characters does not widen its column, so
-text that is padded stays in proportion to the input.
+line breaks, pre as it is, list items with bullets or numbers by depth.  Cells keep their blocks,
+lists, pre and tables and stand side by side, each line in its column, over the rows and columns
+that they span.  A line too long for its columns, of more than WIDE characters, has its line to
+itself: the cells to its right begin below it, in their columns.  So no text is cut or wrapped and
+padding is at most WIDE characters a column.
 
 Null or empty html: empty text.  No length limit; depth is not bound by Python's stack.
 Repeated rows are rendered each.  Empty table: no rows.  Further columns stay, with the text
@@ -19,13 +21,17 @@ in a column of a name that is given.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CELL = 60
+WIDE = 60
+GAP = "  "
+#: Fixed values of HTML: the most columns and rows that a cell spans.
+COLSPAN, ROWSPAN = 1000, 65534
 #: Fixed values of HTML: element names by the role that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -57,6 +63,7 @@ _P_LIMIT = frozenset("button td th caption table object html".split())
 _P = frozenset(["p"])
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?|[\s/]*=")
+_SPAN = re.compile(r"[ \t\n\f\r]*\+?([0-9]+)")
 _GAP = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
@@ -280,12 +287,19 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
-def _rows(table: Node, visible: bool) -> tuple[list[Node], list[list[tuple[Node, bool, int]]], list]:
-    """Captions, the cells of each row (node, visible, columns), and what stands in no cell."""
+def _span(text: str, most: int) -> int:
+    """The number that an attribute begins with, 1 where there is none."""
+    m = _SPAN.match(text)
+    return min(int(m[1][:9]), most) if m else 1
+
+
+def _rows(table: Node, visible: bool) -> tuple[list, list[tuple[int, list]], list]:
+    """Captions, rows (row group, cells as node, visible, columns, rows), and what stands in no cell."""
     captions, rows, loose = [], [], []
-    todo: list = [(c, visible) for c in reversed(table.children)]
+    groups, bare = 0, None
+    todo: list = [(c, visible, 0) for c in reversed(table.children)]
     while todo:
-        c, seen = todo.pop()
+        c, seen, group = todo.pop()
         if isinstance(c, str):
             if c.strip():
                 loose.append((c, seen))
@@ -293,57 +307,126 @@ def _rows(table: Node, visible: bool) -> tuple[list[Node], list[list[tuple[Node,
         laid, own = _shown(c, seen)
         if not laid:
             continue
-        if c.tag == "caption":
-            captions.append((c, own))
-        elif c.tag in ("thead", "tbody", "tfoot"):
-            todo += [(x, own) for x in reversed(c.children)]
-        elif c.tag == "tr":
-            cells = []
-            for x in c.children:
+        if c.tag in ("tr", "td", "th"):
+            if c.tag == "tr" or bare is None or bare[0] != group:
+                rows.append((group, []))
+                bare = None if c.tag == "tr" else rows[-1]
+            for x in c.children if c.tag == "tr" else [c]:
                 if isinstance(x, Node) and x.tag in ("td", "th"):
                     laid, cell = _shown(x, own)
                     if laid:
-                        span = x.attributes.get("colspan", "1")
-                        cells.append((x, cell, min(int(span), 100) if span.isascii() and span.isdigit() and int(span) else 1))
+                        a = x.attributes
+                        rows[-1][1].append((x, cell, _span(a.get("colspan", ""), COLSPAN) or 1, _span(a.get("rowspan", ""), ROWSPAN)))
                 elif isinstance(x, Node) or x.strip():
                     loose.append((x, own))
-            rows.append(cells)
-        elif c.tag in ("td", "th"):
-            rows.append([(c, own, 1)])
+        elif c.tag in ("thead", "tbody", "tfoot"):
+            groups, bare = groups + 1, None
+            todo += [(x, own, groups) for x in reversed(c.children)]
+        elif c.tag == "caption":
+            captions.append((c, own))
         elif c.tag not in ("col", "colgroup"):
             loose.append((c, own))
     return captions, rows, loose
 
 
-def _table(table: Node, visible: bool, nested: int) -> list[str]:
+class Cell:
+    """Lines in the columns from start to end (behind), down to the row last; done of them are written."""
+
+    __slots__ = ("start", "end", "last", "lines", "done", "wide")
+
+    def __init__(self, start: int, end: int, last: int, lines: list[str]) -> None:
+        self.start, self.end, self.last, self.lines, self.done, self.wide = start, end, last, lines, 0, 0
+
+
+def _grid(rows: list[tuple[int, list]], pre: bool, tables: dict) -> list[list[Cell]]:
+    """The cells of each row in their columns; one that spans rows keeps its columns in those below, in its row group."""
+    last = [0] * len(rows)
+    for r in range(len(rows) - 1, -1, -1):
+        last[r] = last[r + 1] if r + 1 < len(rows) and rows[r + 1][0] == rows[r][0] else r
+    out, held = [], []
+    for r, (_, row) in enumerate(rows):
+        held = sorted((c for c in held if c.last >= r), key=lambda c: c.start)
+        here, k = [], 0
+        for node, seen, columns, deep in row:
+            for c in held:
+                if c.start <= k < c.end:
+                    k = c.end
+            end = min([k + columns, *(c.start for c in held if c.start > k)])
+            text = _flow(node.children, seen, pre, tables)
+            here.append(Cell(k, end, min(r + deep - 1, last[r]) if deep else last[r], text.split("\n") if text else []))
+            k = end
+        held += [c for c in here if c.last > r]
+        out.append(here)
+    return out
+
+
+def _table(table: Node, visible: bool, pre: bool, tables: dict) -> list[str]:
     captions, rows, loose = _rows(table, visible)
-    out = []
+    out: list[str] = []
     for x, seen in (*captions, *loose):
-        if text := render([x], seen, nested + 1):
-            out.append(text)
-    texts = [[(_GAP.sub(" ", render(c.children, seen, nested + 1)), span) for c, seen, span in row] for row in rows]
-    width: list[int] = []
-    for row in texts:
-        k = 0
-        for x, span in row:
-            width += [0] * (k + span - len(width))
-            if span == 1 and len(x) <= CELL:
-                width[k] = max(width[k], len(x))
-            k += span
-    for row in texts:
-        k, parts = 0, []
-        for x, span in row:
-            parts.append(x.ljust(sum(width[k : k + span]) + 2 * (span - 1)))
-            k += span
-        if any(x for x, _ in row):
-            out.append("  ".join(parts).rstrip(" "))
+        if text := _flow([x], seen, pre, tables):
+            out += text.split("\n")
+    grid = _grid(rows, pre, tables)
+    cells = [c for row in grid for c in row]
+    starts = sorted({c.start for c in cells})  # a column in which no cell starts takes no room
+    for c in cells:
+        c.start, c.end = bisect_left(starts, c.start), bisect_left(starts, c.end)
+    width = [0] * len(starts)
+    for c in sorted(cells, key=lambda c: c.end - c.start):
+        need = max((len(x) for x in c.lines if len(x) <= WIDE), default=0)
+        have = sum(width[c.start : c.end]) + len(GAP) * (c.end - c.start - 1)
+        width[c.end - 1] += max(0, need - have)
+    place = [0]
+    for w in width:
+        place.append(place[-1] + w + len(GAP))
+    for c in cells:
+        room = place[c.end] - len(GAP) - place[c.start]
+        c.wide = max((k + 1 for k, x in enumerate(c.lines) if len(x) > room), default=0)
+    going: list[Cell] = []  # from rows above, with lines left
+    for r, row in enumerate(grid):
+        here = sorted(going + row, key=lambda c: c.start)
+        top, height, tops = 0, 0, []
+        for k, c in enumerate(here):
+            wide = max(0, c.wide - c.done) if k + 1 < len(here) else 0
+            height = max(height, top + (wide if c.last > r else len(c.lines) - c.done))
+            tops.append(top)
+            top += wide
+        lines: list[list[str]] = [[] for _ in range(height)]
+        filled = [0] * height
+        for c, top in zip(here, tops):
+            for y in range(top, min(height, top + len(c.lines) - c.done)):
+                if x := c.lines[c.done + y - top]:
+                    lines[y].append(" " * (place[c.start] - filled[y]) + x)
+                    filled[y] = place[c.start] + len(x)
+            c.done += max(0, min(height - top, len(c.lines) - c.done))
+        out += ["".join(x) for x in lines]
+        going = [c for c in here if c.last > r and c.done < len(c.lines)]
     return out
 
 
-def render(children: list, visible: bool = True, nested: int = 0) -> str:
+def render(children: list, visible: bool = True) -> str:
+    """The text of nodes.  Inner tables become lines before those that hold them, so nesting needs no recursion."""
+    found, tables = [], {}
+    todo = [(c, visible, False) for c in children]
+    while todo:
+        x, seen, pre = todo.pop()
+        if isinstance(x, str):
+            continue
+        laid, seen = _shown(x, seen)
+        if laid:
+            if x.tag == "table":
+                found.append((x, seen, pre))
+            pre = pre or x.tag in ("pre", "xmp")
+            todo += [(c, seen, pre) for c in x.children]
+    for x, seen, pre in reversed(found):
+        tables[x] = _table(x, seen, pre, tables)
+    return _flow(children, visible, False, tables)
+
+
+def _flow(children: list, visible: bool, pre: bool, tables: dict) -> str:
     w = Writer()
     lists: list[list] = []  # open lists: bullet or next number
-    todo: list = [("node", c, visible, False) for c in reversed(children)]
+    todo: list = [("node", c, visible, pre) for c in reversed(children)]
     while todo:
         kind, x, seen, pre = todo.pop()
         if kind == "end":
@@ -372,11 +455,10 @@ def render(children: list, visible: bool = True, nested: int = 0) -> str:
         if tag == "br":
             w.new_line()
             continue
-        if tag == "table" and nested < 20:
+        if tag == "table":
             w.border(2)
-            for y in _table(x, seen, nested):
-                for z in y.split("\n"):
-                    w.line(z)
+            for y in tables.pop(x):
+                w.line(y)
             w.border(2)
             continue
         inner = x.children
