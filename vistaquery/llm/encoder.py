@@ -11,6 +11,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .work import REMEMBERED
 
@@ -19,7 +21,7 @@ REMEMBER = 600_000
 #: New chunks that are encoded as one text.
 JOINED = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_TAIL = ",.;:!?)"
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Known(dict):
@@ -68,22 +70,35 @@ class ChunkEncoder:
         encoded as one text, as they stay apart there; the bytes of the ids tell where each ends."""
         texts = ["".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
         flat = np.concatenate([np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        size = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in chunks), dtype=np.int64, count=len(chunks))
+        size = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy()
         return flat, np.diff(np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size)) + 1, prepend=0)
 
     def _learn(self, words: list[str]) -> None:
-        """Punctuation behind a word of plain letters is a piece of its own: both are encoded once."""
+        """Punctuation behind a word of plain letters is a piece of its own: both are encoded once,
+        and a word that is known without it is not encoded again."""
         parts: dict[str, int] = {}
         first, second = np.empty(len(words), dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
+        odd, learned, rows = np.zeros(len(words), dtype=bool), len(self.used), []
         for k, word in enumerate(words):
-            bare = word.rstrip(_TAIL)
-            if len(bare) < len(word) and bare.isalpha() and max(bare) < "\u0250":
-                second[k] = parts.setdefault("\n" + word[len(bare) :], len(parts))
-                word = bare
-            elif _odd(word):
-                word = "?"  # its row is never used
+            if not word.isalpha():
+                bare = word.rstrip(_TAIL)
+                if len(bare) < len(word) and bare.isalpha() and max(bare) < "\u0250":
+                    second[k] = parts.setdefault("\n" + word[len(bare) :], len(parts))
+                    row = self.known.get(bare, learned)
+                    if row < learned:
+                        rows.append(row)
+                        first[k] = -len(rows)
+                        continue
+                    word = bare
+                elif _odd(word):
+                    odd[k] = True
+                    word = "?"  # its row is never used
             first[k] = parts.setdefault(word if word[0] == "\n" else " " + word, len(parts))
         flat, counts = self._each(list(parts))
+        if rows:  # those known go behind the new parts
+            first = np.where(first < 0, len(counts) - 1 - first, first)
+            more = np.diff(self.at)[rows]
+            flat, counts = np.concatenate([flat, gather(self.ids, self.at[rows], more)]), np.concatenate([counts, more])
         at = np.cumsum(counts) - counts
         feed = len(self._each(["\n?"])[0]) - 1  # ids of the line feed before the punctuation
         skip = np.where(second < 0, 0, feed)
@@ -94,7 +109,7 @@ class ChunkEncoder:
             self.ids = np.concatenate([self.ids, np.zeros(int(end[-1]), dtype=np.int32)])
         self.ids[self.at[-1] : end[-1]] = gather(flat, start, many.ravel())
         self.at = np.concatenate([self.at, end])
-        self.used = np.concatenate([self.used, np.where([_odd(w) for w in words], -(1 << 40), 0)])
+        self.used = np.concatenate([self.used, np.where(odd, -(1 << 40), 0)])
 
     def _forget(self) -> None:
         often = (self.used > 1) | (self.used < 0)
