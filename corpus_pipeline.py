@@ -59,7 +59,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = _own_folder(docs, "packing")
     pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE, folder, REMEMBER)
     digests = pieces.select("piece_key", "tokens").mapInArrow(token_store.crc32_of_lists, "piece_key long, ids_crc32 long")
-    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE, folder=folder).join(digests, "piece_key").drop("piece_key")
+    return packing.pack_lengths(pieces.drop("tokens", "ids_crc32"), SEQUENCE, folder=folder).join(digests, "piece_key").drop("piece_key")
 
 
 #: Words that a worker's encoder remembers here, fewer than alone, as other stages' memory is still there.
