@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoder import REMEMBER, encoder
-from .token_store import BATCH_BYTES, list_column, with_end
+from .token_store import BATCH_BYTES, crc32_of, list_column, with_end
 from .work import BATCH_ROWS, batch_rows, give_back, part_tables, work_dir
 
 #: Pieces in a shard.
@@ -63,7 +63,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, folder: str | None = None, remember: int = REMEMBER) -> DataFrame:
-    """Per piece: piece_key (unique), doc_id, piece, start, length, tokens; written to the shared folder and read from it."""
+    """Per piece: piece_key (unique), doc_id, piece, start, length, ids_crc32, tokens; written to the shared folder and read from it."""
     spark = docs.sparkSession
 
     def run(batches):
@@ -78,11 +78,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, fo
             start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
             keys = key + np.arange(len(doc))
             key += len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), t["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), list_column(flat, length)], names=["piece_key", "doc_id", "piece", "start", "length", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), t["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), crc32_of(flat, np.concatenate([[0], np.cumsum(length)])), list_column(flat, length)], names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32", "tokens"])
         give_back()
 
     folder = f"{folder or work_dir(spark, 'pieces')}/pieces"
-    schema = "piece_key long, doc_id long, piece int, start long, length long, tokens array<int>"
+    schema = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long, tokens array<int>"
     with batch_rows(spark, BATCH_ROWS):
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return spark.read.schema(schema).parquet(folder)

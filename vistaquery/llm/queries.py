@@ -64,8 +64,7 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE)
-    digests = pieces.select("piece_key", "tokens").mapInArrow(token_store.crc32_of_lists, "piece_key long, ids_crc32 long")
-    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE).join(digests, "piece_key").drop("piece_key")
+    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE).drop("piece_key")
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

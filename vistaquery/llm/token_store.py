@@ -57,13 +57,16 @@ def list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
+def crc32_of(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The crc32 of each list of ids, as little-endian unsigned 32-bit integers; ends: 0 and where each list ends in flat."""
+    raw, at = memoryview(flat.astype("<u4").tobytes()), ends.tolist()
+    return pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at, at[1:])], pa.int64())
+
+
 def crc32_of_lists(batches):
-    """For mapInArrow: the last column, lists of ids, becomes its crc32 as little-endian unsigned 32-bit ids."""
+    """For mapInArrow: the last column, lists of ids, becomes its crc32."""
     for b in batches:
-        flat, at = list_values(b.column(b.num_columns - 1))
-        raw = memoryview(flat.astype("<u4").tobytes())
-        crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], names=[*b.schema.names[:-1], "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], crc32_of(*list_values(b.column(b.num_columns - 1)))], names=[*b.schema.names[:-1], "ids_crc32"])
 
 
 @dataclass(frozen=True)
