@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistaquery.llm import cascade, jaccard_join, packing, substring, token_store
+from vistaquery.llm import cascade, jaccard_join, packing, substring
 from vistaquery.llm.queries import END_ID, SEQUENCE, table, tokenizer_path
 from vistaquery.llm.work import remove, work_dir
 
@@ -58,8 +58,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of SEQUENCE tokens: doc_id, piece, start, length, sequence_id, offset and the ids' crc32."""
     folder = _own_folder(docs, "packing")
     pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), END_ID, SEQUENCE, folder, REMEMBER)
-    digests = pieces.select("piece_key", "tokens").mapInArrow(token_store.crc32_of_lists, "piece_key long, ids_crc32 long")
-    return packing.pack_lengths(pieces.drop("tokens", "ids_crc32"), SEQUENCE, folder=folder).join(digests, "piece_key").drop("piece_key")
+    return packing.pack_lengths(pieces.drop("tokens"), SEQUENCE, folder=folder).drop("piece_key")
 
 
 #: Words that a worker's encoder remembers here, fewer than alone, as other stages' memory is still there.
