@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_dp, cascade, ctw, html_text, jaccard_join, packing, rp_forest, substring, token_store, warc
+from . import bpe_dp, cascade, ctw, hard_negatives, html_text, jaccard_join, merkle, packing, rp_forest, secret_scan, substring, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The end-of-document id of op3 and op9, and the sequence length of op9.
@@ -72,6 +74,27 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    manifest = merkle.write_manifest(table(spark, sf_dir, "documents"), tampered=merkle.leaf(text=folded))
+    siblings = F.array_join(F.flatten(F.transform("proof", lambda p: p.siblings)), "")
+    rows = manifest.proofs().withColumns({"proof_sha256": F.sha2(siblings, 256), "folded_root": merkle.fold(F.col("tampered"), F.col("proof"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.build_index(table(spark, sf_dir, "documents").select("doc_id", "text")).scan(columns=["doc_id"])
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, kinds), F.sha2(said(F.filter("spans", lambda x: x.kind.isin(kinds))), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 #: The counts and the verdict of the quality rules, of every row of documents.
 QUALITY_SQL = r"""
     WITH w AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -102,6 +125,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_packing": op9_packing,
     "op10_substring": op10_substring,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -111,6 +137,19 @@ _REACH = """sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
     reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, x.b FROM reach r JOIN sides x ON x.a = r.b),
     root AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
+#: The rules of op12 in the SQL engine's syntax; its folding of case would go beyond ASCII, so both cases are written out.
+_SECRETS = [(r.kind, re.sub(r"\(\?ai:(.*?)\)\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", r.pattern).replace("'", "''"), r.group, r.least) for r in secret_scan.RULES]
+_SECRET_SPANS = " UNION ALL ".join(
+    f"""SELECT r, {n} AS nr, '{kind}' AS kind, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, length(m[i])::BIGINT AS size
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, string_split_regex(text, '{pattern}') AS s, regexp_extract_all(text, '{pattern}') AS m FROM d)) WHERE length(regexp_extract(m[i], '{pattern}', {group})) >= {least}"""
+    for n, (kind, pattern, group, least) in enumerate(_SECRETS)
+)
+
+#: crc32 of a decimal number, bit by bit; 3988292384 is the reversed polynomial.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x:
+            list_reduce(list_concat([xor(c, x)], range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295)"""
+_MERKLE_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -146,5 +185,35 @@ ORACLES: dict[str, str] = {
         o AS (SELECT doc_id, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM w),
         kept AS (SELECT o.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY o.i) AS text FROM o LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY o.doc_id)
         SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_MERKLE_LEAF.format("text")} AS leaf,
+            CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_MERKLE_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_MERKLE_LEAF.format("text")} END AS tampered FROM documents),
+        p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM d),
+        t AS (SELECT 0 AS level, lang, pos, size, leaf AS node FROM p
+            UNION ALL SELECT level + 1, lang, pos // 8, (size + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE size > 1 GROUP BY level, lang, pos // 8, size),
+        s AS (SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM t WHERE size = 1),
+        u AS (SELECT 0 AS level, pos, size, subroot AS node FROM s
+            UNION ALL SELECT level + 1, pos // 8, (size + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE size > 1 GROUP BY level, pos // 8, size),
+        n AS (SELECT lang, level, pos, size, node FROM t WHERE size > 1 UNION ALL SELECT s.lang, s.height + u.level, u.pos, u.size, u.node FROM s, u WHERE u.size > 1),
+        w AS (SELECT p.r, p.lang, 0 AS level, p.pos, s.height, s.pos AS place, p.tampered AS node, '' AS proof FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL SELECT r, lang, level + 1, pos // 8, height, place, sha256(string_agg(CASE WHEN own THEN node ELSE other END, '' ORDER BY other_pos)), any_value(proof) || string_agg(CASE WHEN own THEN '' ELSE other END, '' ORDER BY other_pos)
+            FROM (SELECT w.r, w.lang, w.level, CASE WHEN w.level = w.height THEN w.place ELSE w.pos END AS pos, w.height, w.place, w.node, w.proof, n.node AS other, n.pos AS other_pos, n.pos = CASE WHEN w.level = w.height THEN w.place ELSE w.pos END AS own
+                  FROM w JOIN n ON w.lang IS NOT DISTINCT FROM n.lang AND w.level = n.level AND n.pos // 8 = CASE WHEN w.level = w.height THEN w.place ELSE w.pos END // 8) GROUP BY r, lang, level, pos, height, place),
+        e AS (SELECT * FROM (SELECT *, max(level) OVER (PARTITION BY r) AS last FROM w) WHERE level = last)
+        SELECT p.doc_id, p.leaf, s.subroot, u.node AS root, sha256(e.proof) AS proof_sha256, e.node AS folded_root, e.node = u.node AS verified
+        FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN e USING (r) JOIN u ON u.size = 1""",
+    "op12_secret_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), x AS ({_SECRET_SPANS}),
+        g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, nr) FILTER (nr < 3) AS base, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, nr) AS spans FROM x GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT * FROM n WHERE rank <= 10""",
     "op8_quality_cascade": QUALITY_SQL.format(columns="doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"),
 }
