@@ -54,6 +54,11 @@ def format_epoch(c: Column, latest: Column | None = None) -> Column:
 
 def parse_embedded(c: Column, latest: Column | None = None) -> Column:
     """Date-times as files embed them: ISO, 2021:05:01 08:15:00, with offsets, and two forms with the names of weekday and month."""
+    return F.coalesce(*(format_datetime(x, latest) for x in embedded_forms(c)))
+
+
+def embedded_forms(c: Column) -> list[Column]:
+    """How an embedded date-time may read in ISO; the first that does counts."""
     raw = strip(c)
     colons = F.regexp_replace(raw, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3")
     spaced = F.regexp_replace(F.regexp_replace(colons, r"^(\d{4}-\d{2}-\d{2}) ", "$1T"), r" ([+-]\d{2}:?\d{2})$", "$1")
@@ -63,7 +68,7 @@ def parse_embedded(c: Column, latest: Column | None = None) -> Column:
         F.date_format(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
         F.date_format(F.try_to_timestamp(bare, F.lit("MMM d HH:mm:ss yyyy")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
     )
-    return F.coalesce(*(format_datetime(x, latest) for x in (raw, colons, spaced, wide, named)))
+    return [raw, colons, spaced, wide, named]
 
 
 def resolve_dates(v: dict[str, Column]) -> dict[str, Column]:
@@ -99,15 +104,22 @@ def resolve_dates(v: dict[str, Column]) -> dict[str, Column]:
 
 def exif_date(date: Column, subsec: Column, offset: Column, latest: Column | None = None) -> Column:
     """An EXIF date with its fraction (none: 000) and offset (none: UTC)."""
+    return format_datetime(exif_text(date, subsec, offset), latest)
+
+
+def exif_text(date: Column, subsec: Column, offset: Column) -> Column:
     base = F.regexp_replace(F.regexp_replace(strip(date), r"^(\d{4}):(\d{2}):", "$1-$2-"), " ", "T")
-    return format_datetime(F.concat(base, F.lit("."), strip(F.coalesce(subsec, F.lit("000"))), strip(F.coalesce(offset, F.lit("+00:00")))), latest)
+    return F.concat(base, F.lit("."), strip(F.coalesce(subsec, F.lit("000"))), strip(F.coalesce(offset, F.lit("+00:00"))))
 
 
 def gps_date(date: Column, hour: Column, minute: Column, second: Column, latest: Column | None = None) -> Column:
     """A GPS date stamp with its time, in UTC."""
+    return format_datetime(gps_text(date, hour, minute, second), latest)
+
+
+def gps_text(date: Column, hour: Column, minute: Column, second: Column) -> Column:
     micro = F.round((second % 1) * 1_000_000).cast("int")
-    text = F.format_string("%sT%02d:%02d:%02d.%06d+00:00", F.regexp_replace(date, ":", "-"), hour.cast("int"), minute.cast("int"), second.cast("int"), micro)
-    return format_datetime(text, latest)
+    return F.format_string("%sT%02d:%02d:%02d.%06d+00:00", F.regexp_replace(date, ":", "-"), hour.cast("int"), minute.cast("int"), second.cast("int"), micro)
 
 
 def filter_date(c: Column) -> Column:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.media import GALLERY_IMAGES, display_name
 from .catalog import creation_date, fully_indexed, has_description, upload_date
+from .order import numbered
 
 #: Rows that a gallery shows, searches that are kept for each user.
 GALLERY_LIMIT, HISTORY_LIMIT = 48, 30
-STATUS = {"indexed": "Indexed", "rate_limited": "Rate limited", "failed": "Failed"}
+#: What a table of results shows for each status, and the reason for a duplicate that is left as it is.
+STATUS = {"stored": "stored", "re_uploaded": "re-uploaded", "ignored": "ignored", "indexed": "indexed", "rate_limited": "rate limited", "failed": "failed"}
+DUPLICATE_REASON = "Duplicate already exists. Ignored by default."
 
 
 def status() -> Column:
@@ -44,13 +47,22 @@ def gallery(entries: DataFrame, order: str = "upload_desc", limit: int = GALLERY
 
 
 def pending(entries: DataFrame) -> DataFrame:
-    """Entries that are not fully indexed, by upload date, with their place among those of their status and day.
-
-    Sort by uploaded_at and entry_id to list them; a place among all would need one task for all."""
+    """Entries that are not fully indexed, by upload date, with their place among those of their status and day."""
     rows = records(entries.where(~fully_indexed())).withColumn("day", F.substring("uploaded_at", 1, 10))
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("status", "day").orderBy("uploaded_at", "entry_id")))
 
 
+def pending_listed(entries: DataFrame) -> DataFrame:
+    """Entries that are not fully indexed, with their place in the whole list by upload date; no task sees the whole list."""
+    return numbered(records(entries.where(~fully_indexed())), [F.asc("uploaded_at"), F.asc("entry_id")])
+
+
+def results_table(outcomes: DataFrame) -> DataFrame:
+    """What an analysis shows of upload_outcome's rows: statuses by their labels, others as they are."""
+    labels = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))
+    return outcomes.select("filename", F.coalesce(F.try_element_at(labels, F.col("status")), F.col("status"), F.lit("")).alias("status"), "reason", "entry_id")
+
+
 def pending_table(entries: DataFrame) -> DataFrame:
     rows = entries.where(~fully_indexed())
     return rows.select(
@@ -94,6 +106,42 @@ def classify_uploads(uploads: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.select("file_hash", F.col("name").alias("original_filename"), "duplicates", "existing", F.when(F.col("existing").isNotNull(), "ignore").otherwise("").alias("default_action"))
 
 
+def _actions(selections: DataFrame, overrides: DataFrame) -> DataFrame:
+    """selections with action: nothing for new files, else that of overrides (file_hash, action), else the default."""
+    chosen = selections.join(overrides.select("file_hash", F.col("action").alias("_own")), "file_hash", "left")
+    return chosen.withColumn("action", F.when(F.col("existing").isNull(), "").otherwise(F.coalesce("_own", "default_action"))).drop("_own")
+
+
+def selection_rows(selections: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The table of a selection (classify_uploads) in which duplicates can be chosen for another upload."""
+    rows = _actions(selections, overrides)
+    there = F.col("existing").isNotNull()
+    return rows.select("file_hash", F.col("original_filename").alias("filename"), F.when(there, "duplicate").otherwise("new").alias("status"), F.coalesce("existing", F.lit("")).alias("existing_entry_id"), (there & (F.col("action") == "reupload")).alias("re_upload"))
+
+
+def edited_actions(overrides: DataFrame, edited: DataFrame) -> DataFrame:
+    """overrides (file_hash, action) after an edit of selection_rows (position tells their order): rows of
+    duplicates replace their hash's action, the last of a hash counts, others stay."""
+    named = edited.where("file_hash <> '' and existing_entry_id <> ''")
+    last = named.groupBy("file_hash").agg(F.max_by(F.coalesce("re_upload", F.lit(False)), "position").alias("again"))
+    rows = last.select("file_hash", F.when(F.col("again"), "reupload").otherwise("ignore").alias("action"))
+    return overrides.select("file_hash", "action").join(rows, "file_hash", "left_anti").unionByName(rows)
+
+
+def selected_outcome(selections: DataFrame, overrides: DataFrame, entry_id: Column) -> DataFrame:
+    """What becomes of each selected file: ignored (with the stored entry's id), re-uploaded or stored; entry_id: of file_hash."""
+    rows = _actions(selections, overrides)
+    ignored = F.col("existing").isNotNull() & (F.col("action") != "reupload")
+    status = F.when(ignored, "ignored").when(F.col("existing").isNotNull(), "re_uploaded").otherwise("stored")
+    return rows.select(F.col("original_filename").alias("filename"), "file_hash", status.alias("status"), F.when(ignored, DUPLICATE_REASON).otherwise("").alias("reason"), F.when(ignored, F.col("existing")).otherwise(entry_id).alias("entry_id"))
+
+
+def analysis_overrides(entries: DataFrame) -> DataFrame:
+    """What the stored files of entries keep when they are read again: path, file_name and uploaded_at, blank ones null."""
+    kept = lambda c: F.nullif(F.col(f"metadata.{c}"), F.lit("")).alias(c)
+    return entries.where("metadata.file_path <> ''").select(F.col("metadata.file_path").alias("path"), kept("file_name"), kept("uploaded_at"))
+
+
 def upload_outcome(entries: DataFrame, outcome: DataFrame) -> DataFrame:
     """Status and reason of each pending entry from outcome (entry_id, kind, reason); indexed before rate-limited before failed."""
     order = F.array_position(F.array(*map(F.lit, ("indexed", "rate_limited", "failed"))), F.col("kind"))

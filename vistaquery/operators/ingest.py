@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.media import BATCH_SIZES, MAX_INLINE_BYTES, entry_id, model_hash
 from ..functions.media import rigor as known_rigor
+from ..sources.shared import written
 from .catalog import fully_indexed, has_description, indexed_at
+from .order import numbered
 
 PACKED = "shard string, entry_id string, position long, batch_no int, outcome string"
 
@@ -54,6 +57,107 @@ def pack_batches(items: DataFrame, limits: PackLimits) -> DataFrame:
     return items.groupBy("shard").applyInPandas(run, PACKED)
 
 
+def _next_starts(prepared: np.ndarray, size: np.ndarray, limits: PackLimits) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch that starts at each item, where the next one starts; and which items are packed."""
+    n = len(size)
+    total = np.concatenate([[0], np.cumsum(np.where(prepared, size, 0))])
+    packed = prepared & (limits.base + size <= limits.bytes)
+    fits = np.searchsorted(total, total[:-1] + limits.bytes - limits.base, side="right") - 1
+    stops = np.flatnonzero(~prepared)
+    stop = np.append(stops, n)[np.searchsorted(stops, np.arange(n), side="right")]
+    ends = np.minimum(np.minimum(np.arange(n) + limits.count, fits), stop)
+    return np.where(packed, np.maximum(ends, np.arange(1, n + 1)), np.arange(1, n + 1)), packed
+
+
+def pack_sequence(items: DataFrame, limits: PackLimits, block: int = 50_000, fan: int = 1000) -> DataFrame:
+    """items (entry_id, position, prepared, bytes) packed as pack() does, all as one sequence in order of position and id.
+
+    Where the next batch starts depends on where a batch starts alone, and lies at most limits.count
+    items on.  So a block of consecutive items, with as many of the next one, is a function from the
+    few offsets at which a batch may enter it to the offset at which one enters the next block, and
+    the batches between.  These functions are composed in a tree, fan at a time; on the way back each
+    block gets the one offset that is true, and numbers its items.  No task holds more than a block
+    or fan functions."""
+    spark, block = items.sparkSession, max(block, limits.count)
+    rows = items.select("entry_id", "position", F.coalesce("prepared", F.lit(False)).alias("prepared"), F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes"))
+    rows = written(numbered(rows, [F.col("position").asc_nulls_first(), F.col("entry_id").asc_nulls_first()], name="_i", first=0), "sequence")
+    own = F.floor(F.col("_i") / block)
+    ahead = rows.where((F.col("_i") % block < limits.count) & (F.col("_i") >= block))
+    dealt = rows.withColumn("_node", own).unionByName(ahead.withColumn("_node", own - 1))
+    nodes = -(-(rows.agg(F.max("_i")).first()[0] or 0) // block) + 1
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        node = int(pdf["_node"].iloc[0])
+        m = int((pdf["_i"] < (node + 1) * block).sum())
+        starts, _ = _next_starts(pdf["prepared"].to_numpy(), pdf["bytes"].to_numpy(), limits)
+        after, steps = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        for i in range(m - 1, -1, -1):
+            j = int(starts[i])
+            after[i], steps[i] = (j - m, 1) if j >= m else (after[j], steps[j] + 1)
+        few = min(m, limits.count + 1)
+        return pd.DataFrame({"_node": node, "entry": np.arange(few), "after": after[:few], "steps": steps[:few]})
+
+    def table(pdf: pd.DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
+        out: dict[int, dict[int, tuple[int, int]]] = {}
+        for node, entry, after, steps in zip(*(pdf[c].tolist() for c in ("_node", "entry", "after", "steps"))):
+            out.setdefault(node, {})[entry] = after, steps
+        return dict(sorted(out.items()))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, found = table(pdf), []
+        for entry in next(iter(known.values())):
+            at, total = entry, 0
+            for step in known.values():
+                if at not in step:  # beyond the last item
+                    break
+                at, total = step[at][0], total + step[at][1]
+            found.append((int(pdf["_above"].iloc[0]), entry, at, total))
+        return pd.DataFrame(found, columns=["_node", "entry", "after", "steps"])
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, total, found = int(pdf["start"].iloc[0]), int(pdf["before"].iloc[0]), []
+        for node, step in table(pdf).items():
+            found.append((node, at, total))
+            if at in step:
+                at, total = step[at][0], total + step[at][1]
+        return pd.DataFrame(found, columns=["_node", "start", "before"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        m = int((pdf["_i"] < (int(pdf["_node"].iloc[0]) + 1) * block).sum())
+        starts, packed = _next_starts(pdf["prepared"].to_numpy(), pdf["bytes"].to_numpy(), limits)
+        begins, i = np.zeros(m, dtype=np.int64), int(pdf["start"].iloc[0])
+        while i < m:
+            begins[i], i = 1, int(starts[i])
+        out = pdf.iloc[:m]
+        outcome = np.where(packed[:m], "packed", np.where(out["prepared"], "too_large", "unprepared"))
+        return out[["entry_id", "position"]].assign(batch_no=int(pdf["before"].iloc[0]) + np.cumsum(begins), outcome=outcome)
+
+    function = "_node long, entry long, after long, steps long"
+    levels = [written(dealt.groupBy("_node").applyInPandas(exits, function), "functions")]
+    above = F.floor(F.col("_node") / fan).alias("_above")
+    while nodes > 1:
+        levels.append(written(levels[-1].select("*", above).groupBy("_above").applyInPandas(compose, function), "functions"))
+        nodes = -(-nodes // fan)
+    true = spark.range(1).select(F.col("id").alias("_node"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("before"))
+    for level in reversed(levels[:-1]):
+        joined = level.select("*", above).join(true.withColumnRenamed("_node", "_above"), "_above")
+        true = written(joined.groupBy("_above").applyInPandas(descend, "_node long, start long, before long"), "offsets")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return dealt.join(true, "_node").groupBy("_node").applyInPandas(number, f"entry_id {kinds['entry_id']}, position {kinds['position']}, batch_no long, outcome string")
+
+
+def sequence_outcomes(batches: DataFrame) -> DataFrame:
+    """Per item (batch_no, outcome, limited, answered): described, failed or rate_limited.
+
+    From the first batch of all that the service limits on, no batch is sent."""
+    first = batches.where("limited").agg(F.min("batch_no").alias("_first"))
+    reached = F.coalesce(F.col("batch_no") >= F.col("_first"), F.lit(False))
+    status = F.when(reached, "rate_limited").when((F.col("outcome") == "packed") & F.col("answered"), "described").otherwise("failed")
+    return batches.join(F.broadcast(first)).withColumn("status", status).drop("_first")  # one row
+
+
 def call_outcomes(batches: DataFrame) -> DataFrame:
     """Per item (shard, position, batch_no, outcome, limited, answered): described, failed or rate_limited.
 
@@ -62,26 +166,35 @@ def call_outcomes(batches: DataFrame) -> DataFrame:
     return batches.withColumn("status", F.when(F.col("batch_no") >= first, "rate_limited").when((F.col("outcome") == "packed") & F.col("answered"), "described").otherwise("failed"))
 
 
-ITEMS = "array<struct<entry_id: string, description: string, content: string, context: string>>"
-
-
-def _as_json(value: Column) -> Column:
-    """What from_json read as text, as JSON again: objects and lists as they are, others quoted."""
-    return F.when(value.rlike(r"^\s*[{\[]"), value).otherwise(F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1))
+def _is(kind: str, value: Column) -> Column:
+    """Whether a variant is of a JSON kind."""
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
 def parse_responses(responses: DataFrame, expected: DataFrame) -> DataFrame:
     """responses (batch_no, text): JSON items as a list or a map from id to description, bare or under
     results; (batch_no, entry_id, description) of the ids expected, the first of each.
 
-    A description is a JSON object, as text; an item without one may hold its content and context
-    itself.  Items whose description is no object are left out, and so is text that is no JSON."""
-    payload = F.coalesce(F.from_json("text", "struct<results: string>")["results"], F.col("text"))
-    pairs = F.transform(F.map_entries(F.from_json(payload, "map<string, string>")), lambda e: F.struct(e["key"].alias("entry_id"), e["value"].alias("description"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("context")))
-    items = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, ITEMS)).otherwise(pairs)
-    own = F.concat(F.lit('{"content":'), _as_json(F.col("x.content")), F.lit(',"context":'), _as_json(F.col("x.context")), F.lit("}"))
-    rows = responses.select("batch_no", F.posexplode(items).alias("k", "x")).select("batch_no", "k", "x.entry_id", F.coalesce("x.description", own).alias("description"))
-    rows = rows.where(F.col("description").rlike(r"^\s*\{")).join(expected.select("batch_no", "entry_id").distinct(), ["batch_no", "entry_id"], "left_semi")
+    A description is a JSON object, as text; an item without one (or with null) that has content and
+    context, null ones too, is described by them.  JSON kinds are told apart: a text that looks like
+    an object is none.  Left out are items that are no objects or whose description is none, ids
+    that are no texts, and responses that are no JSON or name a key twice."""
+    parsed = responses.select("batch_no", F.try_parse_json("text").alias("all"))
+    fields = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
+    named = F.coalesce(F.map_contains_key(fields(F.col("all")), "results"), F.lit(False))
+    parsed = parsed.select("batch_no", F.when(named, F.try_element_at(fields(F.col("all")), F.lit("results"))).otherwise(F.col("all")).alias("items"))
+    listed = F.transform(F.try_variant_get("items", "$", "array<variant>"), lambda x: F.named_struct(F.lit("id"), F.lit(None).cast("string"), F.lit("item"), x))
+    mapped = F.transform(F.map_entries(fields(F.col("items"))), lambda x: F.named_struct(F.lit("id"), x["key"], F.lit("item"), x["value"]))
+    rows = parsed.select("batch_no", F.posexplode(F.when(_is("ARRAY", F.col("items")), listed).otherwise(mapped)).alias("k", "x")).select("batch_no", "k", "x.id", "x.item")
+    rows = rows.withColumn("own", F.when(F.col("id").isNull(), fields(F.col("item"))))
+    part = lambda name: F.try_element_at("own", F.lit(name))
+    told = F.when(F.col("id").isNotNull(), F.col("item")).otherwise(part("description"))
+    both = F.map_contains_key("own", "content") & F.map_contains_key("own", "context") & (told.isNull() | F.is_variant_null(told))
+    joined = F.concat(F.lit('{"content":'), F.to_json(part("content")), F.lit(',"context":'), F.to_json(part("context")), F.lit("}"))
+    said = F.when(_is("OBJECT", told), F.to_json(told)).when(both, joined)
+    ident = F.coalesce("id", F.when(_is("STRING", part("entry_id")), F.try_variant_get(part("entry_id"), "$", "string")))
+    rows = rows.select("batch_no", "k", ident.alias("entry_id"), said.alias("description")).where("description is not null")
+    rows = rows.join(expected.select("batch_no", "entry_id").distinct(), ["batch_no", "entry_id"], "left_semi")
     w = Window.partitionBy("batch_no", "entry_id").orderBy("k")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("batch_no", "entry_id", "description")
 

@@ -31,12 +31,19 @@ def _top(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 def lexical_candidates(docs: DataFrame, queries: list[QuerySpec]) -> DataFrame:
     """docs (collection, entry_id, tokens, token_string) that share a token with a query, with query_id and score."""
-    specs = [F.struct(F.lit(q.query_id).alias("query_id"), F.array(*map(F.lit, q.tokens)).alias("tokens"), F.lit(q.token_string).alias("token_string")) for q in queries if q.tokens]
-    if not specs:
+    asked = [q for q in queries if q.tokens]
+    if not asked:
         return docs.select("collection", "entry_id", F.lit(None).cast("string").alias("query_id"), F.lit(0).alias("score")).where("false")
-    pairs = docs.where(F.col("tokens").isNotNull()).select("collection", "entry_id", "tokens", "token_string", F.explode(F.array(*specs)).alias("q")).where(F.arrays_overlap("tokens", "q.tokens"))
-    score = F.size(F.array_intersect("tokens", "q.tokens")) + F.when(F.contains(F.col("token_string"), F.col("q.token_string")), 2).otherwise(0)
-    return pairs.select("collection", "entry_id", F.col("q.query_id").alias("query_id"), score.alias("score"))
+    # token to the numbers of the queries that hold it: a row is dealt to those it shares a token with, not to all
+    by_token = {t: [k for k, q in enumerate(asked) if t in q.tokens] for t in sorted({t for q in asked for t in q.tokens})}
+    holders = F.create_map(*(x for t, ks in by_token.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))))
+    shared = F.array_intersect("tokens", F.array(*map(F.lit, by_token)))
+    rows = docs.where(F.col("tokens").isNotNull()).select("collection", "entry_id", "token_string", F.flatten(F.transform(shared, lambda t: holders[t])).alias("hits"))
+    pairs = rows.select("collection", "entry_id", "token_string", "hits", F.explode(F.array_distinct("hits")).alias("k"))
+    named = F.array(*(F.struct(F.lit(q.query_id).alias("query_id"), F.lit(q.token_string).alias("token_string")) for q in asked))
+    q = named[F.col("k")]
+    score = F.size(F.filter("hits", lambda x: x == F.col("k"))) + F.when(F.contains(F.col("token_string"), q["token_string"]), 2).otherwise(0)
+    return pairs.select("collection", "entry_id", q["query_id"].alias("query_id"), score.alias("score"))
 
 
 def lexical_rank(docs: DataFrame, queries: list[QuerySpec], n: int) -> DataFrame:

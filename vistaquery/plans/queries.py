@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, masks, media, text
 from ..operators import catalog, filters, gallery, ingest, ranking
 from ..sources import views
+from ..sources.shared import written
 from ..sources.views import API, EXTENSIONS, MODEL, entries, flat_entries, table
 from .query import specify
 
@@ -132,8 +133,9 @@ def _(spark, d):
     return ranking.chrono_rank(_dated(spark, d), specify(DATED), N)
 
 
-def _dated(spark, d):
-    return catalog.with_dates(views.collection_docs(spark, d), views.nested(views.unique_entries(spark, d)))
+def _dated(spark, d, unique=None):
+    unique = views.unique_entries(spark, d) if unique is None else unique
+    return catalog.with_dates(views.collection_docs(spark, d, unique), views.nested(unique))
 
 
 _DT = "FROM dt WHERE entry_id IN (SELECT entry_id FROM c WHERE collection = 'context_narrative')"
@@ -191,8 +193,8 @@ def _(spark, d):
 
 
 def _found(spark, d, n):
-    specs = _specs(spark, d, LEXICAL, ["er re an", "die der"])
-    return ranking.fuse(ranking.lexical_rank(views.collection_docs(spark, d), specs, n).unionByName(ranking.semantic_rank(views.vectors(spark, d), specs, n)), n)
+    specs, unique = _specs(spark, d, LEXICAL, ["er re an", "die der"]), written(views.unique_entries(spark, d), "unique")
+    return ranking.fuse(ranking.lexical_rank(views.collection_docs(spark, d, unique), specs, n).unionByName(ranking.semantic_rank(views.vectors(spark, d, unique), specs, n)), n)
 
 
 _RE = _LEX.replace("('er re an', ['er', 're', 'an'], 'er re an'), ('die der', ['die', 'der'], 'die der'), ('le la of', ['le', 'la'], 'le la')", "('summer evening re', ['summer', 'evening', 're'], 'summer evening re'), ('1998-0x-xxtxx:xx:xx la', ['la'], 'la'), ('christmas', ['christmas'], 'christmas')")
@@ -200,7 +202,8 @@ _RE = _LEX.replace("('er re an', ['er', 're', 'an'], 'er re an'), ('die der', ['
 
 @query("hybrid_search", f"{_CHRONO}, {_COLLAPSE}{_RE}, hits AS (SELECT query_id, collection || '_lexical' AS list, entry_id, rank FROM lr WHERE rank <= 500 UNION ALL SELECT query_id, 'context_narrative_chrono', entry_id, rank FROM cc), {_FUSE}SELECT query_id, entry_id, score, (n - 1)::INT AS rank FROM fr WHERE n <= 10".replace("FROM cr WHERE rank <= 250", "FROM cr WHERE rank <= 500"))
 def _(spark, d):
-    return ranking.search(views.collection_docs(spark, d), _dated(spark, d), views.vectors(spark, d), specify(DATED), 10)
+    unique = written(views.unique_entries(spark, d), "unique")  # documents, dates and vectors read it; the tables are scanned once
+    return ranking.search(views.collection_docs(spark, d, unique), _dated(spark, d, unique), views.vectors(spark, d, unique), specify(DATED), 10)
 
 
 _FILTERS = filters.ActiveFilters("image", ("jpg", ".PNG", "webp", "tiff"), 0.0, "1996-01-01", "")
@@ -213,18 +216,43 @@ def _(spark, d):
     return filters.filtered(found, views.nested(views.unique_entries(spark, d)), _FILTERS, N)
 
 
-@query("mask_specificity", "SELECT * FROM (VALUES ('summer', 1), ('christmas', 3), ('night', 3), ('70s', 1), ('noon', 4), ('new year''s eve', 4)) t(phrase, specificity)".replace("('noon', 4)", "('noon', 4)"))
+def _phrase_sql(start: str, end: str) -> str:
+    """The parts of a date that a phrase's masks say something about, as text, lie between the masks' own."""
+    shape = [("y", 4, 0), ("mo", 2, 5), ("d", 2, 8), ("h", 2, 11), ("mi", 2, 14), ("s", 2, 17)]
+    told = [(c, n, k) for c, n, k in shape if (start[k : k + n] + end[k : k + n]).strip("X")]
+    text = " || ".join(f"lpad({c}::VARCHAR, {n}, '0')" for c, n, _ in told)
+    low, high = ("".join(m[k : k + n].replace("X", x) for _, n, k in told) for m, x in ((start, "0"), (end, "9")))
+    return f"({text}) BETWEEN '{low}' AND '{high}'"
+
+
+_PHRASES = ", ".join("('" + k.replace("'", "''") + f"', '{a}', '{b}')" for k, (a, b) in masks.SEMANTIC.items())
+_HITS_OF = " UNION ALL ".join("SELECT '" + k.replace("'", "''") + f"' AS phrase, count(*) AS n_entries FROM dt WHERE entry_id IN (SELECT entry_id FROM c WHERE collection = 'context_narrative') AND {_phrase_sql(a, b)}" for k, (a, b) in masks.SEMANTIC.items())
+
+
+@query("mask_specificity", f""", p AS (SELECT * FROM (VALUES {_PHRASES}) t(phrase, a, b)), g AS (SELECT phrase, unnest([substr(a, 1, 4), substr(a, 6, 2), substr(a, 9, 2), substr(a, 12, 2), substr(a, 15, 2), substr(a, 18, 2)]) AS x,
+  unnest([substr(b, 1, 4), substr(b, 6, 2), substr(b, 9, 2), substr(b, 12, 2), substr(b, 15, 2), substr(b, 18, 2)]) AS y FROM p),
+n AS (SELECT phrase, sum(CASE WHEN replace(x || y, 'X', '') = '' THEN 0 WHEN x = y AND NOT contains(x, 'X') THEN 2 ELSE 1 END)::INT AS specificity FROM g GROUP BY 1), h AS ({_HITS_OF})
+SELECT phrase, specificity, n_entries FROM n JOIN h USING (phrase)""")
 def _(spark, d):
-    rows = [(k, masks.specificity(*masks.SEMANTIC[k])) for k in ("summer", "christmas", "night", "70s", "noon", "new year's eve")]
-    return spark.createDataFrame(rows, "phrase string, specificity int")
+    """Every phrase's masks, with the dated entries that it stands for."""
+    rows = [(k, masks.specificity(*m)) for k, m in masks.SEMANTIC.items()]
+    matches = [F.when(masks.condition("master_date", masks.DateFilter(*m, "semantic")), F.lit(k)) for k, m in masks.SEMANTIC.items()]
+    hits = _dated(spark, d).select(F.explode(F.array_compact(F.array(*matches))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n_entries"))
+    known = spark.createDataFrame(rows, "phrase string, specificity int")
+    return known.join(hits, "phrase", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0).cast("long")))
 
 
-@query("mask_bounds", """SELECT m AS mask, a AS first_ts, b AS last_ts FROM (VALUES ('2021-05-XXTXX:XX:XX', epoch_us(TIMESTAMP '2021-05-01 00:00:00') / 1e6, epoch_us(TIMESTAMP '2021-05-31 23:59:59') / 1e6),
-('2024-02-XXTXX:XX:XX', epoch_us(TIMESTAMP '2024-02-01 00:00:00') / 1e6, epoch_us(TIMESTAMP '2024-02-29 23:59:59') / 1e6), ('199X-XX-XXTXX:XX:XX', epoch_us(TIMESTAMP '1990-01-01 00:00:00') / 1e6, epoch_us(TIMESTAMP '1999-12-31 23:59:59') / 1e6),
-('2021-05-01T1X:XX:XX', epoch_us(TIMESTAMP '2021-05-01 10:00:00') / 1e6, epoch_us(TIMESTAMP '2021-05-01 19:59:59') / 1e6)) t(m, a, b)""")
+@query("mask_bounds", """, m AS (SELECT input_pos, CAST(substr(master_date, 1, 4) AS INT) AS y, CAST(substr(master_date, 6, 2) AS INT) AS mo, CAST(substr(master_date, 9, 2) AS INT) AS d, CAST(substr(master_date, 12, 1) AS INT) AS h FROM e WHERE master_date IS NOT NULL),
+k AS (SELECT *, CASE input_pos % 4 WHEN 0 THEN make_timestamp(y, mo, 1, 0, 0, 0.0) WHEN 1 THEN make_timestamp(y // 10 * 10, 1, 1, 0, 0, 0.0) WHEN 2 THEN make_timestamp(y, mo, d, h * 10, 0, 0.0) ELSE make_timestamp(y, mo, 1, 0, 0, 0.0) + to_days((CASE WHEN d // 10 = 0 THEN 1 ELSE least(d // 10 * 10, day(last_day(make_date(y, mo, 1)))) END - 1)::INT) END AS a FROM m)
+SELECT input_pos, CASE WHEN input_pos % 4 = 2 AND h = 2 THEN NULL ELSE epoch_us(a) / 1e6 END AS first_ts, CASE input_pos % 4 WHEN 0 THEN epoch_us(a + INTERVAL 1 MONTH) / 1e6 - 1 WHEN 1 THEN epoch_us(a + INTERVAL 10 YEAR) / 1e6 - 1 WHEN 2 THEN CASE WHEN h < 2 THEN epoch_us(a + INTERVAL 10 HOUR) / 1e6 - 1 END
+  ELSE epoch_us(make_timestamp(y, mo, 1, 0, 0, 0.0) + to_days(least(d // 10 * 10 + 9, day(last_day(make_date(y, mo, 1))))::INT)) / 1e6 - 1 END AS last_ts FROM k""")
 def _(spark, d):
-    rows = [(m, *(x.timestamp() for x in masks.bounds(m))) for m in ("2021-05-XXTXX:XX:XX", "2024-02-XXTXX:XX:XX", "199X-XX-XXTXX:XX:XX", "2021-05-01T1X:XX:XX")]
-    return spark.createDataFrame(rows, "mask string, first_ts double, last_ts double")
+    """Masks of months, decades, tens of hours (of which the third ends after the day) and tens of days, made of the entries' dates."""
+    at = lambda k, n: F.substring("master_date", k, n)
+    kind = F.col("input_pos") % 4
+    mask = F.when(kind == 0, F.concat(at(1, 7), F.lit("-XXTXX:XX:XX"))).when(kind == 1, F.concat(at(1, 3), F.lit("X-XX-XXTXX:XX:XX"))).when(kind == 2, F.concat(at(1, 12), F.lit("X:XX:XX"))).otherwise(F.concat(at(1, 9), F.lit("XTXX:XX:XX")))
+    first, last = masks.bounds_columns(mask)
+    return flat_entries(spark, d).where("master_date is not null").select("input_pos", first.alias("first_ts"), last.alias("last_ts"))
 
 
 # --- Hashes, names, scalars --------------------------------------------------------------------

@@ -72,17 +72,19 @@ def unique_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(flat_entries(spark, sf_dir), "file_hash", "input_pos")
 
 
-def collection_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(collection, entry_id, document, tokens, token_string, token_count) of the unique entries."""
+def collection_docs(spark: SparkSession, sf_dir: str, unique: DataFrame | None = None) -> DataFrame:
+    """(collection, entry_id, document, tokens, token_string, token_count) of the unique entries (unique: a table of them that is there)."""
     rows = [("content_narrative", F.col("text")), ("context_narrative", F.col("line1")), ("lexical_keywords", F.concat_ws(", ", "lang", "source")), ("ocr_content", F.col("line2")), ("other_data", F.col("source"))]
-    docs = unique_entries(spark, sf_dir).select("entry_id", F.explode(F.array(*(F.struct(F.lit(c).alias("collection"), x.alias("document")) for c, x in rows))).alias("x"))
+    unique = unique_entries(spark, sf_dir) if unique is None else unique
+    docs = unique.select("entry_id", F.explode(F.array(*(F.struct(F.lit(c).alias("collection"), x.alias("document")) for c, x in rows))).alias("x"))
     docs = docs.select("x.collection", "entry_id", "x.document").where(F.coalesce(F.col("document") != "", F.lit(False)))
     return docs.withColumns(token_columns(F.col("document")))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, unique: DataFrame | None = None) -> DataFrame:
     """Embeddings of the unique entries whose number they have, as those of the long texts."""
-    e = unique_entries(spark, sf_dir).select("entry_id", F.col("input_pos").alias("vec_id"))
+    unique = unique_entries(spark, sf_dir) if unique is None else unique
+    e = unique.select("entry_id", F.col("input_pos").alias("vec_id"))
     return table(spark, sf_dir, "embeddings").join(e, "vec_id").select(F.lit("content_narrative").alias("collection"), "entry_id", "embedding")
 
 
