@@ -76,3 +76,34 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+CLASHING = "doc_id long, text string, kept int, rejected_by long, n_words string, n_removed string, part int, sig long, ord string, carried_columns string, n_chars int, `a b` long"
+
+
+def test_further_columns_and_calls_side_by_side(spark):
+    """Clashing names pass unchanged, null and repeated doc_ids and a text of 5 MB are rows like others, and one call leaves another's rows alone."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(n))
+    long, passage = text(800_000), text(60)
+    assert len(long) > 5_000_000
+    texts = [(k, text(100)) for k in range(12)] + [(5, text(90)), (None, text(80)), (None, text(70)), (20, long), (21, f"{text(60)} {passage}"), (22, f"{text(60)} {passage}")]
+    texts += [(30, texts[3][1]), (31, "few words"), (32, None)]
+    row = lambda k, t: (k, t, 7, -1, "own", "mine", 3, 4, "o", "c", len(t or ""), 9)
+    docs = spark.createDataFrame([row(k, t) for k, t in texts], CLASHING).repartition(3)
+    kept = [(k, t) for k, t in texts if k not in (31, 32)]
+    first = pipeline.quality(spark, docs, "")
+    assert first.schema == docs.schema
+    same(first.collect(), [row(*r) for r in kept])
+    one, two = pipeline.near_duplicates(spark, first, ""), pipeline.near_duplicates(spark, first.where("doc_id < 10"), "")
+    assert one.schema == docs.schema
+    once = [r for r in kept if r[0] != 30]
+    same(one.collect(), [row(*r) for r in once])
+    same(two.collect(), [row(*r) for r in once if r[0] is not None and r[0] < 10])
+    again, other = pipeline.repeated_passages(spark, one, ""), pipeline.repeated_passages(spark, two, "")
+    assert again.schema == docs.schema
+    short = " ".join(texts[17][1].split()[:60])
+    same(again.collect(), [row(k, short if k == 22 else t) for k, t in once])
+    same(other.collect(), two.collect())
+    assert pipeline.sequences(spark, again, "").agg({"length": "sum"}).first()[0] > 100_000
+    same(one.collect(), [row(*r) for r in once])
