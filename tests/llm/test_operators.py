@@ -3,6 +3,7 @@ repeated rows, empty tables and further columns whose names clash."""
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -185,6 +186,18 @@ def test_html_is_deep_and_long():
     assert html_text.html_to_text("word " * 200_000).count("word") == 200_000
 
 
+def test_html_buttons_and_ruby():
+    assert html_text.html_to_text('<p>a <input type=submit value="Go &amp; see"> b<input type=text value=no> <input type="RESET"><input type=button hidden value=x><input type=button></p>') == "a Go & see b Reset"
+    assert html_text.html_to_text("<ruby>k<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "kkan"
+
+
+@pytest.mark.parametrize("html", ["<p><button>" + "<div>" * 100_000, "<p>" * 100_000, "<ul><li><b>" * 50_000 + "</b>" * 50_000, "<table><tr><td>" * 20_000 + "</p></b></div>" * 20_000])
+def test_html_trees_take_linear_time(html):
+    began = time.process_time()
+    html_text.parse(html)
+    assert time.process_time() - began < 15  # seconds; hours if every tag looked through the open elements
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (None, None, None)], "page_id long, html string, text string")
     same(html_text.extract_text(pages).select("page_id", "text").collect(), [(1, "a"), (1, "a"), (None, "")])
@@ -347,6 +360,25 @@ def test_packing_replays_the_rule(spark):
 # --- 4: embeddings ---
 
 
+def test_forest_depth_and_recall():
+    """Tables of a few hundred vectors are split; of pairs near the threshold most meet in trees of 12 levels."""
+    assert [rp_forest.depth_of(n) for n in (1, 64, 127, 128, 256, 500, 2000, 16384, 65536, 1 << 25)] == [0, 0, 0, 1, 2, 2, 2, 2, 3, 12]
+    rnd = np.random.Generator(np.random.PCG64(5))
+    sample = rp_forest._unit(rnd.standard_normal((20000, 64)))
+    a = rp_forest._unit(rnd.standard_normal((1000, 64)))
+    other = rnd.standard_normal((1000, 64))
+    other = rp_forest._unit(other - np.einsum("ij,ij->i", a, other)[:, None] * a)
+    b = 0.952 * a + np.sqrt(1 - 0.952**2) * other
+    met, copies = np.zeros(1000, dtype=bool), 0
+    for t in range(rp_forest.TREES):
+        tree = rp_forest.Tree(t, sample, 12, 0.95)
+        (row, leaf), (there, at) = tree.route(a), tree.route(b)
+        copies += len(row) / 1000
+        pairs = {*zip(row.tolist(), leaf.tolist())} & {*zip(there.tolist(), at.tolist())}
+        met[[r for r, _ in pairs]] = True
+    assert met.mean() >= 0.97 and copies <= 20
+
+
 def test_rp_forest(spark, monkeypatch):
     for name, value in (("LEAF", 30), ("BLOCK", 50), ("ROWS", 16)):
         monkeypatch.setattr(rp_forest, name, value)

@@ -21,7 +21,8 @@ in a column of a name that is given.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -32,10 +33,12 @@ WIDE = 60
 GAP = "  "
 #: Fixed values of HTML: the most columns and rows that a cell spans.
 COLSPAN, ROWSPAN = 1000, 65534
+#: Fixed values of HTML: inputs that show their value, and what they show without one.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 #: Fixed values of HTML: element names by the role that they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist input link meta base param source track area map #unseen".split())
+UNSEEN = frozenset("rp head title script style template noscript noembed noframes iframe object audio video canvas datalist input link meta base param source track area map #unseen".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr menu dir fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav option optgroup section summary search tr caption #label".split())
 CLOSES_P = BLOCK - frozenset("body html tr caption option optgroup legend".split())
@@ -99,26 +102,26 @@ def parse(html: str) -> Node:
     stack = [root]
     foreign = [False]  # whether children of the open elements are SVG or MathML
     renamed: list[tuple[Node, str]] = []
-    depth: dict[str, int] = {}  # open elements by name
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a name are
 
     def pop_to(k: int) -> None:
         for x in stack[k:]:
-            depth[x.tag] -= 1
+            places[x.tag].pop()
         del stack[k:], foreign[k:]
 
+    def nearest(tags) -> int:
+        """Where the last open element of tags is; 0: none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags, limit) -> None:
         """Ends an open element of tags within the nearest of limit: of rows and cells the outermost, else the nearest."""
-        if not any(depth.get(t) for t in tags):
-            return
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in limit:
-                break
-            if stack[k].tag in tags:
-                found = k
-                if "table" not in limit or tags is _P:
-                    break
-        if found:
+        wall = nearest(limit)
+        if "table" not in limit or tags is _P:
+            found = nearest(tags)
+        else:
+            beyond = [p[bisect_right(p, wall)] for t in tags if (p := places.get(t)) and p[-1] > wall]
+            found = min(beyond, default=0)
+        if found > wall:
             pop_to(found)
 
     at, n = 0, len(html)
@@ -157,13 +160,10 @@ def parse(html: str) -> Node:
             if at < 0:
                 break
         if closing:
-            if depth.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
-                    if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
+            if places.get(tag):
+                k = places[tag][-1]
+                if tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or nearest(("td", "th", "table")) <= k:
+                    pop_to(k)
             elif tag in ("br", "p"):
                 stack[-1].children.append(Node(tag, {}))
             continue
@@ -172,7 +172,7 @@ def parse(html: str) -> Node:
             while foreign[k]:
                 k -= 1
             pop_to(k + 1)
-        if tag in CLOSES_P and depth.get("p"):
+        if tag in CLOSES_P and places.get("p"):
             close(_P, _P_LIMIT)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
@@ -191,6 +191,9 @@ def parse(html: str) -> Node:
                 node.children.append(" ")
             if alone:
                 continue
+        if tag == "input" and (label := BUTTONS.get(attributes.get("type", "").strip().lower())) is not None:
+            stack[-1].children[-1] = Node("span", attributes)
+            stack[-1].children[-1].children.append(attributes.get("value", label).replace("&", "&amp;"))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -201,10 +204,10 @@ def parse(html: str) -> Node:
             gt = html.find(">", end.end())
             at = n if gt < 0 else gt + 1
             continue
+        places[tag].append(len(stack))
         stack.append(node)
         again = tag in HTML_AGAIN or tag == "annotation-xml" and attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
         foreign.append(tag in ("svg", "math") or inside and not again)
-        depth[tag] = depth.get(tag, 0) + 1
     for node, name in renamed:
         node.tag = name
     return root

@@ -36,6 +36,8 @@ from .components import components
 from .work import free_now, remove, work_dir
 
 TREES, LEAF, BLOCK, SAMPLE, ROWS = 4, 8192, 16384, 20000, 1024
+#: Vectors for each of the four leaves that smaller tables are split into.
+SMALL = 64
 #: The margin in standard deviations of the projected difference of two vectors at the threshold.
 SPILL = 0.5
 #: Levels whose thresholds differ by node; deeper ones differ by the node's ancestor at this level.
@@ -49,6 +51,11 @@ def direction(tree: int, level: int, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
+def depth_of(n: int) -> int:
+    """Levels of a tree of n vectors: leaves hold about LEAF of them, and tables of 4 * SMALL and more are split twice at least."""
+    return max(math.ceil(math.log2(n / LEAF)), min(2, int(math.log2(n / SMALL)))) if n > SMALL else 0
+
+
 def margin(dim: int, threshold: float) -> float:
     return SPILL * math.sqrt(max(2 * (1 - threshold), 0) / dim)
 
@@ -182,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     for dim, n in sizes.items():
         own = [r.vector for r in sample if r.dim == dim]
         x = _unit(_vectors(own, kind).astype(np.float64)) if own else np.zeros((0, dim))
-        forest[dim] = [Tree(t, x, max(0, math.ceil(math.log2(n / LEAF))), threshold) for t in range(trees if n > LEAF else 1)]
+        forest[dim] = [Tree(t, x, depth_of(n), threshold) for t in range(trees if depth_of(n) else 1)]
     shared = spark.sparkContext.broadcast(forest)  # fitted on SAMPLE vectors: 2**NODE_LEVELS thresholds a level at most
 
     def routes(last: int, dim: int, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
