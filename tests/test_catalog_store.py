@@ -393,3 +393,31 @@ def test_bounds_of_a_column_of_masks(spark):
     first, last = masks.bounds_columns(F.col("m"))
     got = {r.m: (r.a, r.b) for r in spark.createDataFrame([(m,) for m in some], "m string").select("m", first.alias("a"), last.alias("b")).collect()}
     assert got == want and sum(a is not None for a, _ in want.values()) > 20
+
+
+def test_prompt_sections(tmp_path):
+    from vistaquery.plans import config
+
+    (tmp_path / "admin.md").write_text("up to __batch_size__ items, __other__")
+    (tmp_path / "item.md").write_text("one")
+    assert config.prompt_sections(str(tmp_path), 20) == {"admin": "up to 20 items, __other__", "item": "one"}
+    assert config.history_user({}) == "local" and config.history_user({"MEDIA_SEARCH_HISTORY_USER": "me"}) == "me"
+
+
+def test_history_label_and_normalized(spark):
+    rows = spark.createDataFrame([("2024-05-06T07:08:09+00:00", "cats", ["a", "b"]), ("2024-05-06T07:08:09+00:00", "", []), (None, None, None)], "t string, q string, ids array<string>")
+    got = [r[0] for r in rows.select(gallery.history_label(F.col("t"), F.col("q"), F.col("ids"))).collect()]
+    assert got == ["2024-05-06 07:08 · cats · 2 result(s)", "2024-05-06 07:08 · Untitled search · 0 result(s)", " · Untitled search · 0 result(s)"]
+    times = spark.range(1).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-05-06 07:08:09.5'").alias("created_at"))
+    assert tuple(gallery.normalized_history(times).first()) == ("0", "2024-05-06T07:08:09+00:00")
+    assert gallery.normalized_history(times.withColumn("created_at", F.lit("as it is"))).first().created_at == "as it is"
+
+
+def test_mime_and_epochs(spark):
+    from vistaquery.functions import dates, media
+
+    rows = spark.createDataFrame([("jpg", "image"), ("avi", "video"), ("pdf", ""), ("odd", "video"), ("odd", ""), ("", "image"), (None, "")], "e string, k string")
+    assert [r[0] for r in rows.select(media.mime_type(F.col("e"), F.col("k"))).collect()] == ["image/jpeg", "video/x-msvideo", "application/pdf", "video/odd", "", "", ""]
+    assert [r[0] for r in rows.select(media.compatible(F.col("e"))).collect()] == [True, True, False, False, False, False, False]
+    epochs = spark.createDataFrame([(1714979289.5,), (1714979289.0,), (0.0,), (4e10,), (None,)], "s double")
+    assert [r[0] for r in epochs.select(dates.format_epoch(F.col("s"))).collect()] == ["2024-05-06T07:08:09.500000+00:00", "2024-05-06T07:08:09+00:00", None, None, None]

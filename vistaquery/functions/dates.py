@@ -49,7 +49,17 @@ def format_datetime(c: Column, latest: Column | None = None) -> Column:
 
 
 def format_epoch(c: Column, latest: Column | None = None) -> Column:
-    return format_datetime(F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), latest)
+    """Seconds since 1970 as text in UTC, with their fraction to the microsecond, if the year is 1980 or later and it is no later than tomorrow; else null."""
+    latest = latest if latest is not None else F.current_timestamp() + F.expr("INTERVAL 1 DAY")
+    t = F.timestamp_micros(F.round(c.cast("double") * 1e6).cast("long"))
+    micros = F.date_format(t, "SSSSSS")
+    text = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+    return F.when((F.year(t) >= 1980) & (t <= latest), text)
+
+
+def format_datetimes(c: Column, latest: Column | None = None) -> Column:
+    """format_datetime() of each element of a list; what can't be read is null."""
+    return F.transform(c, lambda x: format_datetime(x, latest))
 
 
 def parse_embedded(c: Column, latest: Column | None = None) -> Column:

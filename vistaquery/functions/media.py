@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import mimetypes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,18 +23,22 @@ MIME = {
 }
 GALLERY_IMAGES = ["avif", "jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "heic", "heif"]
 GALLERY_VIDEOS = ["mp4", "mpeg", "mov", "avi", "mpg", "webm", "wmv", "3gpp"]
+COMPATIBLE = ["jpg", "jpeg", "png", "webp", "heic", "heif", *VIDEOS]
 #: Descriptions in a request by rigor, request limits and overheads in bytes.
 BATCH_SIZES = {"very low": 50, "low": 20, "medium": 10, "high": 5, "very high": 2, "extreme": 1}
 MAX_INLINE_BYTES = 18 * 1024 * 1024
 TEXT_OVERHEAD, PART_OVERHEAD, CONTAINER_OVERHEAD = 64, 128, 512
 #: Embedded metadata that is kept.
-EXIF_KEYS = """Filename Ext MimeType DateItems DateTime DateTimeOriginal DateTimeDigitized OffsetTime OffsetTimeOriginal
-OffsetTimeDigitized SubsecTime SubsecTimeOriginal SubsecTimeDigitized GPSDateStamp GPSTimeStamp GPSLatitude GPSLatitudeRef
-GPSLongitude GPSLongitudeRef GPSAltitude GPSAltitudeRef GPSImgDirection GPSImgDirectionRef GPSDestBearing GPSDestBearingRef
-GPSAreaInformation DigitalZoomRatio XResolution YResolution ExifImageWidth ExifImageHeight SceneCaptureType Make Model LensMake
-LensModel Orientation FNumber FocalLength ApertureValue Flash ExposureTime ShutterSpeedValue Software ImageDescription
-UserComment SceneType SubjectArea SubjectLocation AmbientTemperature Humidity Pressure SubjectDistance Artist Copyright Rating
-ISO ISOSpeedRatings XPTitle XPComment XPAuthor XPKeywords XPSubject""".split()
+EXIF_KEYS = [
+    "Filename", "Ext", "MimeType", "DateItems", "DateTime", "DateTimeOriginal", "DateTimeDigitized", "OffsetTime", "OffsetTimeOriginal",
+    "OffsetTimeDigitized", "SubsecTime", "SubsecTimeOriginal", "SubsecTimeDigitized", "GPSDateStamp", "GPSTimeStamp", "GPSLatitude", "GPSLatitudeRef",
+    "GPSLongitude", "GPSLongitudeRef", "GPSAltitude", "GPSAltitudeRef", "GPSImgDirection", "GPSImgDirectionRef", "GPSDestBearing",
+    "GPSDestBearingRef", "GPSAreaInformation", "DigitalZoomRatio", "XResolution", "YResolution", "ExifImageWidth", "ExifImageHeight",
+    "SceneCaptureType", "Make", "Model", "LensMake", "LensModel", "Orientation", "FNumber", "FocalLength", "ApertureValue", "Flash", "ExposureTime",
+    "ShutterSpeedValue", "Software", "ImageDescription", "UserComment", "SceneType", "SubjectArea", "SubjectLocation", "AmbientTemperature",
+    "Humidity", "Pressure", "SubjectDistance", "Artist", "Copyright", "Rating", "ISO", "ISOSpeedRatings", "XPTitle", "XPComment", "XPAuthor",
+    "XPKeywords", "XPSubject",
+]
 
 
 def media_type(ext: Column) -> Column:
@@ -41,11 +46,17 @@ def media_type(ext: Column) -> Column:
 
 
 def mime_type(ext: Column, kind: Column) -> Column:
-    """By table, else kind/ext, else empty."""
-    table = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+    """By table, else what Python's own table has for the extension, else kind/ext, else empty."""
+    known = {e[1:]: t for e, t in mimetypes.MimeTypes(()).types_map[1].items()} | MIME
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     return F.coalesce(F.try_element_at(table, ext), F.when((kind != "") & (ext != ""), F.concat_ws("/", kind, ext)), F.lit(""))
 
 
+def compatible(ext: Column) -> Column:
+    """Whether a model takes files of that kind as they are."""
+    return F.coalesce(ext.isin(COMPATIBLE), F.lit(False))
+
+
 def model_hash(api: str, model: str) -> str:
     return hashlib.sha1(f"{api}{model}".encode()).hexdigest()
 

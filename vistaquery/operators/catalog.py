@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import date_part_columns
 from ..functions.text import blank_to_null, combine, list_part, sentence_part, token_columns, word_part
@@ -161,3 +162,35 @@ def overridden(files: DataFrame, overrides: DataFrame, columns: list[str]) -> Da
     b = o.select(F.col("path").alias("raw_path"), F.struct(*columns).alias("_b"))
     joined = files.join(a, "file_path", "left").join(b, "raw_path", "left").withColumn("_o", F.coalesce("_a", "_b"))
     return joined.withColumns({c: F.coalesce(F.col(f"_o.{c}"), F.col(c)) for c in columns}).drop("_a", "_b", "_o")
+
+
+def collection_get(rows: DataFrame, ids: DataFrame | None = None, where: Column | None = None, limit: int | None = None) -> DataFrame:
+    """rows (collection, entry_id, ...) of ids (entry_id) that a condition holds for; of each collection the first limit by id."""
+    found = rows if ids is None else rows.join(ids.select("entry_id").distinct(), "entry_id", "left_semi")
+    found = found if where is None else found.where(where)
+    if limit is None:
+        return found
+    w = Window.partitionBy("collection").orderBy("entry_id")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def browse_rows(rows: DataFrame, metadata: list[str], embedding: str | None = None) -> DataFrame:
+    """What a viewer lists of rows (collection, entry_id, document, ...): the names of the metadata columns that are set, and the embedding's shape."""
+    keys = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in sorted(metadata)))), ", ")
+    shape = F.lit("") if embedding is None else F.when(F.col(embedding).isNull(), "").otherwise(F.concat(F.lit("("), F.size(embedding), F.lit(",)")))
+    return rows.select("collection", F.col("entry_id").alias("id"), F.coalesce("document", F.lit("")).alias("document"), keys.alias("metadata_keys"), shape.alias("embedding"))
+
+
+def jsonable(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON object; nested records and lists stay nested, other kinds of value are text."""
+
+    def plain(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*(plain(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: plain(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.map_from_entries(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string"), plain(e["value"], kind.valueType))))
+        return value if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType) else value.cast("string")
+
+    return rows.select(F.to_json(F.struct(*(plain(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields)), {"ignoreNullFields": "false"}).alias("json"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.media import GALLERY_IMAGES, display_name
 from .catalog import creation_date, fully_indexed, has_description, upload_date
@@ -86,8 +87,21 @@ def history_upsert(old: DataFrame, new: DataFrame, limit: int = HISTORY_LIMIT) -
 
 
 def history_label(created_at: Column, query: Column, ids: Column) -> Column:
-    text = F.coalesce(F.nullif(F.trim(query), F.lit("")), F.lit("(no text)"))
-    return F.concat(F.substring(created_at, 1, 16), F.lit(" · "), text, F.lit(" · "), F.size(ids), F.lit(" results"))
+    """What a list of searches shows of one: when (an ISO text), what and how many results."""
+    when = F.replace(F.substring(F.coalesce(created_at, F.lit("")), 1, 16), F.lit("T"), F.lit(" "))
+    text = F.coalesce(F.nullif(query, F.lit("")), F.lit("Untitled search"))
+    count = F.when(ids.isNull(), 0).otherwise(F.size(ids))
+    return F.concat(when, F.lit(" · "), text, F.lit(" · "), count, F.lit(" result(s)"))
+
+
+def normalized_history(history: DataFrame, ident: str = "event_id", at: str = "created_at") -> DataFrame:
+    """history with ids as text and times as ISO text, to the second, in the session's zone; times without a zone are UTC, texts stay."""
+    kind = history.schema[at].dataType
+    when = F.col(at)
+    if isinstance(kind, T.TimestampNTZType):
+        when = F.to_timestamp(F.concat(F.date_format(when, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")), "yyyy-MM-dd HH:mm:ss.SSSSSSxxx")
+    text = when if isinstance(kind, T.StringType) else F.date_format(when, "yyyy-MM-dd'T'HH:mm:ssxxx")
+    return history.withColumns({ident: F.col(ident).cast("string"), at: text})
 
 
 def clean_scores(scores: Column) -> Column:

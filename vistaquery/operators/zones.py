@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Degrees of a cell's side.
 CELL = 2.0
 
 
 def degrees(dms: Column, ref: Column, negative: str) -> Column:
     """Decimal degrees of an array of degrees, minutes and seconds; ref negative: south or west.  Null unless all are there."""
-    x = F.element_at(dms, 1).try_cast("double") + F.element_at(dms, 2).try_cast("double") / 60 + F.element_at(dms, 3).try_cast("double") / 3600
-    return F.when((F.size(dms) >= 3) & (ref != ""), F.when(F.upper(F.trim(ref)) == negative, -x).otherwise(x))
+    numbers = F.transform(dms, lambda v: v.try_cast("double"))
+    part = lambda k: F.try_element_at(numbers, F.lit(k))
+    x = part(1) + part(2) / 60 + part(3) / 3600
+    return F.when(ref != "", F.when(F.upper(strip(ref)) == negative, -x).otherwise(x))
 
 
 def _cell(x: Column) -> Column:

@@ -7,16 +7,16 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import media
+from ..functions import dates, media
 from ..operators import catalog, describe, gallery, ingest, ingest_run, zones
 from ..operators.lexical_index import build_lexical_index
 from ..operators.vector_index import build_vector_index
-from ..sources import embedded, views
+from ..sources import embedded, scan, views
 from ..sources.effects import delete_uploads, store_uploads
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from ..sources.store import BucketedStore
 from ..sources.views import entries, flat_entries, table
-from .queries import _ITEM, _LEX, _LIMITS, _MODEL, _RECORD, _SEM, _specs, LEXICAL, N, ORACLES, query
+from .queries import _ITEM, _LEX, _LIMITS, _MIME, _MODEL, _RECORD, _SEM, _specs, LEXICAL, N, ORACLES, query
 from .query import specify
 
 # --- Model responses, by JSON kind ---------------------------------------------------------------
@@ -182,6 +182,55 @@ def _store(spark, rows, keys=("entry_id",)):
     return store
 
 
+@query("collection_get", ", k AS (SELECT collection, entry_id, document, row_number() OVER (PARTITION BY collection ORDER BY entry_id) AS n FROM c WHERE list_contains(tokens, 'en') AND entry_id IN (SELECT entry_id FROM u WHERE input_pos % 2 = 0)) SELECT collection, entry_id, document FROM k WHERE n <= 7")
+def _(spark, d):
+    u = views.unique_entries(spark, d)
+    ids = u.where("input_pos % 2 = 0").select("entry_id")
+    return catalog.collection_get(views.collection_docs(spark, d, u), ids, F.array_contains("tokens", "en"), 7).select("collection", "entry_id", "document")
+
+
+@query("collection_rows", """, v AS (SELECT u.entry_id, len(x.embedding) AS n FROM embeddings x JOIN u ON u.input_pos = x.vec_id)
+SELECT collection, c.entry_id AS id, document, CASE WHEN len(tokens) > 0 THEN 'token_count, token_string, tokens' ELSE 'token_count, token_string' END AS metadata_keys, CASE WHEN collection = 'content_narrative' AND n IS NOT NULL THEN '(' || n || ',)' ELSE '' END AS embedding FROM c LEFT JOIN v USING (entry_id)""")
+def _(spark, d):
+    u = written(views.unique_entries(spark, d), "unique")
+    rows = views.collection_docs(spark, d, u).join(views.vectors(spark, d, u), ["collection", "entry_id"], "left")
+    return catalog.browse_rows(rows, ["tokens", "token_string", "token_count"], "embedding")
+
+
+@query("jsonable", "SELECT input_pos, entry_id, file_name AS name, CASE WHEN described THEN lang END AS background, CASE WHEN described THEN source END AS second FROM e")
+def _(spark, d):
+    """Entries as JSON, of which some fields are read again."""
+    rows = catalog.jsonable(entries(spark, d).withColumn("day", F.lit("2024-01-01").cast("date")))
+    get = lambda path: F.get_json_object("json", path)
+    return rows.select(get("$.input_pos").cast("long").alias("input_pos"), get("$.entry_id").alias("entry_id"), get("$.metadata.file_name").alias("name"), get("$.description.content.background").alias("background"), get("$.description.content.objects[1]").alias("second"))
+
+
+@query("history_normalized", "SELECT event_id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at FROM events")
+def _(spark, d):
+    return gallery.normalized_history(table(spark, d, "events").select("event_id", F.col("ts").alias("created_at")))
+
+
+@query("format_datetime_kinds", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN '.250000' ELSE '' END || '+00:00' END AS epoch,
+strftime(ts, '%Y-%m-%d') || 'T00:00:00+00:00' AS first, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' END AS second FROM events""")
+def _(spark, d):
+    """Numbers and lists: seconds since 1970, some before 1980, and texts of which some are no dates."""
+    moment = F.date_trunc("second", F.col("ts"))
+    seconds = F.unix_seconds(moment.cast("timestamp")) + F.when(F.col("event_id") % 2 == 0, 0.25).otherwise(0.0)
+    epoch = F.when(F.col("event_id") % 3 == 0, F.lit(100_000_000.0)).otherwise(seconds)
+    texts = dates.format_datetimes(F.array(F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 5 == 0, "no date").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))))
+    return table(spark, d, "events").select("event_id", dates.format_epoch(epoch).alias("epoch"), texts[0].alias("first"), texts[1].alias("second"))
+
+
+@query("file_metadata_scan", """, p AS (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY input_pos) AS n FROM e WHERE length(text) > 0)
+SELECT file_hash, file_hash || '.' || ext AS file_name, ext, media_type, CASE ext """ + _MIME + """ ELSE '' END AS mime_type, ext IN ('jpg', 'jpeg', 'png', 'webp', 'heic', 'heif', 'mp4', 'mpeg', 'mov', 'avi', 'x-flv', 'mpg', 'webm', 'wmv', '3gpp') AS is_compat FROM p WHERE n = 1""")
+def _(spark, d):
+    """Files made of the documents, scanned as a folder."""
+    root = new_folder(spark, "scan")
+    uploads = flat_entries(spark, d).select(F.col("input_pos").alias("position"), F.concat(F.lit("x."), "ext").alias("name"), F.encode("text", "UTF-8").alias("payload"))
+    store_uploads(uploads, views.nested(views.unique_entries(spark, d).limit(0)), root, datetime(2024, 5, 6))
+    return scan.file_metadata(scan.scan_folder(spark, root)).select("file_hash", "file_name", "ext", "media_type", "mime_type", "is_compat")
+
+
 @query("store_changes", """, s AS (SELECT entry_id, CASE WHEN input_pos % 5 = 0 THEN 'new text' ELSE line1 END AS summary, CASE WHEN input_pos % 11 = 0 THEN '2020-01-01T00:00:00+00:00' ELSE indexed_at END AS indexed_at FROM u WHERE input_pos % 7 <> 0)
 SELECT * FROM s UNION ALL SELECT 'added' || input_pos, 'added', NULL FROM u WHERE input_pos % 97 = 0""")
 def _(spark, d):

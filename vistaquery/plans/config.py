@@ -7,6 +7,7 @@ import time
 from collections.abc import Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from ..functions.media import BATCH_SIZES, MAX_INLINE_BYTES
 
@@ -59,6 +60,17 @@ def render(template: str, values: Mapping[str, str]) -> str:
     return template
 
 
+def prompt_sections(folder: str, batch_size: int) -> dict[str, str]:
+    """The templates admin, prompt and item of a folder, with __batch_size__ filled in; those that are not there are left out."""
+    found = {name: os.path.join(folder, f"{name}.md") for name in ("admin", "prompt", "item")}
+    return {name: render(Path(path).read_text(), {"batch_size": str(batch_size)}) for name, path in found.items() if os.path.isfile(path)}
+
+
+def history_user(env: Mapping[str, str] | None = None) -> str:
+    """Whose searches are kept."""
+    return (os.environ if env is None else env).get("MEDIA_SEARCH_HISTORY_USER", "local")
+
+
 def merge(old: dict, new: dict) -> dict:
     """Dictionaries merge key by key, lists follow one another, anything else is the new one's."""
     out = dict(old)

@@ -23,7 +23,7 @@ _STOP = ", ".join(f"'{x}'" for x in text.STOPWORDS)
 _IMAGES = ", ".join(f"'{x}'" for x in media.IMAGES)
 _VIDEOS = ", ".join(f"'{x}'" for x in media.VIDEOS)
 _GALLERY = ", ".join(f"'{x}'" for x in media.GALLERY_IMAGES)
-_MIME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in media.MIME.items())
+_MIME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in media.MIME.items()) + " WHEN 'txt' THEN 'text/plain'"
 _MODEL = f"sha1('{API}{MODEL}')"
 _TS = "strftime(v.ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
@@ -741,7 +741,7 @@ def _(spark, d):
     return _history(spark, d).where("history_user != 'u1'").groupBy("history_user").agg(F.count("*").alias("n"))
 
 
-@query("history_label", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M') || ' · ' || event_type || ' · 1 results' AS label FROM events")
+@query("history_label", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') || ' · ' || event_type || ' · 1 result(s)' AS label FROM events")
 def _(spark, d):
     return _history(spark, d).select("event_id", gallery.history_label(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.col("query"), F.col("ids")).alias("label"))
 

@@ -1,14 +1,11 @@
-"""File scans: folders and path lists as metadata rows, with pluggable readers of embedded data."""
+"""File scans: folders and path lists as metadata rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.media import base_name, extension, media_type, mime_type
+from ..functions.media import base_name, compatible, extension, media_type, mime_type
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -29,14 +26,4 @@ def file_metadata(files: DataFrame) -> DataFrame:
     out = files.withColumns({"file_hash": F.sha2("content", 256), "file_path": path, "file_name": base_name(path)})
     out = out.withColumn("ext", extension(F.col("file_name"))).withColumn("media_type", media_type(F.col("ext")))
     changed = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    return out.withColumns({"mime_type": mime_type(F.col("ext"), F.col("media_type")), "modification_date": changed}).drop("content")
-
-
-def embedded(files: DataFrame, read: Callable[[bytes], dict[str, str]]) -> DataFrame:
-    """files (file_hash, content) with the map that read gives for each content (an image library is not needed here)."""
-
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"file_hash": pdf["file_hash"], "embedded_metadata": [read(bytes(c)) for c in pdf["content"]]})
-
-    return files.select("file_hash", "content").mapInPandas(run, "file_hash string, embedded_metadata map<string,string>")
+    return out.withColumns({"mime_type": mime_type(F.col("ext"), F.col("media_type")), "is_compat": compatible(F.col("ext")), "modification_date": changed}).drop("content")
