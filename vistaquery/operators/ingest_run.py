@@ -49,7 +49,7 @@ def ingest_files(files: DataFrame, overrides: DataFrame, entries: BucketedStore,
     rate_limited or null), reason and indexed."""
     own = catalog.last_wins(_with_overrides(files, overrides).withColumn("file_hash", F.col("metadata.file_hash")), "file_hash", "position")
     own = written(own.withColumn("entry_id", entry_id(F.col("file_hash"), settings.api, settings.model)).drop("file_hash"), "files")
-    there = entries.lookup(own.select("entry_id")).select("entry_id", catalog.has_description().alias("described"), catalog.indexed_at().isNotNull().alias("indexed"), F.col("metadata.dates.chroma_indexed_at").alias("marked"))
+    there = entries.lookup(own.select("entry_id"), catalog.has_description().alias("described"), catalog.indexed_at().isNotNull().alias("indexed"), F.col("metadata.dates.chroma_indexed_at").alias("marked"))
     state = written(own.select("entry_id", "prepared", "bytes").join(there, "entry_id", "left").withColumn("described", F.coalesce("described", F.lit(False))), "state")
     missing = state.where("not described").select("entry_id")
     entries.upsert(_metadata_of(own if settings.update else own.join(missing, "entry_id", "left_semi"), state))

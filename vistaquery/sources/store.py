@@ -9,14 +9,14 @@ A bucket that a change empties is removed after it."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import catalog
-from .shared import remove, written
+from .shared import new_folder, remove
 
 #: Folders of a store; for larger tables choose more, as a change of a few keys rewrites a folder for each.
 BUCKETS = 1024
@@ -46,11 +46,12 @@ class BucketedStore:
     def read(self) -> DataFrame:
         return self._read().drop("bucket")
 
-    def lookup(self, ids: DataFrame) -> DataFrame:
-        """The rows whose first key is among ids (entry_id); only their buckets are read."""
+    def lookup(self, ids: DataFrame, *columns: Column) -> DataFrame:
+        """The rows whose first key is among ids (entry_id), with all their columns or those given beside that key; only their buckets are read."""
         named = ids.select(F.col("entry_id").alias(self.keys[0])).distinct()
         touched = self._touched(self._bucketed(named, F.col(self.keys[0])))
-        return self._read().where(F.col("bucket").isin(touched)).drop("bucket").join(named, self.keys[0], "left_semi")
+        rows = self._read().where(F.col("bucket").isin(touched)).drop("bucket")
+        return (rows.select(self.keys[0], *columns) if columns else rows).join(named, self.keys[0], "left_semi")
 
     def lookup_entries(self, ids: DataFrame) -> DataFrame:
         """The rows that belong to entries (entry_id): whose first key begins with their id."""
@@ -60,7 +61,7 @@ class BucketedStore:
         return rows.join(named, "_entry", "left_semi").drop("_entry")
 
     def create(self, rows: DataFrame) -> None:
-        self._write(self._bucketed(rows.select(*self.schema.names), F.col(self.keys[0])), "errorifexists")
+        self._write(self._dealt(self._bucketed(rows.select(*self.schema.names), F.col(self.keys[0]))), "errorifexists")
 
     def upsert(self, new: DataFrame) -> list[int]:
         """Columns of new replace those of rows with their keys, others are added; which buckets were rewritten."""
@@ -83,16 +84,25 @@ class BucketedStore:
         return sorted(r[0] for r in rows.select("bucket").where("bucket is not null").distinct().collect())
 
     def _replace(self, named: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
-        """The new rows are written aside first, so a bucket that is replaced is read no more."""
+        """The new rows are written aside first, so a bucket that is replaced is read no more.
+
+        Aside they lie in folders by bucket already, which are read back without another shuffle."""
         touched = self._touched(named)
         if touched:
-            after = written(change(self._read().where(F.col("bucket").isin(touched))), "buckets")
+            folder = new_folder(self.spark, "buckets")
+            aside = replace(self, path=f"{folder}/rows")
+            aside._write(self._dealt(change(self._read().where(F.col("bucket").isin(touched)))), "errorifexists")
+            after = aside._read()
             self._write(after, "overwrite")
             for bucket in sorted(set(touched) - set(self._touched(after))):  # overwriting by no rows would leave them
                 remove(self.spark, f"{self.path}/bucket={bucket}")
+            remove(self.spark, folder)
         return touched
 
-    def _write(self, rows: DataFrame, mode: str) -> None:
+    def _dealt(self, rows: DataFrame) -> DataFrame:
         """A bucket is one task's, but where it is large."""
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.keys)
-        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return rows.hint("rebalance", "bucket")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        ordered = rows.sortWithinPartitions("bucket", *self.keys)
+        ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
