@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.query import QuerySpec
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from . import ranking
 
 #: Vectors that centroids are fitted on at most, vectors that a list is to hold about, and lists that a query reads.
@@ -58,7 +58,7 @@ def build_vector_index(vectors: DataFrame, folder: str | None = None, per_list:
     spark = vectors.sparkSession
     folder = folder or f"{new_folder(spark, 'vectors')}/lists"
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+    rows = written(vectors.where(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)), "vectors")  # counting, fitting and placing read it
     sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         rows.withColumn("list", F.lit(0)).write.partitionBy("list").parquet(folder)
