@@ -1,9 +1,10 @@
 """An inverted index of collection documents: token to postings, in folders by the token's bucket.
 
-A posting is a row (token, collection, entry_id), so a token that all documents hold is many rows
-and no large one.  A search names its tokens' buckets as literals, so the scan prunes all other
+A posting is a row (token, number of the document), so a token that all documents hold is many rows
+and no large one; collection and id, which are much longer than the number, stand once a document.
+A search names its tokens' buckets as literals, so the scan prunes all other
 folders, and row groups by the token within them; the documents' token texts, which decide the
-bonus for a phrase, are joined to the candidates alone."""
+bonus for a phrase, are searched where they lie."""
 
 from __future__ import annotations
 
@@ -17,8 +18,8 @@ from ..sources.shared import new_folder
 
 #: Folders of the postings.
 BUCKETS = 256
-_POSTING = "token string, collection string, entry_id string, bucket int"
-_DOCUMENT = "collection string, entry_id string, token_string string"
+_POSTING = "token string, doc long, bucket int"
+_DOCUMENT = "doc long, collection string, entry_id string, token_string string, words array<string>"
 PHRASE_BONUS = 2  #: fixed value: for documents that hold the query's whole text of tokens
 
 
@@ -48,25 +49,27 @@ class LexicalIndex:
 
     def candidates(self, queries: list[QuerySpec]) -> DataFrame:
         """collection, entry_id, query_id and score of the documents that share a token with a query."""
-        pairs = [(q.query_id, t) for q in queries for t in dict.fromkeys(q.tokens)]
-        if not pairs:
+        asked = [q for q in queries if q.tokens]
+        if not asked:
             return self.documents().select("collection", "entry_id", F.lit(None).cast("string").alias("query_id"), F.lit(0).alias("score")).where("false")
-        asked = self.spark.createDataFrame(pairs, "query_id string, token string")
-        phrase = self.spark.createDataFrame([(q.query_id, q.token_string) for q in queries if q.tokens], "query_id string, phrase string")
-        found = self.postings_of(sorted({t for _, t in pairs})).join(F.broadcast(asked), "token")  # the batch's tokens
-        overlap = found.groupBy("query_id", "collection", "entry_id").agg(F.count("*").alias("overlap"))
-        known = overlap.join(F.broadcast(phrase), "query_id").join(self.documents(), ["collection", "entry_id"])
-        bonus = F.when(F.contains(F.col("token_string"), F.col("phrase")), PHRASE_BONUS).otherwise(0)
-        return known.select("collection", "entry_id", "query_id", (F.col("overlap") + bonus).cast("int").alias("score"))
+        pairs = self.spark.createDataFrame([(k, t) for k, q in enumerate(asked) for t in dict.fromkeys(q.tokens)], "k int, token string")
+        found = self.postings_of(sorted({t for q in asked for t in q.tokens})).join(F.broadcast(pairs), "token")  # the batch's tokens
+        overlap = found.select("doc", "k").repartition("doc").groupBy("doc", "k").agg(F.count("*").alias("overlap"))
+        # phrases are sought where a document is read, so that no text goes through the join
+        bonus = F.array(*(F.when(F.contains("token_string", F.lit(q.token_string)), PHRASE_BONUS).otherwise(0) for q in asked))
+        known = overlap.join(self.documents().select("doc", "collection", "entry_id", bonus.alias("bonus")), "doc")
+        k = F.col("k")
+        return known.select("collection", "entry_id", F.array(*(F.lit(q.query_id) for q in asked))[k].alias("query_id"), (F.col("overlap") + F.col("bonus")[k]).cast("int").alias("score"))
 
 
 def build_lexical_index(docs: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> LexicalIndex:
     """Writes the index of docs (collection, entry_id, tokens, token_string); an entry is in a collection once."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "lexical")
-    told = docs.where("tokens is not null")
-    rows = told.select(F.explode(F.array_distinct("tokens")).alias("token"), "collection", "entry_id").withColumn("bucket", _bucket(F.col("token"), buckets))
+    told = docs.select(F.monotonically_increasing_id().alias("doc"), "collection", "entry_id", "token_string", F.array_distinct("tokens").alias("words")).where("words is not null")
+    told.write.parquet(f"{folder}/documents")  # numbers are fixed by this
+    index = LexicalIndex(spark, folder, buckets)
+    rows = index.documents().select(F.explode("words").alias("token"), "doc").withColumn("bucket", _bucket(F.col("token"), buckets))
     # rebalancing splits a bucket that is large, as one token may be most of it
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "collection", "entry_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    told.select("collection", "entry_id", "token_string").write.parquet(f"{folder}/documents")
-    return LexicalIndex(spark, folder, buckets)
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "doc").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    return index
