@@ -12,6 +12,7 @@ import json
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -26,6 +27,10 @@ from .shared import written
 from .store import BucketedStore
 
 
+#: Moves of a list that are under way at once.
+MOVERS = 16
+
+
 def _locate(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
@@ -79,11 +84,14 @@ class FileEffectsWriter(DataSourceWriter):
         for message in filter(None, messages):
             with fs.open_input_stream(message.listed) as f:
                 todo = json.loads(f.read())
-            for own, path in todo:
-                if own:
-                    fs.create_dir(posixpath.dirname(path), recursive=True)
-                    fs.move(own, path)
-                elif fs.get_file_info(path).type == pafs.FileType.File:
+            moves = [(own, path) for own, path in todo if own]
+            for parent in {posixpath.dirname(path) for _, path in moves}:
+                fs.create_dir(parent, recursive=True)
+            with ThreadPoolExecutor(MOVERS) as pool:
+                for _ in pool.map(lambda m: fs.move(*m), moves):  # errors are raised here
+                    pass
+            for _, path in (x for x in todo if not x[0]):
+                if fs.get_file_info(path).type == pafs.FileType.File:
                     fs.delete_file(path)
                     self._drop_empty(fs, posixpath.dirname(path))
         self.abort(messages)
