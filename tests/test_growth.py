@@ -135,6 +135,20 @@ def test_collection_get_takes_whole_rows_of_the_first_alone(spark):
     assert sum("document#" in x for x in nodes(found, "Join")) == 1
 
 
+def test_texts_of_collection_rows_are_dealt_once(spark, sf):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        k, dealt = 0, []
+        physical = QUERIES["collection_rows"](spark, sf)._jdf.queryExecution().executedPlan().initialPlan()
+        while (node := physical.apply(k)) is not None:
+            dealt += [node.output().toString()] * (node.nodeName() == "Exchange")
+            k += 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sum("text#" in x or "document#" in x for x in dealt) == 1
+
+
 def test_uploads_by_hash(spark):
     data = [(1, "a", b"x"), (2, "b", b"x"), (3, "c", b""), (4, "d", None)]
     whole = spark.createDataFrame(data, "position long, name string, payload binary")
