@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import vistaquery.plans.catalog_queries  # noqa: F401  registers more
 from vistaquery.functions import masks
 from vistaquery.operators import catalog, describe, gallery, ingest, lexical_index, ranking, vector_index
 from vistaquery.operators.ingest import PackLimits
@@ -25,6 +26,16 @@ def nodes(df, kind):
     return out
 
 
+def exchanged(df):
+    """The output columns of what the physical plan shuffles."""
+    plan, out, k = df._jdf.queryExecution().executedPlan().initialPlan(), [], 0
+    while (node := plan.apply(k)) is not None:
+        if node.nodeName() == "Exchange":
+            out.append(node.output().toString())
+        k += 1
+    return out
+
+
 def test_rounds_grow_with_the_list(spark, tmp_path):
     for batches, first in ((1, 13), (13, 13), (14, 13), (1000, 13), (1_000_000, 13), (10**9, 1)):
         ends = describe.round_ends(batches, first)
@@ -135,15 +146,29 @@ def test_collection_get_takes_whole_rows_of_the_first_alone(spark):
     assert sum("document#" in x for x in nodes(found, "Join")) == 1
 
 
+def test_no_text_of_these_is_dealt(spark, sf):
+    """What these give of a text is made where it is read; their shuffles carried all texts."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        views_of = {
+            "prep_explode": views.unique_documents(spark, sf).select("entry_id", "lang", "source", "line2"),
+            "store_lookup": views.unique_documents(spark, sf).select("entry_id", "file_name"),
+            "rate_limit_sequence, describe_rounds": views.flat_entries(spark, sf).select("entry_id", "input_pos", "media_type", "text_bytes"),
+            "selected_outcome, selection_rows": gallery.classify_uploads(views.documents(spark, sf).select(F.col("input_pos").alias("position"), F.col("file_name").alias("name"), F.col("text_bytes").alias("n_bytes"), "file_hash"), views.unique_documents(spark, sf).where("lang = 'en'").select("entry_id", F.struct("file_hash").alias("metadata"))),
+        }
+        for names, rows in views_of.items():
+            dealt = exchanged(rows)
+            assert dealt and not any("text#" in x for x in dealt), names
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_texts_of_collection_rows_are_dealt_once(spark, sf):
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        k, dealt = 0, []
-        physical = QUERIES["collection_rows"](spark, sf)._jdf.queryExecution().executedPlan().initialPlan()
-        while (node := physical.apply(k)) is not None:
-            dealt += [node.output().toString()] * (node.nodeName() == "Exchange")
-            k += 1
+        dealt = exchanged(QUERIES["collection_rows"](spark, sf))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert sum("text#" in x or "document#" in x for x in dealt) == 1
