@@ -12,7 +12,7 @@ from vistaquery.operators import catalog, describe, gallery, ingest, lexical_ind
 from vistaquery.operators.ingest import PackLimits
 from vistaquery.plans.queries import QUERIES
 from vistaquery.plans.query import specify
-from vistaquery.sources import effects, shared, views
+from vistaquery.sources import effects, shared, store, views
 from vistaquery.sources.store import BucketedStore
 
 
@@ -69,6 +69,42 @@ def test_a_change_leaves_no_rows_aside(spark, tmp_path):
     assert found.columns == ["entry_id", "w"] and found.count() == 50
 
 
+def test_deletions_and_marks_deal_no_rows(spark, tmp_path, monkeypatch):
+    """Rows were dealt once or twice, and written twice."""
+    rows = spark.range(300).select(F.concat(F.lit("e"), "id").alias("entry_id"), F.struct(F.struct(F.lit(None).cast("string").alias("chroma_indexed_at")).alias("dates"), F.col("id").alias("v")).alias("metadata"))
+    held = BucketedStore(spark, str(tmp_path / "s"), rows.schema, buckets=4)
+    held.create(rows)
+    wrote, write = [], BucketedStore._write
+    monkeypatch.setattr(BucketedStore, "_write", lambda self, rows, mode: (wrote.append(rows), write(self, rows, mode)))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held.delete(rows.where("id % 3 = 0").select("entry_id"))
+        held.mark_indexed(rows.where("id % 5 = 0").select("entry_id"), F.lit("now"))
+        assert len(wrote) == 2 and not any("metadata#" in x for changed in wrote for x in exchanged(changed))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {r.metadata.v: r.metadata.dates.chroma_indexed_at for r in held.read().collect()} == {k: None if k % 5 else "now" for k in range(300) if k % 3}
+
+
+def test_ids_are_sent_in_batches(spark, tmp_path, monkeypatch):
+    """The rest meet their rows by shuffle; ids may be those of the store itself, of which some buckets are emptied."""
+    monkeypatch.setattr(store, "IDS", 12)
+    monkeypatch.setattr(store, "BATCHES", 2)
+    assert store.batched({1: 5, 2: 7, 3: 12, 4: 1, 5: 13, 6: 12}) == ([[4, 1], [2]], [3, 6, 5])
+    rows = spark.range(100).select(F.concat(F.lit("e"), "id").alias("entry_id"), F.col("id").alias("v"))
+    held = BucketedStore(spark, str(tmp_path / "s"), rows.schema, buckets=20)
+    held.create(rows)
+    first = sorted(r[0] for r in held._read().select("bucket").distinct().collect())
+    touched = held.delete(held._read().where(F.col("bucket").isin(first[:9]) | (F.col("v") % 7 == 0)).select("entry_id"))
+    left = held._read().collect()
+    assert set(first[:9]) <= set(touched) and not {r.bucket for r in left} & set(first[:9])
+    again = BucketedStore(spark, str(tmp_path / "t"), rows.schema, buckets=20)
+    again.create(rows)
+    assert {r.v for r in left} == {r.v for r in again._read().collect() if r.bucket not in first[:9] and r.v % 7}
+    assert not any(f"bucket={b}" in os.listdir(tmp_path / "s") for b in first[:9])
+
+
 def test_vectors_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
