@@ -56,6 +56,16 @@ def test_no_text_goes_through_the_joins(spark, sf, columns):
     assert len(nodes(views.whole_entries(spark, sf), "Join")) == 4 and not any("text#" in x for x in nodes(views.whole_entries(spark, sf), "Join")[1:])
 
 
+def test_lines_stay_with_their_texts(spark, sf):
+    """Whole first and second lines went through the joins beside the texts, and where it only mattered whether they are blank."""
+    whole = views.whole_entries(spark, sf)
+    assert not any(x in rows for rows in nodes(whole, "Join") for x in ("line1#", "line2#"))
+    want = {r.input_pos: (r.line1, r.line2) for r in views.unique_entries(spark, sf).select("input_pos", "line1", "line2").collect()}
+    assert {r.input_pos: (r.line1, r.line2) for r in whole.select("input_pos", "line1", "line2").collect()} == want
+    short = views.documents(spark, sf, line1=F.substring(views.line(1), 1, 1))
+    assert short.columns.count("line1") == 1 and max(len(r[0] or "") for r in short.select("line1").collect()) == 1
+
+
 def test_a_change_leaves_no_rows_aside(spark, tmp_path):
     """Changed buckets are read back by bucket, from a folder that goes."""
     rows = spark.range(50).select(F.concat(F.lit("e"), "id").alias("entry_id"), F.col("id").alias("v"))
