@@ -12,7 +12,7 @@ from vistaquery.operators import catalog, describe, gallery, ingest, lexical_ind
 from vistaquery.operators.ingest import PackLimits
 from vistaquery.plans.queries import QUERIES
 from vistaquery.plans.query import specify
-from vistaquery.sources import effects, shared, store, views
+from vistaquery.sources import effects, scan, shared, store, views
 from vistaquery.sources.store import BucketedStore
 
 
@@ -184,6 +184,59 @@ def test_folders_are_made_once(tmp_path, monkeypatch):
     assert made.count(f"{tmp_path}/d") == 1 and (tmp_path / "d" / "49").read_bytes() == b"49" and os.listdir(tmp_path) == ["d"]
 
 
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's own reader of files holds the status of each on the driver."""
+    monkeypatch.setattr(scan, "NAMES", 3)
+    monkeypatch.setattr(scan, "BYTES", 10)
+    for folder in ("in", "in/d/e", "in/_hidden", "in/.pending-1", "in/_a=1"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for name in ("a.JPG", "sp ace%20é.png", "_x", "_x=1", ".y", "z._COPYING_", "_metadata"):
+            (tmp_path / folder / name).write_bytes(f"{folder}{name}".encode())
+    (tmp_path / "in/empty").write_bytes(b"")
+    (tmp_path / "in/dangling").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "in/link").symlink_to(tmp_path / "in/a.JPG")
+    root = str(tmp_path / "in")
+    spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = lambda df: sorted(df.collect(), key=lambda r: r.path)
+    whole, hashed = scan.scan_folder(spark, root), scan.scan_folder(spark, root, content=False)
+    assert whole.dtypes == spark_own.dtypes and rows(whole) == rows(spark_own) and len(rows(whole)) == 10
+    told = scan.file_metadata(spark_own)
+    assert rows(scan.file_metadata(whole)) == rows(told) == rows(scan.file_metadata(hashed).select(told.columns))
+    assert not whole.inputFiles() and not hashed.inputFiles()
+    (tmp_path / "none").mkdir()
+    assert scan.scan_folder(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan.scan_folder(spark, str(tmp_path / "nowhere"))
+    scan.remove_folder(spark, root)
+    assert not os.path.exists(root)
+
+
+@pytest.mark.parametrize("name", ["file_metadata_scan", "stored_uploads"])
+def test_scanned_files_go_by_tasks(spark, sf, name, monkeypatch):
+    """They stayed until the driver ended, which then listed them at once."""
+    made, new = [], shared.new_folder
+    monkeypatch.setattr("vistaquery.plans.catalog_queries.new_folder", lambda *a: made.append(new(*a)) or made[-1])
+    assert QUERIES[name](spark, sf).count() and len(made) == 1 and not os.path.exists(made[0].removeprefix("file:").replace("//", "/"))
+
+
+def test_lists_of_effects_are_followed_by_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(effects, "LINES", 7)
+    held, follow = [], effects.FileEffectsWriter._follow
+    monkeypatch.setattr(effects.FileEffectsWriter, "_follow", lambda self, fs, pool, todo: (held.append(len(todo)), follow(self, fs, pool, todo)))
+
+    class Row:
+        def __init__(self, path, payload):
+            self.path, self.payload = path, payload
+
+    paths = [f"{tmp_path}/d{k % 2}/{k}" for k in range(50)]
+    writer = effects.FileEffectsWriter(str(tmp_path))
+    writer.commit([writer.write(Row(p, p.encode()) for p in paths), writer.write(iter([]))])
+    assert held == [7] * 7 + [1] and all(open(p).read() == p for p in paths) and sorted(os.listdir(tmp_path)) == ["d0", "d1"]
+    gone = effects.FileEffectsWriter(str(tmp_path))
+    gone.commit([gone.write(Row(p, None) for p in paths[:49])])
+    assert os.listdir(tmp_path) == ["d1"] and os.listdir(tmp_path / "d1") == [os.path.basename(paths[49])]
+
+
 def test_collection_get_takes_whole_rows_of_the_first_alone(spark):
     rows = spark.createDataFrame([(c, f"e{k:03}", f"text {k}") for c in "ab" for k in range(100)], "collection string, entry_id string, document string")
     ids = rows.select("entry_id").where("entry_id > 'e005'")

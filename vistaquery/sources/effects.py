@@ -8,13 +8,16 @@ so an interrupted commit is mended by running the job again."""
 
 from __future__ import annotations
 
+import io
 import json
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import batched
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
@@ -27,14 +30,21 @@ from .shared import written
 from .store import BucketedStore
 
 
-#: Moves of a list that are under way at once.
-MOVERS = 16
+#: Moves of a list that are under way at once, and lines of it that the driver holds.
+MOVERS, LINES = 16, 1000
 
 
 def _locate(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
+def _empty(fs: pafs.FileSystem, folder: str) -> bool:
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return not fs.get_file_info(pafs.FileSelector(folder))
+    with os.scandir(folder) as found:  # not all names of a large folder
+        return next(found, None) is None
+
+
 @dataclass
 class Prepared(WriterCommitMessage):
     listed: str
@@ -63,39 +73,43 @@ class FileEffectsWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Prepared:
         fs, folder = _locate(self.folder)
-        base, todo = _locate(self.root)[1], []
-        for row in iterator:
-            path = _locate(row.path)[1]
-            if posixpath.normpath(path) != path or not path.startswith(f"{base}/"):
-                raise ValueError(f"{row.path} is not below {self.root}")
-            own = None
-            if row.payload is not None:
-                own = f"{folder}/{uuid.uuid4().hex}"
-                with fs.open_output_stream(own) as out:
-                    out.write(bytes(row.payload))
-            todo.append((own, path))
-        listed = f"{folder}/list-{uuid.uuid4().hex}"
-        with fs.open_output_stream(listed) as out:
-            out.write(json.dumps(todo).encode())
+        base, listed = _locate(self.root)[1], f"{folder}/list-{uuid.uuid4().hex}"
+        with fs.open_output_stream(listed, buffer_size=1 << 16) as todo:
+            for row in iterator:
+                path = _locate(row.path)[1]
+                if posixpath.normpath(path) != path or not path.startswith(f"{base}/"):
+                    raise ValueError(f"{row.path} is not below {self.root}")
+                own = None
+                if row.payload is not None:
+                    own = f"{folder}/{uuid.uuid4().hex}"
+                    with fs.open_output_stream(own) as out:
+                        out.write(bytes(row.payload))
+                todo.write(f"{json.dumps((own, path))}\n".encode())
         return Prepared(listed)
 
     def commit(self, messages: list[Prepared | None]) -> None:
         fs, folder = _locate(self.folder)
-        for message in filter(None, messages):
-            with fs.open_input_stream(message.listed) as f:
-                todo = json.loads(f.read())
-            moves = [(own, path) for own, path in todo if own]
-            for parent in {posixpath.dirname(path) for _, path in moves}:
-                fs.create_dir(parent, recursive=True)
-            with ThreadPoolExecutor(MOVERS) as pool:
-                for _ in pool.map(lambda m: fs.move(*m), moves):  # errors are raised here
-                    pass
-            for _, path in (x for x in todo if not x[0]):
-                if fs.get_file_info(path).type == pafs.FileType.File:
-                    fs.delete_file(path)
-                    self._drop_empty(fs, posixpath.dirname(path))
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for message in filter(None, messages):
+                with io.TextIOWrapper(fs.open_input_stream(message.listed), "utf-8") as lines:
+                    for some in batched(lines, LINES):
+                        self._follow(fs, pool, [json.loads(x) for x in some])
         self.abort(messages)
 
+    def _follow(self, fs: pafs.FileSystem, pool: ThreadPoolExecutor, todo: list) -> None:
+        moves = [(own, path) for own, path in todo if own]
+        for parent in {posixpath.dirname(path) for _, path in moves}:
+            fs.create_dir(parent, recursive=True)
+        for _ in pool.map(lambda m: fs.move(*m), moves):  # errors are raised here
+            pass
+        left = set()
+        for _, path in (x for x in todo if not x[0]):
+            if fs.get_file_info(path).type == pafs.FileType.File:
+                fs.delete_file(path)
+                left.add(posixpath.dirname(path))
+        for parent in left:
+            self._drop_empty(fs, parent)
+
     def abort(self, messages: list[Prepared | None]) -> None:
         fs, folder = _locate(self.folder)
         if fs.get_file_info(folder).type == pafs.FileType.Directory:
@@ -103,7 +117,7 @@ class FileEffectsWriter(DataSourceWriter):
 
     def _drop_empty(self, fs: pafs.FileSystem, folder: str) -> None:
         base = _locate(self.root)[1]
-        while folder.startswith(f"{base}/") and not fs.get_file_info(pafs.FileSelector(folder)):
+        while folder.startswith(f"{base}/") and fs.get_file_info(folder).type == pafs.FileType.Directory and _empty(fs, folder):
             fs.delete_dir(folder)
             folder = posixpath.dirname(folder)
 
